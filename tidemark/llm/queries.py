@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.contamination import decontaminate
 from tidemark.llm.line_runs import dedup_lines
+from tidemark.llm.packing import pack
+from tidemark.llm.rules import judge
 from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.token_cache import count_tokens
+from tidemark.llm.warc import assemble, captures, read_records, write_captures
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -25,6 +28,16 @@ def sha256(text) -> F.Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = write_captures(table(spark, sf_dir, "pages", "page_id", "url", "html"), min_revisit=1000)
+    return captures(assemble(read_records(spark, root, with_payload=False))).drop("url")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    return judge(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(table(spark, sf_dir, "documents", "doc_id", "text"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -35,6 +48,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op6_ga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), capacity=2048, separator=0, with_ids=False)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate(docs, items, window=10).drop("text")
@@ -45,9 +62,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_shards, op5_line_dedup, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_byte_shards, op5_line_dedup, op6_ga_packing, op9_decontamination, op10_token_counts)}
 
 ORACLE_SQL = {
+    "op1_warc_transactions": """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) END AS newest FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN newest <> page_id THEN newest END AS refers_to
+FROM m""",
     "op5_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
