@@ -12,6 +12,7 @@ from tidemark.llm.rules import judge
 from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.token_cache import count_tokens
 from tidemark.llm.warc import assemble, captures, read_records, write_captures
+from tidemark.llm.wrapper import extract
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -43,6 +44,11 @@ def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
@@ -62,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_byte_shards, op5_line_dedup, op6_ga_packing, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_byte_shards, op4_wrapper_text, op5_line_dedup, op6_ga_packing, op9_decontamination, op10_token_counts)}
 
 ORACLE_SQL = {
     "op1_warc_transactions": """
