@@ -3,8 +3,9 @@
 Statistics of every whole text come from one Arrow pass. A decision list is learned from the statistics of labelled
 documents by sequential covering: each rule is grown, threshold by threshold, on two thirds of the labelled rows (the
 condition with the highest information gain is added until the rule covers no document of the other class), then
-pruned from its end on the other third while that does not lower (p - n) / (p + n); rows it covers leave, and the next
-rule is learned from the rest, until a rule is right in fewer than ``MIN_PRECISION`` of the pruning rows. The list
+pruned from its end on the other third while that does not lower (p - n) / (p + n), n weighted as in the gain by
+``GOOD_COST``; rows it covers leave, and the next
+rule is learned from the rest, until a rule has a precision (after Laplace) below ``MIN_PRECISION`` on the pruning rows. The list
 becomes one ordered Spark conditional expression (``CASE WHEN``), which is then applied to all documents.
 
 Learning uses at most ``max_labelled`` labelled documents, those with the smallest hash of their doc_id (a documented
@@ -49,7 +50,9 @@ FEATURES = {
     "digit_rate": "n_digits / greatest(word_chars, 1)",
     "words": "cast(n_words as double)",
 }
-MIN_PRECISION, MAX_RULES, MAX_CONDITIONS, CUTS = 0.75, 12, 4, 48
+MIN_PRECISION, MAX_RULES, MAX_CONDITIONS, CUTS = 0.8, 12, 4, 48
+#: A good document rejected counts as this many bad ones kept.
+GOOD_COST = 5
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -190,7 +193,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     while len(rule) < MAX_CONDITIONS and (covered & ~bad).any():
         p0, n0 = (covered & bad).sum(), (covered & ~bad).sum()
         best, best_gain = None, 1e-9
-        base = math.log2(p0 / (p0 + n0))
+        base = math.log2(p0 / (p0 + GOOD_COST * n0))
         for f in sorted(x):
             values = np.unique(x[f][covered])
             # thresholds half-way between neighbouring values; quantiles of them where there are many
@@ -201,7 +204,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
                 up = covered & (x[f] >= cut)
                 for at_least, hit in ((True, up), (False, covered & ~up)):
                     p, n = (hit & bad).sum(), (hit & ~bad).sum()
-                    if p and (gain := p * (math.log2(p / (p + n)) - base)) > best_gain:
+                    if p and (gain := p * (math.log2(p / (p + GOOD_COST * n)) - base)) > best_gain:
                         best, best_gain = Condition(f, at_least, float(cut)), gain
         if best is None:
             break
@@ -210,10 +213,10 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
 
 
 def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, float]:
-    """(p - n) / (p + n) and precision."""
+    """(p - n) / (p + n) with n weighted, and the precision after Laplace, so that a rule needs support as well."""
     hit = rule.hits(x)
     p, n = (hit & bad).sum(), (hit & ~bad).sum()
-    return ((p - n) / (p + n), p / (p + n)) if p + n else (-1.0, 0.0)
+    return ((p - GOOD_COST * n) / (p + GOOD_COST * n), (p + 1) / (p + n + 2)) if p + n else (-1.0, 0.0)
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> DecisionList:
@@ -243,7 +246,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, doc_id: str, text: s
     own = docs.select(F.col(doc_id).alias("tm_doc"), F.col(text))
     own = own.join(F.broadcast(rows), own["tm_doc"] == rows["tm_id"]).select("tm_id", "tm_label", text)  # max_labelled rows at most
     return statistics(own, text).select(
-        *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()], (F.col("tm_label") == 0).alias("bad"), (F.pmod(F.xxhash64(F.lit("fold"), "tm_id"), F.lit(3)) > 0).alias("fold"), F.col("tm_id")
+        *STATISTICS, *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()], (F.col("tm_label") == 0).alias("bad"), (F.pmod(F.xxhash64(F.lit("fold"), "tm_id"), F.lit(3)) > 0).alias("fold"), F.col("tm_id")
     )
 
 
