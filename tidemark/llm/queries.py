@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.contamination import decontaminate
+from tidemark.llm.factors import dedup_substrings
 from tidemark.llm.line_runs import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.rules import judge
@@ -58,6 +59,11 @@ def op6_ga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), capacity=2048, separator=0, with_ids=False)
 
 
+def op8_lz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", sha256(F.col("text")).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate(docs, items, window=10).drop("text")
@@ -68,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_byte_shards, op4_wrapper_text, op5_line_dedup, op6_ga_packing, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_byte_shards, op4_wrapper_text, op5_line_dedup, op6_ga_packing, op8_lz_substrings, op9_decontamination, op10_token_counts)}
 
 ORACLE_SQL = {
     "op1_warc_transactions": """
@@ -93,6 +99,17 @@ frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING co
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (f.key IS NULL), '')) AS kept_sha256
 FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY doc_id""",
+    "op8_lz_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT g, min(doc_id) AS f FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN firsts USING (g) WHERE f < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+kept AS (SELECT words.doc_id, count(*) AS n, count(gone.p) AS r, string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS t
+         FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
     "op9_decontamination": r"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
