@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.contamination import decontaminate
 from tidemark.llm.factors import dedup_substrings
+from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.line_runs import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.rules import judge
@@ -59,6 +60,11 @@ def op6_ga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), capacity=2048, separator=0, with_ids=False)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), k=3, percent=90)
+    return out.select(F.col("tm_id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op8_lz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text"), window=13)
     return out.select("doc_id", "n_words", "n_removed", sha256(F.col("text")).alias("kept_sha256"))
@@ -74,7 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_byte_shards, op4_wrapper_text, op5_line_dedup, op6_ga_packing, op8_lz_substrings, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_byte_shards, op4_wrapper_text, op5_line_dedup, op6_ga_packing, op7_jaccard_join, op8_lz_substrings, op9_decontamination, op10_token_counts)}
 
 ORACLE_SQL = {
     "op1_warc_transactions": """
@@ -99,6 +105,24 @@ frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING co
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (f.key IS NULL), '')) AS kept_sha256
 FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY doc_id""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM d
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)""",
     "op8_lz_substrings": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g
