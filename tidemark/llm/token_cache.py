@@ -117,7 +117,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         misses = misses.join(stored, misses["tm_digest"] == stored["digest"], "left_anti")
     first = misses.groupBy("tm_digest").agg(F.min("tm_id").alias("tm_first"))
     if stored is None:
-        wanted = misses.join(first, "tm_digest").where(~F.col("tm_id").eqNullSafe(F.col("tm_first"))).select("tm_digest", "tm_id").distinct()
+        wanted = misses.join(first, "tm_digest").where(~F.col("tm_id").eqNullSafe(F.col("tm_first"))).select("tm_digest", "tm_id")
         how = "left_anti"
     else:
         wanted, how = first.select("tm_digest", F.col("tm_first").alias("tm_id")), "left_semi"
