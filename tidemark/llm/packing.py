@@ -18,8 +18,8 @@ any other row; an empty table gives an empty result; other columns of the docume
 
 from __future__ import annotations
 
+import json
 import random
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -37,14 +37,25 @@ CELL, ISLANDS, EPOCHS = 1500, 3, 2
 POPULATION, BROOD = 5, 6
 #: Sequences filled less than this go to the last round.
 WELL_FILLED = 0.995
-KEPT_PARTS = 500_000
-SPACED = re.compile(r"(?<=\S)(?= \S)")
-#: A space that is not alone between two other characters.
-ODD_SPACE = re.compile(r"^ | $|\s | \s")
+
+
+#: Fixed value: the pattern that byte-level pre-tokenisers cut by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids as little-endian uint32 bytes. Texts are cut before lone spaces, where the byte-level pre-tokeniser always cuts, and each part is encoded once."""
+    """Token ids as little-endian uint32 bytes.
+
+    A plain byte-level vocabulary whose ids follow its merges is loaded into tiktoken, which gives the same ids several
+    times faster; texts with special strings, and any other vocabulary, are encoded by the tokenizers library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,31 +64,30 @@ class Encoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        pre = self.model.pre_tokenizer
-        self.cuts = self.model.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.fast = self._ranks(path)
+
+    def _ranks(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre, model, alphabet = spec["pre_tokenizer"] or {}, spec["model"], byte_alphabet()
+        plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        plain = plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        if not plain:
+            return None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+            return None
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(pairs)}
+        return tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.cuts or any(s in text for s in self.special):
-            return self._whole([text])[0]
-        if ODD_SPACE.search(text):
-            parts = SPACED.split(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + x for x in rest]]
-        known = self.known
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > KEPT_PARTS:
-                known.clear()
-                new = list(set(parts))
-            known.update(zip(new, self._whole(new), strict=True))
-        return b"".join(map(known.__getitem__, parts))
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
