@@ -8,8 +8,8 @@ nothing is lost where one source ends and another begins, and a factor of ``wind
 
 Most windows occur once, and those never leave their task. *Anchors* thin them out: each window is represented by the
 smallest hash among its ``ANCHOR``-word grams, so equal windows have equal anchors, and neighbouring windows share
-them. A first pass counts the documents of each anchor (texts that are equal count once in a task), and keeps one bit
-for each hash bucket of anchors found in two or more: a bitmap of fixed size, which is all that is broadcast. In a
+them. A first pass counts the documents of each anchor (texts that are equal count once in a task), and sets the bit
+of each anchor found in two or more in a bitmap of fixed size, which is all that is broadcast. In a
 second pass, only windows whose anchor has its bit set go to the index. A full bitmap would let every window through:
 slower, never wrong.
 
@@ -31,12 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._bitmap import COUNTED, counted, holds, repeated
 from tidemark.llm._shared import small, stage
 from tidemark.llm._words import SPACE_WORDS, Chunk, as_bytes, chunks, runs
 
 ANCHOR = 6
-#: Bits of the anchor bitmap, as a power of two: 32 MB.
-BITMAP_BITS = 28
 KEPT_DIGESTS = 200_000
 
 
@@ -76,7 +75,7 @@ class FirstCopies:
 
 
 def shared_anchors(docs: DataFrame, window: int) -> np.ndarray:
-    """The bitmap, as uint64 words: a bit for each bucket that two or more texts have an anchor in."""
+    """The bitmap of the anchors that two or more texts have."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = FirstCopies()
@@ -89,18 +88,17 @@ def shared_anchors(docs: DataFrame, window: int) -> np.ndarray:
                 owner, best = owner[take], best[take]
                 new = np.ones(len(best), dtype=bool)
                 new[1:] = (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])
-                buckets = (best[new] >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                pairs = np.unique(owner[new] << BITMAP_BITS | buckets)
-                found, counts = np.unique(pairs & (1 << BITMAP_BITS) - 1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.minimum(counts, 2).astype(np.int32))], ["bucket", "n"])
+                yield counted(best[new][_first_in_text(best[new], owner[new])])
 
-    counted = docs.select("tm_id", "tm_raw").mapInArrow(read, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).where("n >= 2")
-    words = counted.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bucket & 63)")).alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
-    # of bounded size whatever the corpus: 2**(BITMAP_BITS - 6) rows at most
-    for r in words.toLocalIterator():
-        out[r["word"]] = r["bits"] & (1 << 64) - 1
-    return out
+    return repeated(docs.select("tm_id", "tm_raw").mapInArrow(read, COUNTED))
+
+
+def _first_in_text(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places of each hash's first occurrence in each text."""
+    order = np.lexsort((owner, hashes))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    return order[new]
 
 
 def shared_windows(docs: DataFrame, window: int, bitmap: np.ndarray) -> DataFrame:
@@ -114,10 +112,8 @@ def shared_windows(docs: DataFrame, window: int, bitmap: np.ndarray) -> DataFram
             keys = batch.column(2).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(1), SPACE_WORDS):
                 places, best = anchors(c, window)
-                bucket = best >> np.uint64(64 - BITMAP_BITS)
                 owner = np.searchsorted(c.bounds, places, "right") - 1
-                hit = (bits.value[(bucket >> np.uint64(6)).astype(np.int64)] >> (bucket & np.uint64(63))) & np.uint64(1)
-                take = np.flatnonzero((hit > 0) & wanted[c.first + owner])
+                take = np.flatnonzero(holds(bits.value, best) & wanted[c.first + owner])
                 places, owner = places[take], owner[take]
                 ids = batch.column(0).take(pa.array(c.first + owner))
                 at = (keys[c.first + owner].astype(np.int64) << 32) | (places - c.bounds[owner])
