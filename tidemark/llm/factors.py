@@ -128,6 +128,7 @@ def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     keyed = docs.select(F.col(doc_id).alias("tm_id"), raw.alias("tm_raw"), F.shiftright(F.xxhash64(raw), 32).cast("int").alias("tm_key"))
     found = shared_windows(keyed, window, shared_anchors(keyed, window))
     index = found.groupBy("print").agg(F.min("tm_id").alias("first"), F.max("tm_id").alias("last")).where(F.col("first") < F.col("last")).select(F.col("print").alias("block_print"), "first")
+    index = stage(index, "factor-index")  # an aggregate right below a join would keep hot windows in one task
     hits = found.join(index, F.col("print") == F.col("block_print")).where(F.col("first") < F.col("tm_id")).select("tm_id", "place")
     hits = hits.groupBy("tm_id", F.shiftright("place", 32).cast("int").alias("tm_key")).agg(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("places"))
     digests = keyed.where(F.col("tm_id").isNotNull()).select("tm_id", "tm_key", F.xxhash64("tm_raw").alias("d1"), F.xxhash64(F.lit(7), "tm_raw").alias("d2"))
