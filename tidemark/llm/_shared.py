@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,7 +34,26 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = new_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tm_path = path
+    return out
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, *staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let Spark drop the shuffle files of what led to them.
+
+    Spark's cleaner removes a shuffle's files once the driver has no reference to it, which it learns at its next
+    collection; without this, a job of many steps holds all of its shuffles to the end.
+    """
+    delete(spark, *[df.tm_path for df in staged])
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
@@ -44,8 +64,7 @@ def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
 
 def cleanup(spark: SparkSession) -> None:
     """Delete what this application has staged."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, shared_dir(spark))
 
 
 def text_key(text) -> F.Column:

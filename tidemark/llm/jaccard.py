@@ -4,12 +4,12 @@ Documents with equal shingle sets are one *node* from the start. Two nodes x and
 ``100 * |x & y| >= percent * |x | y|``, so their sizes are close and their symmetric difference has at most
 ``(|x| + |y|) * (100 - percent) / (100 + percent)`` shingles.
 
-*Tiles.* Sizes are cut into bands. In a band, shingles fall by hash into more parts than the largest difference a link
-can have, so two linked nodes agree in at least one whole non-empty part (a few parts more make up for empty ones; a
+*Tiles.* Sizes are cut into bands. In a band, shingles fall by hash into a quarter more parts than the largest
+difference a link can have, so two linked nodes agree in many whole parts (a few parts more make up for empty ones; a
 node with more empty parts than that also posts those). A node posts the hash of each part in its band, and in the
 lower bands where smaller partners can be. Nodes that share a posting form a tile. Common shingles make no large
 tiles: all shingles of a part must agree. Parts that occur once are filtered by a bitmap of fixed size before the
-shuffle, as most do. Tiles with the same members are one tile; a large one is split into blocks, which meet pairwise.
+shuffle, as most do, and with them all nodes that share too few parts with others to link with any. Tiles with the same members are one tile; a large one is split into blocks, which meet pairwise.
 
 *Bounds.* A node's signature is a hashed parity bitmap of a size that follows the node's. The bits in which two differ
 are at most their symmetric difference, so bit counts bound the overlap from above. In a tile only a spanning forest
@@ -36,12 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import small, stage, text_key
+from tidemark.llm._bitmap import COUNTED, counted, holds, repeated
+from tidemark.llm._shared import release, small, stage, text_key
 from tidemark.llm._words import SPACE_WORDS, STEP, chunks, mix
 from tidemark.llm.components import components
 
-#: Bits of the posting bitmap, as a power of two: 32 MB.
-BITMAP_BITS = 28
 #: Nodes of a block; tiles above it are split.
 BLOCK = 1024
 KEPT_NODES = 200_000
@@ -68,9 +67,23 @@ class Bands:
     def parts(self, band: int) -> tuple[int, int]:
         """Parts of a band and how many of them may be empty; no parts if only equal sets can link."""
         x = int(self.edges[band + 1]) - 1
-        differ = (x + 100 * x // self.percent) * (100 - self.percent) // (100 + self.percent)
+        differ = self.differ(x + 100 * x // self.percent)
         spare = 8 if x < 400 else 2
-        return (differ + 1 + spare, spare) if differ else (0, 0)
+        return (differ + differ // 4 + 1 + spare, spare) if differ else (0, 0)
+
+    def differ(self, sizes: int) -> int:
+        """The largest symmetric difference of two linked sets whose sizes add up to ``sizes``."""
+        return sizes * (100 - self.percent) // (100 + self.percent)
+
+    def agree(self, band: int, size: int, empty: int) -> int:
+        """How many of its posted parts a node shares at least with a partner that it meets in the band.
+
+        empty: its empty parts, which agree as well but may not be posted.
+        """
+        n = self.parts(band)[0]
+        top = int(self.edges[band + 1]) - 1
+        partner = 100 * size // self.percent if size <= top else top
+        return n - self.differ(size + partner) - empty
 
     def linked(self, x: np.ndarray, y: np.ndarray) -> bool:
         """By intersecting sorted arrays."""
@@ -92,9 +105,9 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(np.array([mix(shingles ^ ODD).sum() + np.uint64(len(shingles))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def postings(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """Hashes of the parts of a set in all its bands."""
-    out = [np.zeros(0, dtype=np.uint64)]
+def postings(shingles: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray, int]]:
+    """(band, hashes of the parts, empty parts) of a set in all its bands."""
+    out = []
     for band in bands.of(len(shingles)):
         n, spare = bands.parts(band)
         if not n:
@@ -105,11 +118,12 @@ def postings(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         sums = np.add.reduceat(mix(shingles[order]), starts)
         own = part[starts]
-        if n - len(own) > spare:
+        missing = n - len(own)
+        if missing > spare:
             empty = np.setdiff1d(np.arange(n), own, assume_unique=True)
             own, sums = np.concatenate((own, empty)), np.concatenate((sums, np.zeros(len(empty), dtype=np.uint64)))
-        out.append(mix(sums + own.astype(np.uint64) * STEP + np.uint64(band)))
-    return np.concatenate(out)
+        out.append((band, mix(sums + own.astype(np.uint64) * STEP + np.uint64(band)), missing))
+    return out
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -135,7 +149,10 @@ def members_of(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
 
 
 def _posted(docs: DataFrame, text: str, k: int, bands: Bands, bitmap: np.ndarray | None) -> DataFrame:
-    """(bucket, n) of all postings, or (post, node) of those whose bucket is in the bitmap. Equal sets post once in a task."""
+    """(hash, n) of all postings, or (post, node) of those the bitmap holds. Equal sets post once in a task.
+
+    In the second form a node is left out of a band in which it shares too few of its parts to link with anything.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,38 +166,30 @@ def _posted(docs: DataFrame, text: str, k: int, bands: Bands, bitmap: np.ndarray
                 if len(seen) >= KEPT_NODES:
                     seen.clear()
                 seen.add(node)
-                posts.append(postings(s, bands))
-                nodes.append(np.full(len(posts[-1]), node))
+                for band, own, empty in postings(s, bands):
+                    if bits is not None:
+                        own = own[holds(bits.value, own)]
+                        if len(own) < bands.agree(band, len(s), empty):
+                            continue
+                    posts.append(own)
+                    nodes.append(np.full(len(own), node))
             post, node = np.concatenate(posts), np.concatenate(nodes)
-            bucket = (post >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-            if bits is None:
-                found, counts = np.unique(bucket, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.minimum(counts, 2).astype(np.int32))], ["bucket", "n"])
-            else:
-                take = (bits.value[bucket >> 6] >> (bucket & 63).astype(np.uint64)) & np.uint64(1) > 0
-                yield pa.RecordBatch.from_arrays([pa.array(post[take].view(np.int64)), pa.array(node[take])], ["post", "node"])
-
-    return docs.select(text).mapInArrow(read, "bucket int, n int" if bits is None else "post long, node long")
-
-
-def shared_buckets(counted: DataFrame) -> np.ndarray:
-    """Bitmap of the buckets counted twice or more: of fixed size, whatever the corpus."""
-    words = counted.groupBy("bucket").agg(F.sum("n").alias("n")).where("n >= 2")
-    words = words.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bucket & 63)")).alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
-    for r in words.toLocalIterator():
-        out[r["word"]] = r["bits"] & (1 << 64) - 1
-    return out
+            yield counted(post) if bits is None else pa.RecordBatch.from_arrays([pa.array(post.view(np.int64)), pa.array(node)], ["post", "node"])
+
+    return docs.select(text).mapInArrow(read, COUNTED if bits is None else "post long, node long")
 
 
 def tiles_of(docs: DataFrame, text: str, k: int, bands: Bands) -> DataFrame:
     """(post, node, blocks) of tiles of two nodes or more, one tile for each set of members."""
-    bitmap = shared_buckets(_posted(docs, text, k, bands, None))
+    bitmap = repeated(_posted(docs, text, k, bands, None))
+    release(docs.sparkSession)
     posted = stage(_posted(docs, text, k, bands, bitmap).distinct(), "jaccard-posted")
     tiles = posted.groupBy("post").agg(F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("node"), 16)).alias("s"), F.sum(F.shiftright(F.xxhash64(F.lit(7), "node"), 16)).alias("s2")).where("c >= 2")
     tiles = tiles.groupBy("c", "s", "s2").agg(F.min("post").alias("tile"))
     tiles = stage(tiles.select("tile", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "jaccard-tiles")
-    return stage(posted.join(tiles, F.col("post") == F.col("tile")).select("post", "node", "blocks"), "jaccard-members")
+    members = stage(posted.join(tiles, F.col("post") == F.col("tile")).select("post", "node", "blocks"), "jaccard-members")
+    release(docs.sparkSession, posted, tiles)
+    return members
 
 
 def marks_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
@@ -234,7 +243,9 @@ def candidates(tiles: DataFrame, marks: DataFrame, percent: int, connected: Data
     rows = tiles.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) if forest else tiles
     if not forest:
         named = rows.join(connected, "node", "left").select("post", "node", "blocks", F.coalesce("component", "node").alias("part"))
+        named = stage(named, "jaccard-named")
         split = named.groupBy("post").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select(F.col("post").alias("open"))
+        split = stage(split, "jaccard-open")  # an aggregate right below a join would keep a large tile in one task
         rows = named.join(split, F.col("post") == F.col("open"), "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     else:
         rows = rows.withColumn("part", F.col("node"))
@@ -316,8 +327,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         more = stage(verified(again, marks, bands).where("linked").select("a", "b"), "jaccard-verified")
         if not more.isEmpty():
             named = components(links.unionByName(more))
+    named = stage(named, "jaccard-components")
+    release(docs.sparkSession, tiles, marks, first)
     whole = members.join(named, "node", "left").select("tm_id", "tm_text", "n", F.coalesce("component", "node").alias("component"))
     names = whole.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("tm_id").alias("component_id"))
+    names = stage(names, "jaccard-names")  # an aggregate right below a join would keep a large component in one task
     out = whole.join(names, "component", "left")
     return out.select("tm_id", "tm_text", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("tm_id")).otherwise(F.col("component_id")).alias("component_id"))
 

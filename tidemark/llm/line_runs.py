@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import new_path, stage, text_key
+from tidemark.llm._shared import delete, new_path, release, stage, text_key
 
 STRIP = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,6 +81,7 @@ class LineRuns:
         self.settled.append(self._write(merged.where(F.col("n") >= self.min_docs)))
         self.levels[level + 1].append(self._write(merged.where(F.col("n") < self.min_docs)))
         self.levels[level] = []
+        release(self.spark, merged)
 
     def frequent(self) -> DataFrame:
         """(h1, h2) of every key in at least min_docs documents."""
@@ -99,12 +100,16 @@ def index_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
     for b in range(batches):
         runs.add(counted.where(F.col("batch") == b).select(*HASHES, "n"))
+    release(docs.sparkSession, counted)
     return runs
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
     """docs with their frequent lines taken out of ``text``, and n_lines, n_dropped (long) added; see the module."""
-    frequent = stage(index_lines(docs, text, min_docs, min_chars, batches, fanout).frequent(), "line-frequent")
+    runs = index_lines(docs, text, min_docs, min_chars, batches, fanout)
+    frequent = stage(runs.frequent(), "line-frequent")
+    delete(docs.sparkSession, runs.root)
+    release(docs.sparkSession)
     lines = docs.select(F.col(doc_id).alias("tm_id"), text_key(F.col(text)).alias("tm_text"), F.posexplode(lines_of(F.col(text))).alias("tm_at", "tm_line"))
     lines = lines.select("tm_id", "tm_text", "tm_at", line_key(F.col("tm_line")).alias("tm_key")).where(F.char_length("tm_key") >= min_chars)
     hits = lines.select("tm_id", "tm_text", "tm_at", *key_hashes(F.col("tm_key"))).join(frequent, HASHES, "left_semi")
