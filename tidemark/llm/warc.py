@@ -10,12 +10,12 @@ under Spark's commit protocol; files are cut at about ``FILE_ROWS`` captures.
 request, response and metadata records through the concurrent-to identifiers, in either direction, and gives one
 nested row per capture.
 
-Record ids come from the row's place in the input (its partition and position), so repeated rows are captures of their
-own; a page that is read again gets the same ids because the input's partitions do not change. Of rows that tie for
-the largest page_id, the one with the smallest place is the response.
+Record ids come from the row's place in the input of the one job that writes, so repeated rows are captures of their
+own. A revisit names its response by payload digest and target URI, as WARC 1.1 provides, and by page_id in its
+metadata record. Rows that tie for the largest page_id of a payload are all responses.
 
-Defined results: a null html is an empty payload; a null page_id or url stays null (a payload group whose page_ids are
-all null takes its first row); an empty table gives no archives and an empty result; other columns are not carried.
+Defined results: a null html is an empty payload; a null page_id or url stays null (null page_ids come last in a
+payload's order, and are responses only where all are null); an empty table gives no archives and an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -47,17 +47,12 @@ def _urn(kind: str, place: Column) -> Column:
 RESPONSE, REQUEST, METADATA = "00000001", "00000002", "00000003"
 
 
-def classify(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = 1000) -> DataFrame:
-    """place, page_id, url, digest (SHA-1, hex), n_bytes, refers_to (the place of the response that a revisit repeats), response_page."""
+def repeated_payloads(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = 1000) -> DataFrame:
+    """(payload, response_page, response_url) of payloads that more than one page has: the page with the largest page_id (ties: the largest url) represents them."""
     raw = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.monotonically_increasing_id().alias("place"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.sha1(raw).alias("digest"), F.octet_length(raw).cast("long").alias("n_bytes"))
-    rows = stage(rows, "warc-digests")
-    large = rows.where(F.col("n_bytes") >= min_revisit)
-    newest = large.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", -F.col("place"))).alias("top")).where("n > 1")
-    newest = newest.select(F.col("digest").alias("tm_digest"), (-F.col("top")["col2"]).alias("response"), F.col("top.page_id").alias("response_page"))
-    out = rows.join(newest, (F.col("digest") == F.col("tm_digest")) & (F.col("n_bytes") >= min_revisit), "left")
-    again = F.col("response") != F.col("place")
-    return out.select("place", "page_id", "url", "digest", "n_bytes", F.when(again, F.col("response")).alias("refers_to"), F.when(again, F.col("response_page")).alias("response_page"))
+    rows = pages.where(F.octet_length(raw) >= min_revisit).select(F.sha1(raw).alias("payload"), F.struct(F.col(page_id).alias("page_id"), F.col(url).alias("url")).alias("p"))
+    found = rows.groupBy("payload").agg(F.count("*").alias("n"), F.max("p").alias("p")).where("n > 1")
+    return found.select("payload", F.col("p.page_id").alias("response_page"), F.col("p.url").alias("response_url"))
 
 
 def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -71,12 +66,14 @@ def write_captures(pages: DataFrame, root: str | None = None, page_id: str = "pa
     """Writes archives of all pages below root (a new shared folder if None) and returns it."""
     spark = pages.sparkSession
     root = root or new_path(spark, "warc")
-    kinds = stage(classify(pages, page_id, url, html, min_revisit), "warc-kinds")
-    own = pages.select(F.monotonically_increasing_id().alias("tm_place"), F.coalesce(F.col(html), F.lit("")).alias("tm_html"))
-    rows = own.join(kinds, own["tm_place"] == kinds["place"])
-    revisit = F.col("refers_to").isNotNull()
+    known = stage(repeated_payloads(pages, page_id, url, html, min_revisit), "warc-payloads")
+    raw = F.coalesce(F.col(html), F.lit(""))
+    own = pages.select(F.monotonically_increasing_id().alias("place"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), raw.alias("tm_html"), F.sha1(raw.cast("binary")).alias("digest"), F.octet_length(raw).cast("long").alias("n_bytes"))
+    rows = own.join(known, own["digest"] == known["payload"], "left")
+    revisit = F.col("payload").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_page"))
     # header values hold no line ends
-    target = F.coalesce(F.regexp_replace("url", r"[\r\n]", ""), F.concat(F.lit("urn:page:"), F.col("place")))
+    one_line = lambda x: F.regexp_replace(x, r"[\r\n]", "")
+    target = F.coalesce(one_line("url"), F.concat(F.lit("urn:page:"), F.col("place")))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(RECORD_END))
     common = [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", target)]
@@ -87,7 +84,7 @@ def write_captures(pages: DataFrame, root: str | None = None, page_id: str = "pa
             *common,
             ("WARC-Payload-Digest", digest),
             ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-            ("WARC-Refers-To", F.when(revisit, _urn(RESPONSE, F.col("refers_to")))),
+            ("WARC-Refers-To-Target-URI", F.when(revisit, one_line("response_url"))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         F.when(revisit, http).otherwise(F.concat(http, F.col("tm_html"))),
@@ -97,7 +94,7 @@ def write_captures(pages: DataFrame, root: str | None = None, page_id: str = "pa
         F.lit(f"GET / HTTP/1.1{CRLF}Accept: text/html{RECORD_END}"),
     )
     # base64 keeps a URL's own line ends out of the field; a null value leaves the field out
-    fields = F.concat_ws(CRLF, F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("page-url-base64: "), F.translate(F.base64(F.col("url").cast("binary")), CRLF, "")), F.concat(F.lit("refers-to-page-id: "), F.col("response_page").cast("string")))
+    fields = F.concat_ws(CRLF, F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("page-url-base64: "), F.translate(F.base64(F.col("url").cast("binary")), CRLF, "")), F.when(revisit, F.concat(F.lit("refers-to-page-id: "), F.col("response_page").cast("string"))))
     metadata = _record(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn(METADATA, F.col("place"))), *common, ("WARC-Concurrent-To", _urn(RESPONSE, F.col("place"))), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(fields, F.lit(CRLF)),
