@@ -170,8 +170,7 @@ def folded(node: list) -> list:
     for c in node[CHILDREN]:
         c = folded(c)
         if children and children[-1][LABEL] == c[LABEL] != "#":
-            children[-1] = merged(children[-1], c)
-            children[-1][PAGES] = 1
+            children[-1] = merged(children[-1], c, True)
         else:
             children.append(c)
     return [node[LABEL], node[DROP], children, 1, VARIES, 0]
@@ -213,16 +212,23 @@ def aligned(x: list[list], y: list[list]) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
-def merged(a: list, b: list) -> list:
-    """Two templates of one label as one; what matches nothing is kept in its place."""
+def merged(a: list, b: list, siblings: bool = False) -> list:
+    """Two templates of one label as one; what matches nothing is kept in its place.
+
+    siblings: both are of one page and fold into a repeated node, whose text is the sequence of theirs (a list that is
+    the same on all pages stays constant).
+    """
     children, i, j = [], 0, 0
     for p, q in aligned(a[CHILDREN], b[CHILDREN]):
         children += a[CHILDREN][i:p] + b[CHILDREN][j:q]
-        children.append(merged(a[CHILDREN][p], b[CHILDREN][q]))
+        children.append(merged(a[CHILDREN][p], b[CHILDREN][q], siblings))
         i, j = p + 1, q + 1
     children += a[CHILDREN][i:] + b[CHILDREN][j:]
-    same = a[HASH] if a[HASH] == b[HASH] else VARIES
-    return [a[LABEL], a[DROP] and b[DROP], children, a[PAGES] + b[PAGES], same, a[CHARS] + b[CHARS]]
+    if siblings and a[LABEL] == "#":
+        text = blake2b(f"{a[HASH]} {b[HASH]}".encode(), digest_size=8).hexdigest()
+    else:
+        text = a[HASH] if a[HASH] == b[HASH] else VARIES
+    return [a[LABEL], a[DROP] and b[DROP], children, 1 if siblings else a[PAGES] + b[PAGES], text, a[CHARS] + b[CHARS]]
 
 
 def _mass(node: list, all_text: bool) -> int:
