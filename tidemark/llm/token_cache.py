@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import new_path, small, stage
 
 #: Cuts kept by a worker; the table is emptied beyond that.
-KEPT_CUTS = 1_000_000
+KEPT_CUTS = 250_000
 MARK = "▁"
 CUT = re.compile(r" *[^ ]+| +$")
 
@@ -104,7 +104,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     raw, version_digest = F.coalesce(F.col(text), F.lit("")), tokenizer_digest(tokenizer)
     digest = F.unhex(F.sha2(raw.cast("binary"), 256))
-    keyed = docs.withColumn("tm_digest", digest)
+    docs = docs.drop(*[c for c in ("n_bytes", "n_tokens") if c in docs.columns])
+    keyed = docs.withColumn("tm_digest", digest).withColumn("n_bytes", F.octet_length(raw).cast("long"))  # before the joins, which then need no text
     store = f"{cache or new_path(spark, 'token-cache')}/tokenizer={version_digest}"
     schema = "digest binary, n_tokens long"
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
@@ -117,6 +118,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         misses = misses.join(stored, misses["tm_digest"] == stored["digest"], "left_anti")
     first = misses.groupBy("tm_digest").agg(F.min("tm_id").alias("tm_first"))
     if stored is None:
+        first = stage(first, "token-first")  # an aggregate right below a join would keep a hot digest in one task
         wanted = misses.join(first, "tm_digest").where(~F.col("tm_id").eqNullSafe(F.col("tm_first"))).select("tm_digest", "tm_id")
         how = "left_anti"
     else:
@@ -128,5 +130,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     encode_counts(chosen.select(F.col("tm_digest").alias("digest"), "tm_raw"), tokenizer).write.mode("append").parquet(store)
 
     counts = spark.read.schema(schema).parquet(store).dropDuplicates(["digest"])
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
-    return keyed.join(counts, keyed["tm_digest"] == counts["digest"], "left").select(*[keyed[c] for c in names], F.octet_length(raw).cast("long").alias("n_bytes"), counts["n_tokens"])
+    return keyed.join(counts, keyed["tm_digest"] == counts["digest"], "left").select(*[keyed[c] for c in docs.columns], "n_bytes", "n_tokens")
