@@ -194,7 +194,8 @@ def tiles_of(docs: DataFrame, text: str, k: int, bands: Bands) -> DataFrame:
 
 def marks_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     """(node, n, bits, shingles) of the given nodes, from one document of each."""
-    first = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("tm_id", "tm_text")).alias("d"))
+    first = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("tm_id", "tm_text")).alias("d"))
+    first = stage(first, "jaccard-nodes").join(nodes, "node", "left_semi")  # copies of a hot text meet in partial aggregates
     first = small(stage(first.select(F.col("d.tm_id").alias("tm_id"), F.col("d.tm_text").alias("tm_text")), "jaccard-first"))
     own = docs.select(F.col(doc_id).alias("tm_doc"), F.col(text).alias("tm_raw"), text_key(F.col(text)).alias("tm_key"))
     chosen = own.join(first, own["tm_doc"].eqNullSafe(first["tm_id"]) & (own["tm_key"] == first["tm_text"]), "left_semi").select("tm_raw")
