@@ -55,10 +55,10 @@ MIN_PRECISION, MAX_RULES, MAX_CONDITIONS, CUTS = 0.8, 12, 4, 48
 GOOD_COST = 5
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without text, and with STATISTICS."""
+def statistics(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs with STATISTICS, and without text unless keep_text."""
     at = docs.columns.index(text)
-    keep = [c for c in docs.columns if c != text and c not in STATISTICS]
+    keep = [c for c in docs.columns if (keep_text or c != text) and c not in STATISTICS]
     where = [docs.columns.index(c) for c in keep]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in STATISTICS])
 
