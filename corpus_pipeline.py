@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rejects documents that fail the base rules or that the learned decision list rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rules = learn_quality(docs, labels)
-    kept = statistics(docs.select(*COLUMNS, F.col("text").alias("tm_text")), "tm_text").where(~base_failed() & rules.column())
+    kept = statistics(docs.select(*COLUMNS), keep_text=True).where(~base_failed() & rules.column())
     return kept.select(*COLUMNS)
 
 
