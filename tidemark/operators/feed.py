@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,6 @@ def batches(items: DataFrame, lane: str, order: str, size: int = 25) -> DataFram
 
 def classify(items: DataFrame, key: str, text: str, classifier: Callable | None = None) -> DataFrame:
     """items with hidden (boolean). classifier takes a pandas Series of texts and gives booleans; an error hides nothing."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
         try:
