@@ -91,6 +91,22 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN newest <> page_id THEN newest END AS refers_to
 FROM m""",
+    # in doc_id order, which is the order of the table
+    "op3_byte_shards": """
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * octet_length(encode(coalesce(text, ''))), 2), lambda j: CAST('0x' || substr(h, j, 2) AS BIGINT))),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents), crc),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS start, sum(size) OVER () AS total FROM d),
+p AS (SELECT doc_id, size, text_crc32, CAST((start * 40) // total AS INTEGER) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM p""",
     "op5_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
