@@ -44,8 +44,8 @@ def bm25_scores(units: DataFrame, queries: DataFrame, key: list[str], query: str
     n, average = F.lit(float(totals["n"])), F.lit(float(totals["average"] or 1.0) or 1.0)
     spread = units.select(*key, F.size(words).alias("length"), F.explode(words).alias("term")).join(vocabulary, "term", "left_semi")
     tf = spread.groupBy(*key, "length", "term").agg(F.count("*").alias("tf"))
-    df = units.select(F.explode(F.array_distinct(words)).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(checked_broadcast(df), "term").withColumn("part", bm25(F.col("tf"), F.col("length"), average, idf(n, F.col("df")), k1, b))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # from the same shuffle; a row for each query term at most
+    scored = tf.join(df, "term").withColumn("part", bm25(F.col("tf"), F.col("length"), average, idf(n, F.col("df")), k1, b))
     return scored.join(wanted, "term").groupBy(query, *key).agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 

@@ -144,8 +144,8 @@ def weighted_scores(docs: DataFrame, units: DataFrame, q: DataFrame, extra: Data
     near = similar_terms(terms, vocabulary.select(F.col("word").alias("term")), w.threshold).select(F.col("a").alias("term"), F.col("b").alias("word"), "sim")
     asked = own.select("query_id", F.col("stem").alias("term"))
     held = direct.select(*KEY, F.col("stem").alias("term"))
-    partial = tf.join(checked_broadcast(inside), F.col("stem") == F.col("word")).join(checked_broadcast(asked), "term").groupBy(*KEY, "term").agg((F.sum("tf") * w.partial).alias("part")).join(held, [*KEY, "term"], "left_anti")
-    close = tf.join(checked_broadcast(near), F.col("stem") == F.col("word")).join(checked_broadcast(asked), "term").groupBy(*KEY, "term").agg((F.min_by("sim", "first") * w.fuzzy).alias("part"))
+    partial = tf.join(inside, F.col("stem") == F.col("word")).join(checked_broadcast(asked), "term").groupBy(*KEY, "term").agg((F.sum("tf") * w.partial).alias("part")).join(held, [*KEY, "term"], "left_anti")
+    close = tf.join(near, F.col("stem") == F.col("word")).join(checked_broadcast(asked), "term").groupBy(*KEY, "term").agg((F.min_by("sim", "first") * w.fuzzy).alias("part"))
     close = close.join(held, [*KEY, "term"], "left_anti").join(partial.select(*KEY, "term"), [*KEY, "term"], "left_anti")
     matched = direct.unionByName(synonym).select(*KEY, F.col("stem").alias("term"), "part").unionByName(partial).unionByName(close)
 
@@ -193,10 +193,10 @@ def weighted_names(units: DataFrame, q: DataFrame, extra: DataFrame, spec: Spec,
     vocabulary, terms = names.select(F.col("stem").alias("word")).where("length(word) >= 4").distinct(), stems.select(F.col("stem").alias("term")).where("length(term) >= 4").distinct()
     inside = contained_words(terms, vocabulary).unionByName(contained_words(vocabulary.select(F.col("word").alias("term")), terms.select(F.col("term").alias("word"))).select(F.col("word").alias("term"), F.col("term").alias("word"))).distinct()
     asked = q.select("query_id", F.col("stem").alias("asked"))
-    pairs = names.join(checked_broadcast(inside.withColumnRenamed("term", "asked")), F.col("stem") == F.col("word")).join(checked_broadcast(asked), "asked")
+    pairs = names.join(inside.withColumnRenamed("term", "asked"), F.col("stem") == F.col("word")).join(checked_broadcast(asked), "asked")
     parts.append(pairs.select(*KEY, F.lit(w.name_partial).alias("bonus")))
     near = similar_terms(terms, vocabulary.select(F.col("word").alias("term")), w.threshold).select(F.col("a").alias("asked"), F.col("b").alias("word"), "sim")
-    close = names.join(checked_broadcast(near), F.col("stem") == F.col("word")).join(checked_broadcast(asked), "asked").join(checked_broadcast(own), ["query_id", "stem"], "left").where("own is null")
+    close = names.join(near, F.col("stem") == F.col("word")).join(checked_broadcast(asked), "asked").join(checked_broadcast(own), ["query_id", "stem"], "left").where("own is null")
     parts.append(close.select(*KEY, (F.col("sim") * w.name_fuzzy).alias("bonus")))
     out = parts[0]
     for p in parts[1:]:
@@ -287,7 +287,7 @@ def search_lines(docs: DataFrame, queries: DataFrame, config: SearchConfig) -> D
     q = query_words(queries, Spec("counts")).select("query_id", F.col("stem").alias("term")).distinct()
     words = segment.lines(docs).select("doc_id", "line_no", F.explode(F.array_distinct(word_runs(F.col("line")))).alias("word"))
     pairs = contained_words(q, words)
-    hits = words.join(checked_broadcast(pairs), "word").groupBy("doc_id", "line_no", "term").agg(F.max(F.when(F.col("word") == F.col("term"), 10).otherwise(3)).alias("points"))
+    hits = words.join(pairs, "word").groupBy("doc_id", "line_no", "term").agg(F.max(F.when(F.col("word") == F.col("term"), 10).otherwise(3)).alias("points"))
     scored = hits.join(checked_broadcast(q), "term").groupBy("query_id", "doc_id", "line_no").agg((F.sum("points") * 10.0).alias("score"))
     n = docs.select("doc_id", segment.line_count(F.col("text")).alias("n"))
     s, e = segment.padded(F.col("line_no"), F.col("line_no"), F.col("n"), config.min_lines // 2)
@@ -308,7 +308,7 @@ def search_windows(docs: DataFrame, queries: DataFrame, config: SearchConfig) ->
     w = ["doc_id", "start", "end"]
     bm25 = stats.bm25_scores(units, q.select("query_id", F.col("stem").alias("term")).distinct(), w, "query_id")
     most = bm25.groupBy("query_id").agg(F.greatest(F.lit(1.0), F.max("score")).alias("most"))
-    base = bm25.join(checked_broadcast(most), "query_id").select("query_id", *w, (F.col("score") / F.col("most") * 0.35).alias("part"))
+    base = bm25.join(most, "query_id").select("query_id", *w, (F.col("score") / F.col("most") * 0.35).alias("part"))
     asked = checked_broadcast(q)
     term_hits = inside.join(asked.select("query_id", F.col("term").alias("asked_term"), "stem"), "stem")
     exact = F.countDistinct(F.when(F.col("term") == F.col("asked_term"), F.col("asked_term")))
@@ -340,7 +340,7 @@ def search_terms(docs: DataFrame, queries: DataFrame, config: SearchConfig) -> D
     # occurrences may overlap: one at every place where the term begins
     places = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - F.length("term") + 1)), lambda i: F.substr(F.col("word"), i, F.length("term")) == F.col("term")))
     points = F.when(F.col("word") == F.col("term"), 2).otherwise(places)
-    hits = words.join(checked_broadcast(pairs.withColumn("points", points)), "word").join(checked_broadcast(q), "term").groupBy("query_id", "doc_id", "line_no").agg(F.sum(F.col("points") * F.col("times")).alias("hits"))
+    hits = words.join(pairs.withColumn("points", points), "word").join(checked_broadcast(q), "term").groupBy("query_id", "doc_id", "line_no").agg(F.sum(F.col("points") * F.col("times")).alias("hits"))
     own = select.band(hits, ["query_id", "doc_id"], 3).withColumn("score", F.col("hits") * 10.0 + (F.col("band") - F.col("hits")) * 5)
     top = stats.top(own.withColumn("lead", F.col("hits").cast("double")), "query_id", 10, "doc_id", "line_no", score="lead").drop("rank")
     n = docs.select("doc_id", segment.line_count(F.col("text")).alias("n"))

@@ -141,7 +141,7 @@ def line_hits(spark: SparkSession, sf: str) -> DataFrame:
     found = line_terms(spark, sf)
     q = items(spark, sf)
     pairs = contained_words(q.select("term").distinct(), found.select("word").distinct())
-    lines = found.join(checked_broadcast(pairs), "word")
+    lines = found.join(pairs, "word")  # a side made from the corpus: adaptive execution picks the join
     lines = lines.groupBy("doc_id", "line_no", "term").agg(F.max(F.when(F.col("word") == F.col("term"), F.col("times")).otherwise(0)).alias("whole"), F.sum(F.when(F.col("word") == F.col("term"), 0).otherwise(F.col("times"))).alias("inside"))
     return lines.join(checked_broadcast(q), "term")
 
