@@ -6,6 +6,8 @@ writes to a sink in the shared folder; checkpoints lie beside it, so a run that
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:  # as in tests; a cluster names its shared folder
+        root = tempfile.mkdtemp(prefix="tidemark-stream-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root}/streams/{name}-{uuid.uuid4().hex}"
 
 
