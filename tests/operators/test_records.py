@@ -102,6 +102,10 @@ def test_marks_and_subwindows(spark):
     found = spark.createDataFrame([("q", 15, 30), ("r", 1, 90)], "q string, start int, end int")
     assert {r["q"]: r["marks"] for r in evaluate.marks(found, truth, ["q"]).collect()} == {"q": 5.0, "r": 10.0, "s": 0.0}
     assert [r[0] for r in spark.createDataFrame([(0.6,), (0.5,), (0.3,), (0.1,), (0.0,)], "s double").select(evaluate.step_marks(F.col("s"))).collect()] == [10, 10, 5, 1, 0]
+    table = spark.createDataFrame([("a", 9.0), ("b", 7.5), ("c", 7.5)], "engine string, total double")
+    assert [r["lead"] for r in evaluate.leads(table).orderBy("engine").collect()] == [1.5, 0.0, 0.0]
+    assert {tuple(r) for r in evaluate.best_by_group(table, spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y")], "engine string, kind string")).collect()} == {("x", "a", 9.0), ("y", "c", 7.5)}
+    assert evaluate.markdown(table, "Engines").splitlines()[2] == "| engine | total |"
     hits = spark.createDataFrame([("d", i, int(i in (3, 4, 9))) for i in range(1, 12)], "doc string, line_no int, hits int")
     r = select.best_subwindow(hits, ["doc"], 3).first()
     assert (r["start"], r["end"], r["hits"]) == (2, 4, 2)

@@ -36,3 +36,27 @@ def engine_table(scored: DataFrame, engine: str = "engine") -> DataFrame:
 def rollup_marks(scored: DataFrame, *levels: str) -> DataFrame:
     """Average marks by each level, and overall, in one pass."""
     return scored.rollup(*levels).agg(F.round(F.avg("marks"), 4).alias("avg_marks"), F.count("*").alias("questions"))
+
+
+def leads(table: DataFrame, engine: str = "engine") -> DataFrame:
+    """An engine table with each engine's lead over the next one (0 for the last)."""
+    order = Window.orderBy(F.col("total").desc(), engine)  # one row for each engine
+    return table.withColumn("lead", F.round(F.col("total") - F.coalesce(F.lead("total").over(order), F.col("total")), 4))
+
+
+def best_by_group(table: DataFrame, groups: DataFrame, group: str = "kind", engine: str = "engine") -> DataFrame:
+    """(group, best, total): the best engine of each group of engines; groups is (engine, group)."""
+    joined = table.join(groups, engine)
+    return joined.groupBy(group).agg(F.max_by(engine, F.struct("total", engine)).alias("best"), F.max("total").alias("total"))
+
+
+def category_table(scored: DataFrame, engines: list[str], category: str = "lang", engine: str = "engine") -> DataFrame:
+    """One row for each category, one column of average marks for each engine."""
+    return scored.groupBy(category).pivot(engine, engines).agg(F.round(F.avg("marks"), 4))
+
+
+def markdown(table: DataFrame, title: str, rows: int = 200) -> str:
+    """A finished report table as Markdown; for aggregates of a few rows (at most ``rows`` are shown)."""
+    lines = [f"## {title}", "", f"| {' | '.join(table.columns)} |", f"|{'-|' * len(table.columns)}"]
+    lines += [f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in table.take(rows)]
+    return "\n".join([*lines, ""])

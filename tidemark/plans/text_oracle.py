@@ -146,6 +146,8 @@ SELECT doc_id, line_no, round(band, 6) AS band FROM (SELECT *, row_number() OVER
     "marks_by_engine": f"WITH {ENGINES} SELECT engine, item_id, marks FROM by_item",
     "marks_by_category": f"WITH {ENGINES} SELECT coalesce(engine, 'all') AS engine, coalesce(lang, 'all') AS lang, round(avg(marks), 4) AS avg_marks, count(*) AS questions FROM em GROUP BY ROLLUP (engine, lang)",
     "engine_rank": f"WITH {ENGINES} SELECT engine, total, accuracy, rank() OVER (ORDER BY total DESC) AS place FROM (SELECT engine, round(sum(marks), 4) AS total, round(sum(marks) * 10.0 / count(*), 2) AS accuracy FROM by_item GROUP BY engine)",
+    "engine_leads": f"WITH {ENGINES}, t AS (SELECT engine, round(sum(marks), 4) AS total FROM by_item GROUP BY engine) SELECT engine, total, round(total - coalesce(lead(total) OVER (ORDER BY total DESC, engine), total), 4) AS lead FROM t",
+    "category_pivot": f"WITH {ENGINES} SELECT lang, round(avg(marks) FILTER (engine = 'bm25'), 4) AS bm25, round(avg(marks) FILTER (engine = 'counts'), 4) AS counts, round(avg(marks) FILTER (engine = 'phrases'), 4) AS phrases FROM em GROUP BY lang",
     "hit_at_k": f"""WITH {ENGINES}, f AS (SELECT engine, item_id, min(rank) AS k FROM results JOIN (SELECT DISTINCT item_id, doc_id FROM passages) USING (item_id, doc_id) GROUP BY engine, item_id),
 a AS (SELECT engine, item_id, k FROM (SELECT DISTINCT item_id FROM passages) CROSS JOIN engines LEFT JOIN f USING (engine, item_id))
 SELECT engine, count(*) AS questions, count(*) FILTER (k <= 1) AS hit_1, count(*) FILTER (k <= 3) AS hit_3, count(*) FILTER (k <= 5) AS hit_5, round(count(*) FILTER (k <= 1) * 100.0 / count(*), 2) AS rate_1, round(count(*) FILTER (k <= 3) * 100.0 / count(*), 2) AS rate_3, round(count(*) FILTER (k <= 5) * 100.0 / count(*), 2) AS rate_5 FROM a GROUP BY engine""",

@@ -341,3 +341,11 @@ def hit_at_k(spark: SparkSession, sf: str) -> DataFrame:
     engines = spark.createDataFrame([("bm25",), ("counts",), ("phrases",)], "engine string")
     found = engine_results(spark, sf).join(truth, ["item_id", "doc_id"]).groupBy("engine", "item_id").agg(F.min("rank").alias("first_rank"))
     return evaluate.hits_at(asked.join(F.broadcast(engines)).join(found, ["engine", "item_id"], "left"), ["engine"])
+
+
+def engine_leads(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.leads(engine_rank(spark, sf)).select("engine", "total", "lead")
+
+
+def category_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.category_table(engine_marks(spark, sf), ["bm25", "counts", "phrases"])
