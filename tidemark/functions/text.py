@@ -19,8 +19,8 @@ CTX_START, CTX_END = "[CTX_START]", "[CTX_END]"
 def tokens(text: Column, stop_words: list[str] = STOP_WORDS, min_chars: int = 3) -> Column:
     """Words of ASCII letters and digits: camel case and underscores split, lower case, no stop words; order and repeats kept."""
     spaced = F.regexp_replace(F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z])([A-Z])", "$1 $2"), "_", " "), "[^a-zA-Z0-9]", " ")
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    return F.filter(F.split(F.lower(spaced), " +"), lambda t: (F.length(t) >= min_chars) & ~F.array_contains(stop, t))
+    # the optimizer makes a hash set of the list
+    return F.filter(F.split(F.lower(spaced), " +"), lambda t: (F.length(t) >= min_chars) & ~t.isin(stop_words) if stop_words else F.length(t) >= min_chars)
 
 
 def identifier_parts(name: Column) -> Column:
