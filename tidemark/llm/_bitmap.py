@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 #: Bits, as a power of two: 32 MB, whatever the corpus. A fuller bitmap lets more through; it never drops a repeated hash.
 BITS = 28
+#: Leading bits of a hash that are counted: what is shuffled. Enough for 10**13 hashes; hashes that share them count as one.
+COUNTED_BITS = 48
 
 
 def counted(hashes: np.ndarray) -> pa.RecordBatch:
     """(hash, n) of a batch of uint64 hashes; n is 1 or 2, for two or more."""
-    found, n = np.unique(hashes, return_counts=True)
+    found, n = np.unique(hashes >> np.uint64(64 - COUNTED_BITS), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["hash", "n"])
 
 
@@ -22,7 +24,7 @@ COUNTED = "hash long, n int"
 
 def repeated(counts: DataFrame) -> np.ndarray:
     """The bitmap as uint64 words: the bit of each hash whose n adds up to two or more."""
-    bucket = F.shiftrightunsigned("hash", 64 - BITS).cast("int")
+    bucket = F.shiftright("hash", COUNTED_BITS - BITS).cast("int")
     often = counts.groupBy("hash").agg(F.sum("n").alias("n")).where("n >= 2").select(bucket.alias("bucket"))
     words = often.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bucket & 63)")).alias("bits"))
     out = np.zeros(1 << (BITS - 6), dtype=np.uint64)

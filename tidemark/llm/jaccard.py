@@ -44,6 +44,8 @@ from tidemark.llm.components import components
 #: Nodes of a block; tiles above it are split.
 BLOCK = 1024
 KEPT_NODES = 200_000
+#: Postings, and bytes of signatures and sets, that a worker holds before it sends them on.
+HELD, HELD_BYTES = 500_000, 8 << 20
 MIN_BITS = 1024
 ODD = np.uint64(0x9FB21C651E98DF25)
 
@@ -157,8 +159,14 @@ def _posted(docs: DataFrame, text: str, k: int, bands: Bands, bitmap: np.ndarray
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        posts, nodes, held = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], 0
+
+        def send() -> pa.RecordBatch:
+            post, node = np.concatenate(posts), np.concatenate(nodes)
+            del posts[1:], nodes[1:]
+            return counted(post) if bits is None else pa.RecordBatch.from_arrays([pa.array(post.view(np.int64)), pa.array(node)], ["post", "node"])
+
         for batch in batches:
-            posts, nodes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
             for s in shingle_sets(batch.column(0), k):
                 node = node_of(s)
                 if not len(s) or node in seen:
@@ -173,8 +181,11 @@ def _posted(docs: DataFrame, text: str, k: int, bands: Bands, bitmap: np.ndarray
                             continue
                     posts.append(own)
                     nodes.append(np.full(len(own), node))
-            post, node = np.concatenate(posts), np.concatenate(nodes)
-            yield counted(post) if bits is None else pa.RecordBatch.from_arrays([pa.array(post.view(np.int64)), pa.array(node)], ["post", "node"])
+                    held += len(own)
+                if held > HELD:
+                    yield send()
+                    held = 0
+        yield send()
 
     return docs.select(text).mapInArrow(read, COUNTED if bits is None else "post long, node long")
 
@@ -201,12 +212,23 @@ def marks_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, doc_id: str,
     chosen = own.join(first, own["tm_doc"].eqNullSafe(first["tm_id"]) & (own["tm_key"] == first["tm_text"]), "left_semi").select("tm_raw")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, bytes, bytes]] = []
+        held = 0
+
+        def send() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["node", "n", "bits", "shingles"])
+
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0), k))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["node", "n", "bits", "shingles"],
-            )
+            for s in shingle_sets(batch.column(0), k):
+                rows.append((node_of(s), len(s), signature(s), s.tobytes()))
+                held += len(rows[-1][2]) + len(rows[-1][3])
+                if held > HELD_BYTES:
+                    yield send()
+                    held = 0
+        yield send()
 
     return stage(chosen.distinct().mapInArrow(read, "node long, n long, bits binary, shingles binary"), "jaccard-marks")
 
@@ -324,7 +346,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = first.where("linked").select("a", "b")
     named = components(links)
     if not first.where("not linked").isEmpty():
-        again = candidates(tiles, marks, percent, named).join(first, ["a", "b"], "left_anti")
+        # a node that was in no pair within the bound then is in none now
+        nodes = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        open_tiles = tiles.join(small(stage(nodes, "jaccard-open-nodes")), "node", "left_semi").select(*tiles.columns)
+        again = candidates(open_tiles, marks, percent, named).join(first, ["a", "b"], "left_anti")
         more = stage(verified(again, marks, bands).where("linked").select("a", "b"), "jaccard-verified")
         if not more.isEmpty():
             named = components(links.unionByName(more))
