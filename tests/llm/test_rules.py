@@ -66,7 +66,7 @@ def test_learning_is_ordered_and_prunes():
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, "a b", 7), (1, "a b", 7), (None, None, 8), (2, "w " * 60, 9)], "doc_id long, text string, n_words long")
+    docs = spark.createDataFrame([(1, "a b", 7), (1, "a b", 7), (None, None, 8), (2, "w " * 60, 9)], "doc_id long, text string, n_words long").withColumn("odd name-of: it", F.lit(1))
     labels = spark.createDataFrame([(1, 0), (None, 1), (2, None), (99, 1), (1, 0)], "doc_id long, quality int")
     out = judge(docs, labels).collect()
     assert len(out) == 4 and sorted(r["n_words"] for r in out) == [0, 2, 2, 60]

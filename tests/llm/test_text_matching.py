@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_pipeline import ASCII_LOWER, WORDS, brute_components, shingles
 from tidemark.llm import jaccard
@@ -126,7 +127,7 @@ def test_substrings(spark, sf):
             w[at:at] = p[rng.randrange(3) :]
         rows.append((rng.randrange(100, 400) if i % 10 else None, " ".join(w)))
     rows += rows[-5:] + [(900, rows[-7][1]), (50, rows[-7][1]), (950, " ".join(passages[0]))]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string").repartition(5)
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string").withColumn("odd name-of: it", F.lit(1)).repartition(5)
     got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in dedup_substrings(docs).collect()), key=str)
     assert got == sorted(((d, *x) for (d, _), x in zip(rows, brute_substrings(rows, 13), strict=True)), key=str)
     spans = dedup_substrings(docs).where("n_removed > 0").collect()
@@ -169,7 +170,7 @@ def test_decontamination(spark, block_words):
     texts = list(ODD) + [" ".join(word() for _ in range(rng.randrange(0, 50))) for _ in range(60)]
     for _, t in items:
         texts.append(f"{word()} {(t or '').upper()}-{word()}")
-    docs = spark.createDataFrame([(i if i % 9 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_hit string")
+    docs = spark.createDataFrame([(i if i % 9 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_hit string").withColumn("odd name-of: it", F.struct(F.lit(1).alias("a b")))
     out = decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
     got = sorted((str(r["text"]), *(r[c] for c in COLUMNS)) for r in out.collect())
     assert got == sorted((str(t), *x) for t, x in zip(texts, brute_contamination(texts, items, 10), strict=True))

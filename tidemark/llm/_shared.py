@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a staged table that may be broadcast; above it the same join runs as a shuffle join.
 BROADCAST_ROWS = 2_000_000
@@ -70,6 +71,11 @@ def cleanup(spark: SparkSession) -> None:
     delete(spark, shared_dir(spark))
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """schema and further fields, whatever its columns are called."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def text_key(text) -> F.Column:
     """64 bits of the text (null as empty); beside doc_id it tells rows that repeat a doc_id apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import stage, text_key
+from tidemark.llm._shared import stage, text_key, with_fields
 from tidemark.llm._words import ALNUM_WORDS, chunks, runs
 
 #: Words of benchmark items in a broadcast index (about 60 bytes a word in the workers).
@@ -141,7 +141,6 @@ def marked(docs: DataFrame, text: str, index: ItemIndex, spans: bool) -> DataFra
     known = docs.sparkSession.sparkContext.broadcast(index)
     at = docs.columns.index(text)
     extra = "tm_words long, tm_starts array<int>, tm_ends array<int>, tm_items array<string>" if spans else "n_words long, n_hit long, n_items long, items_sha256 string"
-    schema = docs.schema.simpleString()[7:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = known.value
@@ -174,7 +173,7 @@ def marked(docs: DataFrame, text: str, index: ItemIndex, spans: bool) -> DataFra
             names = [x.split()[0] for x in extra.split(", ")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{schema},{extra}")
+    return docs.mapInArrow(run, with_fields(docs.schema, extra))
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> list[list[tuple]]:

@@ -9,7 +9,7 @@ nothing is lost where one source ends and another begins, and a factor of ``wind
 Most windows occur once, and those never leave their task. *Anchors* thin them out: each window is represented by the
 smallest hash among its ``ANCHOR``-word grams, so equal windows have equal anchors, and neighbouring windows share
 them. A first pass counts the documents of each anchor (texts that are equal count once in a task), and sets the bit
-of each anchor found in two or more in a bitmap of fixed size, which is all that is broadcast. In a
+of each anchor found in two or more in a bitmap of bounded size, which is all that is broadcast. In a
 second pass, only windows whose anchor has its bit set go to the index. A full bitmap would let every window through:
 slower, never wrong.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bitmap import COUNTED, counted, holds, repeated
-from tidemark.llm._shared import small, stage
+from tidemark.llm._shared import small, stage, with_fields
 from tidemark.llm._words import SPACE_WORDS, Chunk, as_bytes, chunks, runs
 
 ANCHOR = 6
@@ -151,7 +151,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     joined = own.withColumn("tm_own", key)
     joined = joined.join(found, joined[doc_id].eqNullSafe(found["tm_id"]) & (joined["tm_own"] == found["tm_key"]), "left").select(*[joined[c] for c in own.columns], "tm_whole", "tm_spans")
     at = own.columns.index(text)
-    schema = f"{own.schema.simpleString()[7:-1]}, n_words long, n_removed long, spans array<struct<start:int,end:int>>"
+    schema = with_fields(own.schema, "n_words long, n_removed long, spans array<struct<start:int,end:int>>")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tidemark.llm._shared import with_fields
 from tidemark.llm._words import SPACE_WORDS, chunks, mix, powers, table
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits"]
@@ -60,7 +62,7 @@ def statistics(docs: DataFrame, text: str = "text", keep_text: bool = False) ->
     at = docs.columns.index(text)
     keep = [c for c in docs.columns if (keep_text or c != text) and c not in STATISTICS]
     where = [docs.columns.index(c) for c in keep]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in STATISTICS])
+    schema = with_fields(StructType([docs.schema[c] for c in keep]), ", ".join(f"{c} long" for c in STATISTICS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
