@@ -8,7 +8,7 @@ Documents with equal shingle sets are one *node* from the start. Two nodes x and
 difference a link can have, so two linked nodes agree in many whole parts (a few parts more make up for empty ones; a
 node with more empty parts than that also posts those). A node posts the hash of each part in its band, and in the
 lower bands where smaller partners can be. Nodes that share a posting form a tile. Common shingles make no large
-tiles: all shingles of a part must agree. Parts that occur once are filtered by a bitmap of fixed size before the
+tiles: all shingles of a part must agree. Parts that occur once are filtered by a bitmap of bounded size before the
 shuffle, as most do, and with them all nodes that share too few parts with others to link with any. Tiles with the same members are one tile; a large one is split into blocks, which meet pairwise.
 
 *Bounds.* A node's signature is a hashed parity bitmap of a size that follows the node's. The bits in which two differ
