@@ -11,7 +11,7 @@ STOP_WORDS = (
     "been being was were would could should may might must shall into through during before after above below between under over out off "
     "down up all each every both few more most other some such only own same than too very just also any"
 ).split()
-SHORT_STOP_WORDS = ["the", "a", "an", "and", "or", "in", "on", "of", "to", "for", "is", "that", "how", "where"]
+SHORT_STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by"]
 CONTENT_TYPES = {"video/mp4": ".mp4", "video/quicktime": ".mov", "video/x-matroska": ".mkv", "video/webm": ".webm", "video/x-msvideo": ".avi"}
 CTX_START, CTX_END = "[CTX_START]", "[CTX_END]"
 
