@@ -112,6 +112,11 @@ def test_synonyms_rules_and_smart_ranges(spark, docs, queries):
     assert (wide["start"], wide["end"]) == (14, 25) or "expireSessions" in wide["code"]
 
 
+def test_backoff_finds_longer_words(spark, docs):
+    asked = spark.createDataFrame([("q", "expir")], "query_id string, query string")
+    assert "expireSessions" in search(docs, asked, "bm25_stems").where("rank = 1").first()["code"]
+
+
 def test_save_and_command(spark, docs, queries, tmp_path):
     config = SearchConfig()
     save(search(docs, queries, "final", config), queries, config, str(tmp_path / "out"))

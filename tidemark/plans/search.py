@@ -71,6 +71,7 @@ class Spec:
     multipliers: tuple[float, float, float, float] = (2.0, 1.5, 1.5, 1.4)  # function, class, top level, property
     short_penalty: float = 1.0  # for regions of three lines or fewer
     span_curve: bool = False
+    backoff: bool = False  # words a unit lacks count where they hold, or are held by, one of its words
     rule: str = "strict"
     pad: int = 0  # lines around a result
     test_padded: bool = False
@@ -172,7 +173,22 @@ def bm25_unit_scores(units: DataFrame, q: DataFrame, extra: DataFrame, spec: Spe
     """BM25 over the regions of all documents."""
     stems = unit_words(units, spec.stem).groupBy("doc_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]).alias("tokens"))
     asked = q.select("query_id", F.col("stem").alias("term")).unionByName(extra.withColumnRenamed("stem", "term")).distinct()
-    return stats.bm25_scores(stems, asked, ["doc_id", "seq"], "query_id", k1=spec.k1, b=spec.b)
+    exact = stats.bm25_scores(stems, asked, ["doc_id", "seq"], "query_id", k1=spec.k1, b=spec.b)
+    if not spec.backoff:
+        return exact
+    tf = unit_words(units, spec.stem).groupBy("doc_id", "seq", "stem").agg(F.count("*").alias("tf"))
+    terms, words = asked.select("term").distinct(), tf.select(F.col("stem").alias("word")).distinct()
+    inside = contained_words(terms, words)
+    around = contained_words(words.select(F.col("word").alias("term")), terms.select(F.col("term").alias("word"))).select(F.col("word").alias("term"), F.col("term").alias("word"))
+    pairs = inside.unionByName(around).where("term <> word").distinct()
+    pairs = pairs.withColumn("prefix", F.startswith("word", "term") | F.startswith("term", "word"))
+    held = tf.join(checked_broadcast(asked), F.col("stem") == F.col("term")).select(*KEY, "term")
+    shape = units.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("average")).first()  # two numbers
+    rare = stats.idf(F.lit(float(shape["n"])), F.lit(1.0))
+    near = tf.join(pairs, F.col("stem") == F.col("word")).join(checked_broadcast(asked), "term").groupBy(*KEY, "term").agg(F.sum("tf").alias("tf"), F.bool_or("prefix").alias("prefix"))
+    near = near.join(held, [*KEY, "term"], "left_anti").join(units.select("doc_id", "seq", F.size("tokens").alias("length")), ["doc_id", "seq"])
+    part = stats.bm25(F.col("tf"), F.col("length"), F.lit(float(shape["average"] or 1)), rare, spec.k1, spec.b) * F.when(F.col("prefix"), 0.8).otherwise(0.5)
+    return exact.unionByName(near.select(*KEY, part.alias("score")).select(*exact.columns)).groupBy(*KEY).agg(F.sum("score").alias("score"))
 
 
 def name_words(units: DataFrame, spec: Spec) -> DataFrame:
@@ -359,7 +375,7 @@ SPECS = {
     "counts": Spec("counts"),
     "counts_padded": Spec("counts", short_penalty=0.3, pad=4),
     "stem_counts": Spec("counts", stem="plain", per_match=2, per_term=10, name=(50, 15), pad=4),
-    "bm25_stems": Spec("bm25", stem="tion", stop_words=SHORT_STOP_WORDS, min_chars=2, name=(5, 3), multipliers=(1.5, 1.2, 1.1, 1.1), pad=4),
+    "bm25_stems": Spec("bm25", backoff=True, stem="tion", stop_words=SHORT_STOP_WORDS, min_chars=2, name=(5, 3), multipliers=(1.5, 1.2, 1.1, 1.1), pad=4),
     "bm25_history": Spec("bm25", stem="e", stop_words=SHORT_STOP_WORDS, min_chars=2, name=(5, 3), multipliers=(1.5, 1.2, 1.1, 1.1), pad=4),
     "bm25_spans": Spec("bm25", span_curve=True, pad=4, test_padded=True),
 }
