@@ -129,5 +129,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     chosen = left.join(right, (left["tm_digest"] == right["tm_digest"]) & left["tm_doc"].eqNullSafe(right["tm_id"]), how)
     encode_counts(chosen.select(F.col("tm_digest").alias("digest"), "tm_raw"), tokenizer).write.mode("append").parquet(store)
 
-    counts = spark.read.schema(schema).parquet(store).dropDuplicates(["digest"])
+    counts = stage(spark.read.schema(schema).parquet(store).dropDuplicates(["digest"]), "token-counts")  # so that the join can split hot digests
     return keyed.join(counts, keyed["tm_digest"] == counts["digest"], "left").select(*[keyed[c] for c in docs.columns], "n_bytes", "n_tokens")
