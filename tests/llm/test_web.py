@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import html as entities
+import json
 import random
 import re
 
@@ -114,3 +115,30 @@ def test_matching_aligns_optional_nodes():
     merged = W.merged(a, b)
     labels = [c[W.LABEL] for c in merged[W.CHILDREN][0][W.CHILDREN][0][W.CHILDREN]]
     assert labels == ["h2", "ul", "p"]
+
+
+def texts(htmls):
+    """The pages' texts by the wrapper of all of them, as one host."""
+    template = None
+    for h in htmls:
+        page = W.folded(W.parse(h))
+        template = page if template is None else W.merged(template, page)
+    wrapper = json.loads(W.wrapper_of(template))
+    return [W.extract_page(W.parse(h), wrapper) for h in htmls]
+
+
+def test_runs_align_with_what_they_fold_to():
+    long = [f"<main><h1>t{i}</h1><div><p>a{i}</p><ul><li>l{i}</ul></div><h2>More</h2><div><p>All rights reserved</p></div></main>" for i in range(6)]
+    runs = [f"<main><h1>t{i}</h1><div><p>a{i}</p><ul><li>l{i}</ul></div><div><p>b{i}</p><ul><li>m{i}</ul></div></main>" for i in range(6, 10)]
+    out = texts([f"<html><body>{x}</body></html>" for x in long + runs])
+    assert out == [f"t{i}\na{i}\nl{i}" for i in range(6)] + [f"t{i}\na{i}\nl{i}\nb{i}\nm{i}" for i in range(6, 10)]
+
+
+def test_only_the_constant_text_itself_is_template():
+    pages = [f"<main><h1>t{i}</h1><p>a{i}</p><h2>More</h2></main>" for i in range(6)]
+    template = None
+    for h in pages:
+        page = W.folded(W.parse(h))
+        template = page if template is None else W.merged(template, page)
+    other = "<main><h1>t</h1><p>a</p><h2>Own words</h2></main>"
+    assert W.extract_page(W.parse(other), json.loads(W.wrapper_of(template))) == "t\na\nOwn words"

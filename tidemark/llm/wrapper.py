@@ -66,7 +66,8 @@ HOSTS_HELD = 2000
 VARIES = ""
 
 # A node is [label, dropped, children, pages, hash, chars]; a leaf has the label "#" and no children.
-LABEL, DROP, CHILDREN, PAGES, HASH, CHARS = range(6)
+# Where a page is to be cut by a wrapper, its folded nodes hold the page's nodes they stand for as well.
+LABEL, DROP, CHILDREN, PAGES, HASH, CHARS, SOURCES = range(7)
 
 
 def _element(tag: str, attributes: str, in_region: bool) -> list:
@@ -162,18 +163,19 @@ def parse(html: str) -> list:
     return root
 
 
-def folded(node: list) -> list:
+def folded(node: list, sources: bool = False) -> list:
     """A copy with each run of sibling elements of one label folded into one node, and texts hashed."""
+    own = [[node]] if sources else []
     if node[LABEL] == "#":
-        return ["#", False, [], 1, blake2b(node[HASH].encode(), digest_size=8).hexdigest(), node[CHARS]]
+        return ["#", False, [], 1, blake2b(node[HASH].encode(), digest_size=8).hexdigest(), node[CHARS], *own]
     children: list[list] = []
     for c in node[CHILDREN]:
-        c = folded(c)
+        c = folded(c, sources)
         if children and children[-1][LABEL] == c[LABEL] != "#":
             children[-1] = merged(children[-1], c, True)
         else:
             children.append(c)
-    return [node[LABEL], node[DROP], children, 1, VARIES, 0]
+    return [node[LABEL], node[DROP], children, 1, VARIES, 0, *own]
 
 
 def matching(a: list, b: list) -> int:
@@ -228,7 +230,8 @@ def merged(a: list, b: list, siblings: bool = False) -> list:
         text = blake2b(f"{a[HASH]} {b[HASH]}".encode(), digest_size=8).hexdigest()
     else:
         text = a[HASH] if a[HASH] == b[HASH] else VARIES
-    return [a[LABEL], a[DROP] and b[DROP], children, 1 if siblings else a[PAGES] + b[PAGES], text, a[CHARS] + b[CHARS]]
+    sources = [a[SOURCES] + b[SOURCES]] if siblings and len(a) > SOURCES else []
+    return [a[LABEL], a[DROP] and b[DROP], children, 1 if siblings else a[PAGES] + b[PAGES], text, a[CHARS] + b[CHARS], *sources]
 
 
 def _mass(node: list, all_text: bool) -> int:
@@ -267,50 +270,47 @@ def wrapper_of(template: list) -> str:
     return json.dumps([template, path, differs], separators=(",", ":"), ensure_ascii=False)
 
 
-def _texts(node: list, template: list | None, constant, out: list[str]) -> None:
-    """Texts below a page's node, less dropped elements and leaves the template holds as constant."""
-    matched: dict[int, list] = {}
-    if template is not None:
-        runs: list[list] = []  # [label, first child, last child] of the page as it folds
-        for i, c in enumerate(node[CHILDREN]):
-            if runs and runs[-1][0] == c[LABEL] != "#":
-                runs[-1][2] = i
-            else:
-                runs.append([c[LABEL], i, i])
-        folds = [folded(node[CHILDREN][r[1]]) if r[1] == r[2] else [r[0], False, [], 1, VARIES, 0] for r in runs]
-        for p, q in aligned(folds, template[CHILDREN]):
-            for i in range(runs[p][1], runs[p][2] + 1):
-                matched[i] = template[CHILDREN][q]
-    for i, c in enumerate(node[CHILDREN]):
-        own = matched.get(i)
+def _template_leaves(fold: list, template: list, need: float, found: set[int]) -> None:
+    """The page's leaves, by id, whose text (of the whole run, where siblings fold) is the constant of their template leaf."""
+    for p, q in aligned(template[CHILDREN], fold[CHILDREN]):
+        t, c = template[CHILDREN][p], fold[CHILDREN][q]
+        if c[LABEL] != "#":
+            _template_leaves(c, t, need, found)
+        elif t[HASH] == c[HASH] != VARIES and t[PAGES] >= need:
+            found.update(id(leaf) for leaf in c[SOURCES])
+
+
+def _texts(node: list, region: set[int], inside: bool, template: set[int], out: list[str]) -> None:
+    """Texts of the page's region nodes in the order of the page, less dropped elements and template leaves."""
+    for c in node[CHILDREN]:
         if c[LABEL] == "#":
-            if own is None or not constant(own):
+            if inside and id(c) not in template:
                 out.append(c[HASH])
-        elif not c[DROP]:
-            _texts(c, own, constant, out)
+        elif not (inside and c[DROP]):
+            _texts(c, region, inside or id(c) in region, template, out)
 
 
 def extract_page(page: list, wrapper: list) -> str:
     """The text of a page by its host's wrapper."""
     template, path, differs = wrapper
-    node, at = page, template
+    places, at = [folded(page, True)], template
     for step in path:
         want = at[CHILDREN][step]
-        q = next((c for p, t in aligned([folded(c) for c in node[CHILDREN]], at[CHILDREN]) if t == step for c in [node[CHILDREN][p]]), None)
-        if q is None:
+        if not any(p == step for x in places for p, _ in aligned(at[CHILDREN], x[CHILDREN])):
             # laid out otherwise than the host's other pages: the page's own region
             node = page
             for i in region_of(page_template(page))[0]:
                 node = node[CHILDREN][i]
-            at = None
+            places, at = [folded(node, True)], None
             break
-        same = [c for c in node[CHILDREN] if c[LABEL] == want[LABEL]]
-        if len(same) > 1:  # a repeated region: all of its copies
-            q = [q[LABEL], False, [x for c in same for x in c[CHILDREN]], 1, VARIES, 0]
-        node, at = q, want
-    need = max(SUPPORT, 0.5 * at[PAGES]) if at is not None else 0
+        places, at = [c for x in places for c in x[CHILDREN] if c[LABEL] == want[LABEL]], want  # a repeated region: all of its copies
+    leaves: set[int] = set()
+    if at is not None and differs:
+        for x in places:
+            _template_leaves(x, at, max(SUPPORT, 0.5 * at[PAGES]), leaves)
+    region = {id(node) for x in places for node in x[SOURCES]}
     out: list[str] = []
-    _texts(node, at, lambda leaf: differs and leaf[HASH] != VARIES and leaf[PAGES] >= need, out)
+    _texts(page, region, id(page) in region, leaves, out)
     return "\n".join(out)
 
 
