@@ -142,3 +142,12 @@ def test_only_the_constant_text_itself_is_template():
         template = page if template is None else W.merged(template, page)
     other = "<main><h1>t</h1><p>a</p><h2>Own words</h2></main>"
     assert W.extract_page(W.parse(other), json.loads(W.wrapper_of(template))) == "t\na\nOwn words"
+
+
+def test_copies_are_no_support(spark):
+    page = lambda menu, i, more: f"<html><body><nav>{menu}</nav><main><h1>t{i}</h1><p>a{i}</p>{more}<div>Share</div></main></body></html>"
+    copies = [page("menu" if k < 6 else f"menu {k}", 0, "<ul><li>own<li>list</ul>") for k in range(9)]
+    htmls = copies + [page("menu", i, "") for i in range(1, 6)]
+    rows = [(k, "http://a/", h) for k, h in enumerate(htmls)]
+    out = {r["page_id"]: r["text"] for r in W.extract(spark.createDataFrame(rows, PAGES).repartition(4)).collect()}
+    assert out == {k: "t0\na0\nown\nlist" if k < 9 else f"t{k - 8}\na{k - 8}" for k in range(14)}

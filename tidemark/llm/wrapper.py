@@ -9,9 +9,9 @@ holds all varying text outside elements whose tag, role or class says menu, head
 form or comments. Inside the region everything stays but such elements and the constant leaves that most of the host's
 pages share. A host whose pages do not differ (one page, or copies) gives no evidence; there all text counts as slots.
 
-Templates are merged where the pages are read, one for each host and task; partial templates of a host are merged in
-two levels, so the work on a host is spread over the tasks that hold its pages and no task gathers its pages. A second
-pass aligns each page with its host's wrapper.
+Copies of a page on a host are one page to the template: only their folded trees are shuffled, by host and content, so
+a host's pages stay spread over tasks. Each task merges what it holds of a host; partial templates of a host are merged
+in two levels, and no task gathers its pages. A second pass aligns each page with its host's wrapper.
 
 Defined results: null or empty html gives an empty text; a page without a usable url is of the host ""; elements nested
 deeper than 150 are taken as children of the one at that depth (no text is lost); repeated rows and page_ids each get
@@ -323,10 +323,36 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def content_key(page: list) -> str:
+    """128 bits of the page's tree less dropped elements: copies of a page have one key, whatever their menus say."""
+    parts: list[str] = []
+
+    def walk(node: list) -> None:
+        for c in node[CHILDREN]:
+            if c[LABEL] == "#":
+                parts.append(c[HASH])
+            elif not c[DROP]:
+                parts.append(f"\0{c[LABEL]}")
+                walk(c)
+                parts.append("\1")
+
+    walk(page)
+    return blake2b("\2".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def induce(pages: DataFrame, url: str = "url", html: str = "html", levels: int = 16) -> DataFrame:
-    """host, wrapper (JSON) of every host."""
+    """host, wrapper (JSON) of every host. Copies of a page are one page to the template, else they would be its support."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, trees = [], []
+            for html in batch.column(1):
+                page = parse(html.as_py() or "")
+                keys.append(content_key(page))
+                trees.append(json.dumps(folded(page), separators=(",", ":"), ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(trees, pa.string())], ["host", "content", "template"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         salt = TaskContext.get().partitionId() % levels
 
@@ -335,8 +361,8 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html", levels: int =
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([salt] * len(held), pa.int32()), pa.array(texts, pa.string())], ["host", "salt", "template"])
 
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = folded(parse(page.as_py() or ""))
+            for host, tree in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = json.loads(tree.as_py())
                 held[host] = merged(held[host], t) if host in held else t
                 if len(held) > HOSTS_HELD:
                     yield out()
@@ -356,7 +382,9 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html", levels: int =
 
         return run
 
-    partial = pages.select(host_of(F.col(url)).alias("host"), F.col(html)).mapInArrow(read, "host string, salt int, template string")
+    trees = pages.select(host_of(F.col(url)).alias("host"), F.col(html)).mapInArrow(read, "host string, content string, template string")
+    once = trees.groupBy("host", "content").agg(F.min("template").alias("template")).select("host", "template")
+    partial = once.mapInArrow(gather, "host string, salt int, template string")
     partial = partial.groupBy("host", "salt").applyInPandas(merge(False), "host string, salt int, template string")
     return partial.groupBy("host").applyInPandas(merge(True), "host string, wrapper string")
 
