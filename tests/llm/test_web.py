@@ -151,3 +151,26 @@ def test_copies_are_no_support(spark):
     rows = [(k, "http://a/", h) for k, h in enumerate(htmls)]
     out = {r["page_id"]: r["text"] for r in W.extract(spark.createDataFrame(rows, PAGES).repartition(4)).collect()}
     assert out == {k: "t0\na0\nown\nlist" if k < 9 else f"t{k - 8}\na{k - 8}" for k in range(14)}
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div><button>Menu</div><article><p>a</article>", "a"),
+        ("<body><button>Menu<article><p>a</article><button>Top</button></body>", "a"),
+        ("<body><select><option>x<p>a</p></body>", "a"),
+        ("<object data=x><p>a</p><p>b</p>", "a\nb"),
+        ("<svg class='i'/><p>a</p>", "a"),
+        ("<math/><p>a</p><p>b", "a\nb"),
+        ("<svg><title/><style /><path d=''/></svg><p>a</p>", "a"),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then <object>a plot</object></p>", "if x=1 then a plot"),
+        ("<p>a <button><div>Menu <p>x</div></button> b</p><p>c", "a b\nc"),
+        ("<template><template><p>x</p></template><p>y</p></template><p>a</p>", "a"),
+        ("<p>a<select><option>1<option>2</select>b<textarea></p></textarea>c", "a b c"),
+        ("<ul><li>a<button><ul><li>x</ul></button><li>b</ul>", "a\nb"),
+        ("<p>a</p><script>open</p>", "a"),
+    ],
+)
+def test_only_raw_text_is_skipped(html, text):
+    page = W.parse(html)
+    assert W.extract_page(page, [W.page_template(page), [], False]) == text

@@ -37,7 +37,13 @@ from tidemark.llm._shared import small, stage
 # HTML element sets and the words that mark boilerplate.
 BLOCKS = frozenset("html body head main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside address form fieldset details summary hr center dir menu hgroup dialog noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp svg select button math object video audio canvas".split())
+#: Their content is no markup: skipped to the end tag.
+RAW = frozenset("script style textarea title noscript iframe xmp".split())
+#: Dropped with what they hold, which is markup.
+CONTROLS = frozenset("select button template".split())
+#: Inline, but no part of the word before or after.
+EMBEDDED = frozenset("svg math object video audio canvas".split())
+FOREIGN = frozenset("svg math".split())
 DROPPED = frozenset("head nav footer aside form menu dialog script style noscript".split())
 REGIONS = frozenset("article main".split())
 CLOSES_P = BLOCKS - {"html", "body", "head", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption"}
@@ -87,12 +93,24 @@ def _element(tag: str, attributes: str, in_region: bool) -> list:
     return [tag + names, dropped, [], 1, VARIES, 0]
 
 
+def _closed(html: str, tag: str, at: int) -> bool:
+    """Whether the element whose start tag ends at ``at`` has an end tag; only templates nest."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).finditer(html, at):
+        depth += -1 if m[1] else 1
+        if not depth or (depth > 1 and tag != "template"):
+            return not depth
+    return False
+
+
 def parse(html: str) -> list:
     """The page's tree. Leaves carry their text in HASH."""
     root = ["root", False, [], 1, VARIES, 0]
     stack: list[tuple[str, list]] = [("root", root)]
     pending: list[str] = []
     regions = 0
+    muted = foreign = 0  # muted: len(stack) where the open form control or template began; foreign: open svg and math
+    control, nested, closed = "", 0, False
     at = 0
 
     def flush() -> None:
@@ -102,14 +120,26 @@ def parse(html: str) -> list:
             if text:
                 stack[-1][1][CHILDREN].append(["#", False, [], 1, text, len(text)])
 
-    def pop_to(depth: int) -> None:
+    def cut(depth: int) -> None:
         nonlocal regions
-        flush()
         while len(stack) > depth:
             regions -= stack.pop()[0] in REGIONS
 
+    def unmute() -> None:
+        nonlocal muted
+        if muted:
+            cut(muted)
+            muted = 0
+
+    def pop_to(depth: int) -> None:
+        if depth < muted:
+            unmute()
+        if not muted:
+            flush()
+        cut(depth)
+
     while m := TAG.search(html, at):
-        if m.start() > at:
+        if m.start() > at and not muted:
             pending.append(html[at : m.start()])
         at = m.end()
         if m[2] is None or not m[4]:
@@ -122,20 +152,42 @@ def parse(html: str) -> list:
                         pop_to(depth)
                         break
                 else:
-                    if tag == "p":  # a lone </p> ends the block before it
+                    if tag == "p" and not muted:  # a lone </p> ends the block before it
                         flush()
+            elif tag in EMBEDDED:
+                pending.append(" ")
+                foreign -= tag in FOREIGN and foreign > 0
+            elif muted and tag == control:
+                nested -= 1
+                if not nested:
+                    unmute()
             continue
+        empty = m[3].rstrip().endswith("/")
         if tag in RAW:
+            if foreign and empty:
+                continue
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             at = close.end() if close else len(html)
             pending.append(" ")
             continue
-        if tag == "br":
+        if tag == "br" or tag in EMBEDDED:
+            pending.append(" ")
+        foreign += tag in FOREIGN and not empty
+        if tag in CONTROLS:
             pending.append(" ")
+            if not muted or (tag == control and tag != "template"):
+                unmute()
+                muted, control, nested, closed = len(stack), tag, 1, _closed(html, tag, at)
+            else:
+                nested += tag == control
         if tag not in BLOCKS:
             continue
+        foreign = 0
+        if muted and not closed:  # its end tag is missing: it ends before the next block
+            unmute()
+        floor = max(muted - 1, 0)
         if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, floor, -1):
                 if stack[depth][0] == "p":
                     pop_to(depth)
                     break
@@ -143,22 +195,26 @@ def parse(html: str) -> list:
                     break
         elif tag in IMPLIED:
             ends, bounds = IMPLIED[tag]
-            cut = 0
-            for depth in range(len(stack) - 1, 0, -1):
+            first = 0
+            for depth in range(len(stack) - 1, floor, -1):
                 if stack[depth][0] in bounds:
                     break
                 if stack[depth][0] in ends:
-                    cut = depth
-            if cut:
-                pop_to(cut)
-        flush()
+                    first = depth
+            if first:
+                pop_to(first)
+        if not muted:
+            flush()
         if tag in VOID or len(stack) > DEPTH:
             continue
         node = _element(tag, m[3], regions > 0)
-        stack[-1][1][CHILDREN].append(node)
+        if not muted:
+            stack[-1][1][CHILDREN].append(node)
         stack.append((tag, node))
         regions += tag in REGIONS
-    pending.append(html[at:])
+    if not muted:
+        pending.append(html[at:])
+    unmute()
     flush()
     return root
 
