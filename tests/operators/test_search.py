@@ -143,6 +143,16 @@ def test_suppression(spark):
     assert suppress(found, "query", "doc", 1).count() == 2
 
 
+@pytest.mark.parametrize("rule", ["strict", "half"])
+def test_suppression_goes_on_to_the_last_candidate(spark, rule):
+    near = [("q", "d", s, s + 79, 9.0) for s in range(1, 301)]
+    far = [("q", "d", s, s + 79, 1.0) for s in (1001, 1041, 2001, 3001)]
+    found = spark.createDataFrame(near + far, "query string, doc string, start int, end int, score double")
+    got = [(r["rank"], r["start"]) for r in suppress(found, "query", "doc", 20, rule).orderBy("rank").collect()]
+    starts = [1, 81, 161, 241, 1001, 2001, 3001] if rule == "strict" else [1, 41, 81, 121, 161, 201, 241, 281, 1001, 1041, 2001, 3001]
+    assert got == list(enumerate(starts, 1))
+
+
 def test_resizing(spark):
     from pyspark.sql import functions as F
 

@@ -1,8 +1,8 @@
 """Choosing results: overlap suppression by an ordered fold, padding to a fixed number, sub-windows.
 
-The fold runs over a query's candidates in rank order. Candidates are limited to ``limit`` of each query first (the
-windows' partial limit keeps that cheap); a query with more overlapping candidates than that before its k-th result
-gets fewer results, so choose limit well above k.
+Only ranges of one document can overlap, so the fold over a query's candidates in rank order is a fold over each of its
+documents, of which the first k that were chosen are kept, and the k best of these. No candidate is left out, and a task
+holds the candidates of one query in one document.
 """
 
 from __future__ import annotations
@@ -12,31 +12,31 @@ from pyspark.sql import functions as F
 
 
 def _disjoint(chosen: Column, c: Column) -> Column:
-    return ~F.exists(chosen, lambda s: (s["doc"] == c["doc"]) & (s["cover_start"] <= c["test_end"]) & (s["cover_end"] >= c["test_start"]))
+    return ~F.exists(chosen, lambda s: (s["cover_start"] <= c["test_end"]) & (s["cover_end"] >= c["test_start"]))
 
 
 def _half_free(chosen: Column, c: Column) -> Column:
     shared = lambda s: F.least(s["cover_end"], c["test_end"]) - F.greatest(s["cover_start"], c["test_start"]) + 1
-    return ~F.exists(chosen, lambda s: (s["doc"] == c["doc"]) & (2 * F.greatest(F.lit(0), shared(s)) > c["test_end"] - c["test_start"] + 1))
+    return ~F.exists(chosen, lambda s: 2 * F.greatest(F.lit(0), shared(s)) > c["test_end"] - c["test_start"] + 1)
 
 
-def suppress(candidates: DataFrame, query: str, doc: str, k: int, rule: str = "strict", limit: int = 200, cover: tuple[Column, Column] | None = None, test: tuple[Column, Column] | None = None, score: str = "score") -> DataFrame:
+def suppress(candidates: DataFrame, query: str, doc: str, k: int, rule: str = "strict", cover: tuple[Column, Column] | None = None, test: tuple[Column, Column] | None = None, score: str = "score") -> DataFrame:
     """(query, doc, start, end, score, rank) of up to k results of each query.
 
     rule "strict": reject what touches a chosen range of the document; "half": reject if more than half of it is
     covered. test is the range that is tested, cover the range a result takes up (both start, end unless given: padded
     ranges give the padded variants).
     """
-    order = Window.partitionBy(query).orderBy(F.round(score, 6).desc(), doc, "start", "end")
-    ranked = candidates.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= limit)
     ts, te = test or (F.col("start"), F.col("end"))
     cs, ce = cover or (F.col("start"), F.col("end"))
-    row = F.struct("seq", F.col(doc).alias("doc"), "start", "end", F.col(score).cast("double").alias("score"), ts.cast("int").alias("test_start"), te.cast("int").alias("test_end"), cs.cast("int").alias("cover_start"), ce.cast("int").alias("cover_end"))
-    gathered = ranked.groupBy(query).agg(F.array_sort(F.collect_list(row)).alias("c"))  # at most limit rows
+    row = F.struct((-F.round(score, 6)).alias("order"), "start", "end", F.col(score).cast("double").alias("score"), ts.cast("int").alias("test_start"), te.cast("int").alias("test_end"), cs.cast("int").alias("cover_start"), ce.cast("int").alias("cover_end"))
+    gathered = candidates.groupBy(query, doc).agg(F.array_sort(F.collect_list(row)).alias("c"))
     free = _disjoint if rule == "strict" else _half_free
     chosen = F.aggregate("c", F.slice("c", 1, 0), lambda acc, x: F.when((F.size(acc) < k) & free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    out = gathered.select(query, F.posexplode(chosen).alias("i", "x"))
-    return out.select(query, F.col("x.doc").alias(doc), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.score").alias("score"), (F.col("i") + 1).alias("rank"))
+    out = gathered.select(query, doc, F.explode(chosen).alias("x"))
+    order = Window.partitionBy(query).orderBy("x.order", doc, "x.start", "x.end")
+    out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.select(query, doc, F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.score").alias("score"), "rank")
 
 
 def pad_results(results: DataFrame, queries: DataFrame, query: str, k: int = 5) -> DataFrame:

@@ -29,7 +29,6 @@ class SearchConfig:
     top_k: int = 5
     smart_expand: bool = False
     window_step: int = 4
-    limit: int = 250  # candidates of a query that overlap suppression sees
 
 
 @dataclass(frozen=True)
@@ -290,7 +289,7 @@ def results(docs: DataFrame, queries: DataFrame, scored: DataFrame, config: Sear
         cover = segment.resized(start, end, F.col("n"), config.min_lines, config.max_lines)
     scored = scored.withColumn("cover_start", cover[0]).withColumn("cover_end", cover[1])
     wide = (F.col("cover_start"), F.col("cover_end"))
-    chosen = select.suppress(scored, "query_id", "doc_id", config.top_k, spec.rule, config.limit, cover=wide, test=wide if spec.test_padded else None)
+    chosen = select.suppress(scored, "query_id", "doc_id", config.top_k, spec.rule, cover=wide, test=wide if spec.test_padded else None)
     best = Window.partitionBy("query_id", "doc_id", "start", "end").orderBy(F.col("score").desc(), "seq")
     detail = scored.withColumn("tm_first", F.row_number().over(best)).where("tm_first = 1").select("query_id", "doc_id", "start", "end", "cover_start", "cover_end", "name", "kind")
     out = chosen.join(detail, ["query_id", "doc_id", "start", "end"]).join(docs, "doc_id")
@@ -308,7 +307,7 @@ def search_lines(docs: DataFrame, queries: DataFrame, config: SearchConfig) -> D
     n = docs.select("doc_id", segment.line_count(F.col("text")).alias("n"))
     s, e = segment.padded(F.col("line_no"), F.col("line_no"), F.col("n"), config.min_lines // 2)
     top = stats.top(scored, "query_id", config.top_k * 3, "doc_id", "line_no").drop("rank").join(n, "doc_id").withColumn("start", s).withColumn("end", e)
-    chosen = select.suppress(top, "query_id", "doc_id", config.top_k, limit=config.top_k * 3)
+    chosen = select.suppress(top, "query_id", "doc_id", config.top_k)
     return chosen.join(docs, "doc_id").select("query_id", "rank", "doc_id", "start", "end", (F.col("end") - F.col("start") + 1).alias("lines"), "score", segment.range_text(F.col("text"), F.col("start"), F.col("end")).alias("code"))
 
 
@@ -344,7 +343,7 @@ def search_windows(docs: DataFrame, queries: DataFrame, config: SearchConfig) ->
     for signal in (cover, close, noted, named):
         total = total.unionByName(signal)
     scored = total.groupBy("query_id", *w).agg(F.sum("part").alias("score"))
-    return select.suppress(scored, "query_id", "doc_id", config.top_k, "half", config.limit).withColumn("score", F.round("score", 4))
+    return select.suppress(scored, "query_id", "doc_id", config.top_k, "half").withColumn("score", F.round("score", 4))
 
 
 def search_terms(docs: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:
@@ -363,7 +362,7 @@ def search_terms(docs: DataFrame, queries: DataFrame, config: SearchConfig) -> D
     s, e = segment.padded(F.col("line_no"), F.col("line_no"), F.col("n"), 3)
     top = top.join(n, "doc_id").withColumn("start", s).withColumn("end", e)
     # a line in the window of a better line is no centre of its own
-    chosen = select.suppress(top.withColumn("score", F.col("lead")), "query_id", "doc_id", 10, limit=10, test=(F.col("line_no"), F.col("line_no")))
+    chosen = select.suppress(top.withColumn("score", F.col("lead")), "query_id", "doc_id", 10, test=(F.col("line_no"), F.col("line_no")))
     out = chosen.drop("score", "rank").join(top.select("query_id", "doc_id", "start", "end", "score"), ["query_id", "doc_id", "start", "end"])
     out = stats.top(out, "query_id", 5, "doc_id", "start")
     return out.withColumn("score", F.greatest(F.lit(0.1), F.least(F.lit(100.0), F.col("score"))))

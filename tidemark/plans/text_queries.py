@@ -199,7 +199,7 @@ def _suppressed(spark: SparkSession, sf: str, rule: str, pad: int = 0) -> DataFr
         n = docs(spark, sf).select("doc_id", segment.line_count(F.col("text")).alias("n"))
         candidates = candidates.join(n, "doc_id")
         cover = segment.padded(F.col("start"), F.col("end"), F.col("n"), pad)
-    return select.suppress(candidates, "item_id", "doc_id", 5, rule, limit=100, cover=cover).withColumn("score", F.round("score", 6))
+    return select.suppress(candidates, "item_id", "doc_id", 5, rule, cover=cover).withColumn("score", F.round("score", 6))
 
 
 def nms_strict(spark: SparkSession, sf: str) -> DataFrame:
