@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_pipeline import ASCII_LOWER, WORDS, brute_components, shingles
-from tidemark.llm import jaccard
+from tidemark.llm import factors, jaccard
 from tidemark.llm._words import ALNUM_WORDS, SPACE_WORDS, chunks
 from tidemark.llm.contamination import decontaminate
-from tidemark.llm.factors import dedup_substrings
+from tidemark.llm.factors import Reference, dedup_substrings
 from tidemark.llm.jaccard import Bands, drop_near_duplicates, jaccard_components, postings, signature
 from tidemark.llm.queries import op7_jaccard_join, op8_lz_substrings, op9_decontamination
 
@@ -116,7 +116,42 @@ def brute_substrings(rows, window):
     return out
 
 
-def test_substrings(spark, sf):
+def brute_factors(reference, stretch, seeds, window):
+    """Greedy longest matches from each seed whose window is not whole in the factor before."""
+    done, out = 0, []
+    for at in seeds:
+        if at + window <= done:
+            continue
+        best = (0, None)
+        for source, words in reference:
+            for place in range(len(words)):
+                n = 0
+                while at + n < len(stretch) and place + n < len(words) and stretch[at + n] == words[place + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, (source, place))
+        if best[0] >= window:
+            out.append((at, best[0], *best[1]))
+            done = at + best[0]
+    return out
+
+
+def test_greedy_factors_of_a_block():
+    rng = random.Random(3)
+    for window in (2, 4, 13):
+        for _ in range(20):
+            word = lambda: rng.choice("abc" if window < 13 else "a")
+            reference = [(i, [word() for _ in range(rng.randrange(0, 40))]) for i in range(6)]
+            stretch = [word() for _ in range(rng.randrange(window, 50))]
+            seeds = sorted(rng.sample(range(len(stretch) - window + 1), rng.randrange(1, len(stretch) - window + 2)))
+            index = Reference([i for i, _ in reference], [" ".join(w) for _, w in reference], window)
+            assert list(index.factors(4, " ".join(stretch), seeds)) == brute_factors([x for x in reference if x[0] < 4], stretch, seeds, window)
+
+
+@pytest.mark.parametrize("block_bytes", [200, 4 << 20])
+def test_substrings(spark, sf, monkeypatch, block_bytes):
+    monkeypatch.setattr(factors, "BLOCK_BYTES", block_bytes)  # many blocks, each with shares of its own, or one
+    monkeypatch.setattr(factors, "SHARE_BYTES", block_bytes)
     rng = random.Random(9)
     passages = [[f"p{i}_{j}" for j in range(rng.randrange(10, 40))] for i in range(6)]
     rows = [(i, t) for i, t in enumerate(ODD)]
@@ -130,10 +165,20 @@ def test_substrings(spark, sf):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string").withColumn("odd name-of: it", F.lit(1)).repartition(5)
     got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in dedup_substrings(docs).collect()), key=str)
     assert got == sorted(((d, *x) for (d, _), x in zip(rows, brute_substrings(rows, 13), strict=True)), key=str)
-    spans = dedup_substrings(docs).where("n_removed > 0").collect()
-    assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in spans)
+    texts = {(d, i): WORDS.findall(t or "") for i, (d, t) in enumerate(rows)}
+    whole = docs.withColumn("raw", F.col("text"))
+    for r in dedup_substrings(whole).where("n_removed > 0").collect():
+        assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] == sum(f["length"] for f in r["factors"])
+        own, end = WORDS.findall(r["raw"]), 0
+        for f in r["factors"]:  # with the words between them they tile the text, and each is what its source holds there
+            assert f["start"] >= end and f["length"] > 0 and f["source"] < r["doc_id"]
+            end = f["start"] + f["length"]
+            assert any(d == f["source"] and w[f["source_start"] : f["source_start"] + f["length"]] == own[f["start"] : end] for (d, _), w in texts.items())
+        assert end <= len(own)
     assert dedup_substrings(docs.limit(0)).count() == 0
 
+    if block_bytes < 1000:
+        return
     own = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     expected = {d: (n, k, hashlib.sha256(t.encode()).hexdigest()) for (d, _), (n, k, t) in zip(own, brute_substrings(own, 13), strict=True)}
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op8_lz_substrings(spark, sf).collect()} == expected

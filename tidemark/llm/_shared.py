@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,11 +19,15 @@ BROADCAST_ROWS = 2_000_000
 #: Bytes of such a table, as rows times the width its caller states.
 BROADCAST_BYTES = 64 << 20
 
+_cleaned: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a fresh temporary one only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a fresh temporary one only where that is unset on a single machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-shared-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -29,7 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the application's folder, which is deleted when the driver's Python ends."""
+    top = shared_dir(spark)
+    if top not in _cleaned:
+        _cleaned.add(top)
+        atexit.register(_clean, spark, top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def _clean(spark: SparkSession, top: str) -> None:
+    with contextlib.suppress(Exception):  # the driver's JVM may be gone
+        delete(spark, top)
 
 
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -61,13 +77,22 @@ def release(spark: SparkSession, *staged: DataFrame) -> None:
 
 
 def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
-    """A staged table, marked for broadcast if its counted rows prove it small; otherwise as it is (shuffle join)."""
-    rows = df.count()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES else df
+    """A staged table, marked for broadcast if its rows prove it small; otherwise as it is (shuffle join).
+
+    Counted are rows of at least row_bytes, and the bytes of strings, binaries and arrays in them.
+    """
+    from pyspark.sql.types import ArrayType, BinaryType, StringType
+
+    wide = [F.octet_length(f.name) if isinstance(f.dataType, (StringType, BinaryType)) else 32 * F.size(f.name) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType, ArrayType))]
+    each = F.lit(row_bytes)
+    for w in wide:
+        each = each + F.coalesce(w, F.lit(0))
+    rows, size = df.agg(F.count("*"), F.sum(each.cast("long"))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Delete what this application has staged."""
+    """Delete what this application has staged, once no result that reads it is needed any more."""
     delete(spark, shared_dir(spark))
 
 

@@ -1,20 +1,25 @@
-"""Substring deduplication by relative Lempel-Ziv parsing over word windows.
-
-The reference is every document; its index maps the fingerprint of each window of ``window`` words to the first
-document (smallest doc_id) that holds it, and is dealt by fingerprint into blocks, the shuffle partitions. A document
-is factored greedily against all blocks at once: a factor starts at a word whose window is in a smaller document and
-grows while the next window is too. Windows that straddle the boundary of two factors are looked up like any other, so
-nothing is lost where one source ends and another begins, and a factor of ``window`` words or more is a duplicate span.
-
-Most windows occur once, and those never leave their task. *Anchors* thin them out: each window is represented by the
-smallest hash among its ``ANCHOR``-word grams, so equal windows have equal anchors, and neighbouring windows share
-them. A first pass counts the documents of each anchor (texts that are equal count once in a task), and sets the bit
-of each anchor found in two or more in a bitmap of bounded size, which is all that is broadcast. In a
-second pass, only windows whose anchor has its bit set go to the index. A full bitmap would let every window through:
-slower, never wrong.
+"""Substring deduplication by relative Lempel-Ziv parsing against blocks of reference documents.
+
+*Which windows can repeat.* Most windows of ``window`` words occur once, and those never leave their task. *Anchors*
+thin them out: a window is represented by the smallest hash among its ``ANCHOR``-word grams, so equal windows have
+equal anchors. A first pass counts the texts of each anchor and sets the bits of those found in two or more in a bitmap
+of bounded size. A second pass gives the fingerprints of windows whose anchor has its bit set; for each, the smallest
+doc_id that holds it is its *source*. A full bitmap would let every window through: slower, never wrong.
+
+*Reference blocks.* The texts of all sources are dealt by doc_id into blocks of about ``BLOCK_BYTES``. A stretch of a
+document whose windows have sources goes to each block that holds one of them. There the block is indexed (sorted
+window hashes with their places, prefix hashes for extension), and the stretch is factored greedily: at a word whose
+window is in the block, the longest match with any smaller document of the block becomes a factor (source, place in the
+source, length), compared word by word in the end; parsing goes on at the first window that is not whole in the factor.
+So windows that straddle the boundary of two factors, or of two blocks, are looked up like any other. A block that
+many documents repeat is indexed by several tasks, each of which factors a share of the stretches.
+
+*Spans and parse.* A factor of ``window`` words or more is a duplicate span, so the spans cover exactly the words of
+windows that a smaller document holds. Of all blocks' factors, those that reach farthest are laid end to end: with the
+words between them they tile the text, which is its relative Lempel-Ziv parse.
 
 Copies of whole texts are settled by a digest of the text: every copy but the one with the smallest doc_id is one
-factor, if it has ``window`` words. Within a task only the smallest copy's windows are sent.
+factor, if it has ``window`` words.
 
 Defined results: a null or empty text has no words; a null doc_id is no reference and is left as it is; rows with
 equal doc_id are not smaller than one another, and those with equal text as well share their result; texts shorter
@@ -24,6 +29,7 @@ than ``window`` words are left as they are; other columns pass through untouched
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bitmap import COUNTED, counted, holds, repeated
-from tidemark.llm._shared import small, stage, with_fields
-from tidemark.llm._words import SPACE_WORDS, Chunk, as_bytes, chunks, runs
+from tidemark.llm._shared import release, small, stage, with_fields
+from tidemark.llm._words import SPACE_WORDS, STEP, Chunk, as_bytes, chunks, mix
 
 ANCHOR = 6
 KEPT_DIGESTS = 200_000
+#: Bytes of reference texts in a block, and of stretches that one task factors against it.
+BLOCK_BYTES, SHARE_BYTES = 4 << 20, 8 << 20
+#: Rows and bytes a worker holds before it sends them on.
+SENT_ROWS, SENT_BYTES = 50_000, 4 << 20
 
 
 def anchors(c: Chunk, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,9 +54,10 @@ def anchors(c: Chunk, window: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(c.hashes)
     if n < window:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    grams = c.grams(ANCHOR)
+    gram = min(ANCHOR, window)
+    grams = c.grams(gram)
     best = grams[: n - window + 1].copy()
-    for j in range(1, window - ANCHOR + 1):
+    for j in range(1, window - gram + 1):
         np.minimum(best, grams[j : n - window + 1 + j], out=best)
     owner = np.repeat(np.arange(len(c.bounds) - 1), np.diff(c.bounds))
     places = np.flatnonzero(owner[: n - window + 1] == owner[window - 1 :])
@@ -122,50 +133,290 @@ def shared_windows(docs: DataFrame, window: int, bitmap: np.ndarray) -> DataFram
     return docs.select("tm_id", "tm_raw", "tm_key").mapInArrow(read, f"tm_id {docs.schema['tm_id'].dataType.simpleString()}, place long, print long")
 
 
+class Reference:
+    """A block of reference texts, in doc_id order, and its index of windows."""
+
+    def __init__(self, ids: list, texts: list[str], window: int):
+        self.window, self.ids = window, ids
+        words, size, parts, hashes, starts, ends, owner = 0, 0, [], [], [], [], []
+        self.first = np.zeros(len(ids) + 1, dtype=np.int64)
+        for c in chunks(pa.array(texts, pa.string()), SPACE_WORDS):
+            parts.append(c.data.tobytes())
+            hashes.append(c.hashes)
+            starts.append(c.starts + size)
+            ends.append(c.ends + size)
+            n = np.diff(c.bounds)
+            owner.append(c.first + np.repeat(np.arange(len(n)), n))
+            self.first[c.first + 1 : c.first + len(n) + 1] = words + np.cumsum(n)
+            words, size = words + len(c.hashes), size + len(c.data)
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
+        self.data, self.hashes, self.starts, self.ends, self.owner = b"".join(parts), join(hashes, np.uint64), join(starts, np.int64), join(ends, np.int64), join(owner, np.int64)
+        self.sums = prefix_sums(self.hashes)
+        whole = np.flatnonzero(self.owner[: max(0, words - window + 1)] == self.owner[window - 1 :]) if words >= window else np.zeros(0, dtype=np.int64)
+        prints = ranges(self.sums, whole, window)
+        order = np.argsort(prints, kind="stable")  # ties in doc_id order, then by place
+        self.prints, self.places = prints[order], whole[order]
+
+    def word_bytes(self, at: int, n: int) -> list[bytes]:
+        return [self.data[s:e] for s, e in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist(), strict=True)]
+
+    def factors(self, doc_id, text: str, seeds: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """(start, length, number of the source, place in the source): the greedy parse of a stretch from its seeds on."""
+        words = text.encode().split(b" ")
+        own = next(chunks(pa.array([text]), SPACE_WORDS)).hashes
+        sums, done = prefix_sums(own), 0
+        before = bisect_left(self.ids, doc_id)  # sources with a smaller doc_id
+        prints = ranges(sums, np.array(seeds, dtype=np.int64), self.window)
+        low, high = np.searchsorted(self.prints, prints, "left"), np.searchsorted(self.prints, prints, "right")
+        for at, a, b in zip(seeds, low.tolist(), high.tolist(), strict=True):
+            if at + self.window <= done:
+                continue  # this window is whole in the factor before
+            places = self.places[a:b]
+            places = places[self.owner[places] < before]
+            longest = self.longest(sums, at, places)
+            for k in np.argsort(-longest, kind="stable").tolist():
+                n, place = int(longest[k]), int(places[k])
+                if n < self.window:
+                    break
+                same = self.word_bytes(place, n)
+                n = next((i for i, (x, y) in enumerate(zip(same, words[at : at + n], strict=True)) if x != y), n)
+                if n >= self.window:  # else two hashes collided
+                    source = int(self.owner[place])
+                    yield at, n, source, place - int(self.first[source])
+                    done = at + n
+                    break
+
+    def longest(self, sums: np.ndarray, at: int, places: np.ndarray) -> np.ndarray:
+        """Words that match from each place on, by bisection over prefix hashes."""
+        low = np.zeros(len(places), dtype=np.int64)
+        high = np.minimum(len(sums) - 1 - at, self.first[self.owner[places] + 1] - places)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = ranges(self.sums, places, mid) == ranges(sums, np.full(len(places), at), mid)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+
+_powers = [np.ones(1, dtype=np.uint64)]
+
+
+def _power(n: np.ndarray) -> np.ndarray:
+    most = int(n.max(initial=0))
+    if len(_powers[0]) <= most:
+        p = np.full(max(most + 1, 2 * len(_powers[0])), STEP, dtype=np.uint64)
+        p[0] = 1
+        _powers[0] = np.multiply.accumulate(p)
+    return _powers[0][n]
+
+
+def prefix_sums(hashes: np.ndarray) -> np.ndarray:
+    """sums[i]: the polynomial over the first i word hashes."""
+    out = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    # sums[i] = sums[i - 1] * STEP + hashes[i - 1], by way of powers of the inverse of STEP
+    inverse = np.full(len(hashes) + 1, pow(int(STEP), -1, 1 << 64), dtype=np.uint64)
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    np.cumsum(hashes * inverse[1:], out=out[1:])
+    return out * _power(np.arange(len(out)))
+
+
+def ranges(sums: np.ndarray, at: np.ndarray, n) -> np.ndarray:
+    """Hashes of the n words from each place on."""
+    n = np.broadcast_to(np.asarray(n, dtype=np.int64), np.shape(at))
+    return mix(sums[at + n] - sums[at] * _power(n) + n.astype(np.uint64))
+
+
+def _stretches(places: np.ndarray) -> list[np.ndarray]:
+    """Sorted places cut where they do not follow one another."""
+    return np.split(places, np.flatnonzero(np.diff(places) > 1) + 1)
+
+
+def stretches(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
+    """block, tm_id, tm_key, start, raw (words joined by a space), seeds: what each block is to factor."""
+    hits = small(hits, 32)
+    joined = docs.join(hits, docs["tm_id"].eqNullSafe(hits["hit_id"]) & (docs["tm_key"] == hits["hit_key"]))
+    id_type = docs.schema["tm_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        at, held = [], 0
+
+        def send(batch: pa.RecordBatch) -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32())]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            rows.clear()
+            at.clear()
+            return pa.RecordBatch.from_arrays([arrays[0], ids, *arrays[1:]], ["block", "tm_id", "tm_key", "start", "raw", "seeds"])
+
+        for batch in batches:
+            keys = batch.column(2).to_pylist()
+            for c in chunks(batch.column(1), SPACE_WORDS):
+                data = c.data.tobytes()
+                for i in range(len(c.bounds) - 1):
+                    row, first = c.first + i, int(c.bounds[i])
+                    marks = np.unique(np.asarray(batch.column(3)[row].values, dtype=np.int64))
+                    places = marks & 0xFFFFFFFF
+                    order = np.argsort(places, kind="stable")
+                    places, blocks = places[order], (marks >> 32)[order]
+                    for run in _stretches(np.unique(places)):
+                        a, b = np.searchsorted(places, [run[0], run[-1] + 1])
+                        s, e = first + int(run[0]), first + int(run[-1]) + window
+                        raw = b" ".join([data[x:y] for x, y in zip(c.starts[s:e].tolist(), c.ends[s:e].tolist(), strict=True)]).decode()
+                        for block in np.unique(blocks[a:b]).tolist():
+                            seeds = places[a:b][blocks[a:b] == block] - run[0]
+                            rows.append((block, keys[row], int(run[0]), raw, seeds.tolist()))
+                            at.append(row)
+                            held += len(raw) + 4 * len(seeds)
+                    if held > SENT_BYTES:
+                        yield send(batch)
+                        held = 0
+            yield send(batch)
+            held = 0
+
+    return joined.select("tm_id", "tm_raw", "tm_key", "places").mapInArrow(read, f"block int, tm_id {id_type}, tm_key int, start int, raw string, seeds array<int>")
+
+
+def parsed(references: DataFrame, targets: DataFrame, window: int) -> DataFrame:
+    """tm_id, tm_key, start, length, block, source, source_start: the factors of all stretches against their blocks."""
+    id_kind = references.schema["tm_id"].dataType
+    shares = targets.groupBy("block").agg(F.ceil(F.sum(F.octet_length("raw") + 4 * F.size("seeds")) / SHARE_BYTES).cast("int").alias("shares"))
+    shares = small(stage(shares, "factor-shares"))
+    share = F.pmod(F.xxhash64("tm_id", "tm_key", "start"), F.col("shares")).cast("int")
+    left = references.join(shares, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), "tm_id", "tm_key", F.lit(0).alias("start"), F.col("tm_raw").alias("raw"), F.lit(None).cast("array<int>").alias("seeds"))
+    right = targets.join(shares, "block").select("block", share.alias("share"), F.lit(1).alias("kind"), "tm_id", "tm_key", "start", "raw", "seeds")
+    rows = left.unionByName(right).repartition("block", "share").sortWithinPartitions("block", "share", "kind", "tm_id", "tm_key", "start")
+    names = ["tm_id", "tm_key", "start", "length", "block", "source", "source_start"]
+    schema = f"tm_id {id_kind.simpleString()}, tm_key int, start int, length int, block int, source {id_kind.simpleString()}, source_start int"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, texts, index, last = None, [], [], None, None
+        rows: list[tuple] = []
+        kind = None
+
+        def send() -> pa.RecordBatch:
+            kinds = [kind, pa.int32(), pa.int32(), pa.int32(), pa.int32(), kind, pa.int32()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            kind = batch.column(3).type
+            for block, share, is_target, doc, key, start, raw, seeds in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (block, share) != now:
+                    now, ids, texts, index, last = (block, share), [], [], None, None
+                if last == (last := (is_target, doc, key, start)):
+                    continue  # a repeated row
+                if not is_target:
+                    ids.append(doc)
+                    texts.append(raw)
+                    continue
+                if index is None:
+                    index = Reference(ids, texts, window)
+                    texts = []
+                for at, n, source, place in index.factors(doc, raw, seeds):
+                    rows.append((doc, key, start + at, n, block, index.ids[source], place))
+                if len(rows) >= SENT_ROWS:
+                    yield send()
+        if kind is not None:
+            yield send()
+
+    return rows.mapInArrow(read, schema)
+
+
 def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
-    """tm_id, tm_key, whole, places: of each text with a factor, the first words of its duplicate windows (whole: all of it)."""
+    """tm_id, tm_key, whole, factors (start, length, block, source, source_start) of each text with a factor.
+
+    whole: the text is a copy of its one source, and factors is null.
+    """
     raw = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(doc_id).alias("tm_id"), raw.alias("tm_raw"), F.shiftright(F.xxhash64(raw), 32).cast("int").alias("tm_key"))
+    spark = docs.sparkSession
+    digests = keyed.where(F.col("tm_id").isNotNull()).select("tm_id", "tm_key", F.xxhash64("tm_raw").alias("d1"), F.xxhash64(F.lit(7), "tm_raw").alias("d2"))
+    first = digests.groupBy("d1", "d2").agg(F.min("tm_id").alias("source"), F.max("tm_id").alias("last")).where(F.col("source") < F.col("last")).select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "source")
+    first = stage(first, "factor-copies")  # an aggregate right below a join would keep a hot text in one task
+    copies = digests.join(first, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).where(F.col("source") < F.col("tm_id")).select("tm_id", "tm_key", "source")
+    copies = stage(copies.distinct(), "factor-copies")
+
     found = shared_windows(keyed, window, shared_anchors(keyed, window))
     index = found.groupBy("print").agg(F.min("tm_id").alias("first"), F.max("tm_id").alias("last")).where(F.col("first") < F.col("last")).select(F.col("print").alias("block_print"), "first")
-    index = stage(index, "factor-index")  # an aggregate right below a join would keep hot windows in one task
-    hits = found.join(index, F.col("print") == F.col("block_print")).where(F.col("first") < F.col("tm_id")).select("tm_id", "place")
-    hits = hits.groupBy("tm_id", F.shiftright("place", 32).cast("int").alias("tm_key")).agg(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("places"))
-    digests = keyed.where(F.col("tm_id").isNotNull()).select("tm_id", "tm_key", F.xxhash64("tm_raw").alias("d1"), F.xxhash64(F.lit(7), "tm_raw").alias("d2"))
-    copies = digests.groupBy("d1", "d2").agg(F.min("tm_id").alias("first"), F.max("tm_id").alias("last")).where(F.col("first") < F.col("last")).select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "first")
-    copies = digests.join(copies, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).where(F.col("first") < F.col("tm_id")).select("tm_id", "tm_key")
-    none = F.lit(None).cast("array<int>")
-    return copies.select("tm_id", "tm_key", F.lit(True).alias("whole"), none.alias("places")).unionByName(hits.select("tm_id", "tm_key", F.lit(False).alias("whole"), "places"))
+    index = stage(index, "factor-index")  # as above, for hot windows
+    sources = small(stage(index.select(F.col("first").alias("source_id")).distinct(), "factor-sources"), 16)
+    references = stage(keyed.join(sources, keyed["tm_id"] == sources["source_id"], "left_semi"), "factor-references")
+    size = references.agg(F.sum(F.octet_length("tm_raw"))).first()[0] or 0  # a single number
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    hits = found.join(index, F.col("print") == F.col("block_print")).where(F.col("first") < F.col("tm_id"))
+    mark = F.shiftleft(block("first"), 32).bitwiseOR(F.col("place").bitwiseAND((1 << 32) - 1)).alias("mark")
+    hits = hits.groupBy(F.col("tm_id").alias("hit_id"), F.shiftright("place", 32).cast("int").alias("hit_key")).agg(F.collect_set(mark).alias("places"))
+    gone = small(copies.select(F.col("tm_id").alias("copy_id"), F.col("tm_key").alias("copy_key")), 16)
+    hits = hits.join(gone, (F.col("hit_id") == F.col("copy_id")) & (F.col("hit_key") == F.col("copy_key")), "left_anti")
+    hits = stage(hits, "factor-hits")
+    release(spark, index)
+
+    own = stage(stretches(keyed, hits, window), "factor-stretches")
+    factors = parsed(references.withColumn("block", block("tm_id").cast("int")), own, window)
+    factors = factors.groupBy("tm_id", "tm_key").agg(F.array_sort(F.collect_list(F.struct("start", "length", "block", "source", "source_start"))).alias("factors"))
+    kind = factors.schema["factors"].dataType
+    return copies.select("tm_id", "tm_key", F.col("source").alias("whole"), F.lit(None).cast(kind).alias("factors")).unionByName(factors.select("tm_id", "tm_key", F.lit(None).cast(factors.schema["tm_id"].dataType).alias("whole"), "factors"))
+
+
+def parse_of(factors: list[dict]) -> tuple[list[tuple[int, int]], list[tuple]]:
+    """Spans (start, end), and (start, length, source, source_start) laid end to end, of a text's factors sorted by start.
+
+    Of the factors that begin at or before a word that is not covered yet, the one that reaches farthest is taken.
+    """
+    spans: list[list[int]] = []
+    tiles: list[tuple] = []
+    best, end = None, 0
+    for f, after in zip(factors, [*factors[1:], None], strict=True):
+        a, b = f["start"], f["start"] + f["length"]
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+            end = a
+        if best is None or b > best["start"] + best["length"]:
+            best = f
+        reach = best["start"] + best["length"]
+        if reach > end and (after is None or after["start"] > end):
+            skip = end - best["start"]
+            tiles.append((end, reach - end, best["source"], best["source_start"] + skip))
+            end = reach
+    return [(a, b) for a, b in spans], tiles
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
-    """docs with ``text`` less its duplicate words (the kept ones joined by a space), and n_words, n_removed (long) and spans added.
+    """docs with ``text`` less its duplicate words (the kept ones joined by a space), and n_words, n_removed (long), spans and factors added.
 
-    spans: array of (start, end) word numbers, end exclusive, of the factors of ``window`` words or more. A text without
-    a factor keeps its words joined by a space as well.
+    spans: array of (start, end) word numbers, end exclusive, of the words that factors of ``window`` words or more
+    cover. factors: array of (start, length, source, source_start), end to end in each span. A text without a factor
+    keeps its words joined by a space as well.
     """
-    found = stage(spans_of(factored(docs, doc_id, text, window), window), "factors")
-    found = small(found, 256)
-    own = docs.drop(*[c for c in ("n_words", "n_removed", "spans") if c in docs.columns])
+    found = stage(factored(docs, doc_id, text, window), "factors")
+    found = small(found.select("tm_id", "tm_key", F.col("whole").alias("tm_whole"), F.col("factors").alias("tm_factors")), 64)
+    added = ("n_words", "n_removed", "spans", "factors")
+    own = docs.drop(*[c for c in added if c in docs.columns])
     key = F.shiftright(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 32).cast("int")
-    joined = own.withColumn("tm_own", key)
-    joined = joined.join(found, joined[doc_id].eqNullSafe(found["tm_id"]) & (joined["tm_own"] == found["tm_key"]), "left").select(*[joined[c] for c in own.columns], "tm_whole", "tm_spans")
+    id_type = docs.schema[doc_id].dataType
+    joined = own.join(found, own[doc_id].eqNullSafe(found["tm_id"]) & (key == found["tm_key"]), "left").select(*[own[c] for c in own.columns], "tm_whole", "tm_factors")
     at = own.columns.index(text)
-    schema = with_fields(own.schema, "n_words long, n_removed long, spans array<struct<start:int,end:int>>")
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    schema = with_fields(own.schema, f"n_words long, n_removed long, spans array<struct<start:int,end:int>>, factors array<struct<start:int,length:int,source:{id_type.simpleString()},source_start:int>>")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns - 2
+            id_kind = batch.column(n).type
             whole, marks = batch.column(n).to_pylist(), batch.column(n + 1)
-            texts, words, removed, spans = [], [], [], []
+            texts, words, removed, spans, factors = [], [], [], [], []
             for c in chunks(batch.column(at), SPACE_WORDS):
                 data = c.data.tobytes()
                 for i in range(len(c.bounds) - 1):
                     row, (a, b) = c.first + i, (int(c.bounds[i]), int(c.bounds[i + 1]))
-                    own_spans = [] if not marks[row].is_valid else [(x["s"], x["e"]) for x in marks[row].as_py()]
-                    if whole[row]:
-                        own_spans = [(0, b - a)] if b - a >= window else []
+                    own_spans, tiles = parse_of(marks[row].as_py()) if marks[row].is_valid else ([], [])
+                    if whole[row] is not None:
+                        own_spans, tiles = ([(0, b - a)], [(0, b - a, whole[row], 0)]) if b - a >= window else ([], [])
                     keep = np.ones(b - a, dtype=bool)
                     for s, e in own_spans:
                         keep[s:e] = False
@@ -174,34 +425,12 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                     words.append(b - a)
                     removed.append(b - a - len(left))
                     spans.append([{"start": s, "end": e} for s, e in own_spans])
+                    factors.append([dict(zip(("start", "length", "source", "source_start"), t, strict=True)) for t in tiles])
             columns = list(batch.columns[:n])
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            names = batch.schema.names[:n]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)], [*names, "n_words", "n_removed", "spans"])
+            span_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            factor_kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", id_kind), ("source_start", pa.int32())]))
+            extra = [pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span_kind), pa.array(factors, factor_kind)]
+            yield pa.RecordBatch.from_arrays([*columns, *extra], [*batch.schema.names[:n], *added])
 
     return joined.mapInArrow(cut, schema)
-
-
-def spans_of(found: DataFrame, window: int) -> DataFrame:
-    """tm_id, tm_key, tm_whole, tm_spans: greedy factors from the places of duplicate windows."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for places in batch.column(3):
-                if not places.is_valid:
-                    out.append([])
-                    continue
-                at = np.sort(np.asarray(places.values, dtype=np.int64))
-                hit = np.zeros(int(at[-1]) + window, dtype=np.int64)
-                hit[at] = 1
-                total = np.cumsum(hit)
-                total[window:] -= np.cumsum(hit)[:-window]
-                out.append([{"s": int(s), "e": int(e)} for s, e in zip(*runs(total > 0), strict=True)])
-            kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, kind)], ["tm_id", "tm_key", "tm_whole", "tm_spans"])
-
-    id_type = found.schema["tm_id"].dataType.simpleString()
-    spans = found.mapInArrow(read, f"tm_id {id_type}, tm_key int, tm_whole boolean, tm_spans array<struct<s:int,e:int>>")
-    # a copy may also have been sent as a reference, and repeated rows are found more than once
-    return spans.groupBy("tm_id", "tm_key").agg(F.max("tm_whole").alias("tm_whole"), F.max_by("tm_spans", F.size("tm_spans")).alias("tm_spans"))
