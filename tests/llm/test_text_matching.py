@@ -13,7 +13,7 @@ from tests.llm.test_pipeline import ASCII_LOWER, WORDS, brute_components, shingl
 from tidemark.llm import factors, jaccard
 from tidemark.llm._words import ALNUM_WORDS, SPACE_WORDS, chunks
 from tidemark.llm.contamination import decontaminate
-from tidemark.llm.factors import Reference, dedup_substrings
+from tidemark.llm.factors import Reference, Words, dedup_substrings
 from tidemark.llm.jaccard import Bands, drop_near_duplicates, jaccard_components, postings, signature
 from tidemark.llm.queries import op7_jaccard_join, op8_lz_substrings, op9_decontamination
 
@@ -145,7 +145,9 @@ def test_greedy_factors_of_a_block():
             stretch = [word() for _ in range(rng.randrange(window, 50))]
             seeds = sorted(rng.sample(range(len(stretch) - window + 1), rng.randrange(1, len(stretch) - window + 2)))
             index = Reference([i for i, _ in reference], [" ".join(w) for _, w in reference], window)
-            assert list(index.factors(4, " ".join(stretch), seeds)) == brute_factors([x for x in reference if x[0] < 4], stretch, seeds, window)
+            (c,) = chunks(pa.array([rng.choice([" ", "\n "]).join(stretch)]), SPACE_WORDS)
+            own = Words(c.data.tobytes(), c.starts, c.ends, c.hashes)
+            assert list(index.factors(4, own, seeds, *index.places_of(c.grams(window)[seeds]))) == brute_factors([x for x in reference if x[0] < 4], stretch, seeds, window)
 
 
 @pytest.mark.parametrize("block_bytes", [200, 4 << 20])

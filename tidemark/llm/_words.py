@@ -57,6 +57,16 @@ SPACE_WORDS = table(separators=b" \t\n\x0b\x0c\r")
 ALNUM_WORDS = table(keep=bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
 
 
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k word hashes from each one on."""
+    if len(h) < k:
+        return h[:0]
+    out = h[: len(h) - k + 1].copy()
+    for j in range(1, k):
+        out = out * STEP + h[j : len(h) - k + 1 + j]
+    return mix(out + np.uint64(k))
+
+
 @dataclass
 class Chunk:
     """Texts first to first + len(bounds) - 2 of the batch; words bounds[i] to bounds[i + 1] are those of text i."""
@@ -71,13 +81,7 @@ class Chunk:
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; meaningful only where they are of one text."""
-        h = self.hashes
-        if len(h) < k:
-            return h[:0]
-        out = h[: len(h) - k + 1].copy()
-        for j in range(1, k):
-            out = out * STEP + h[j : len(h) - k + 1 + j]
-        return mix(out + np.uint64(k))
+        return grams(self.hashes, k)
 
     def whole(self, i: int) -> np.ndarray:
         """Hash of all words of text i, equal to what grams gives for that many words."""

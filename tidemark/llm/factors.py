@@ -8,7 +8,7 @@ doc_id that holds it is its *source*. A full bitmap would let every window throu
 
 *Reference blocks.* The texts of all sources are dealt by doc_id into blocks of about ``BLOCK_BYTES``. A stretch of a
 document whose windows have sources goes to each block that holds one of them. There the block is indexed (sorted
-window hashes with their places, prefix hashes for extension), and the stretch is factored greedily: at a word whose
+window hashes with their places), and the stretch is factored greedily: at a word whose
 window is in the block, the longest match with any smaller document of the block becomes a factor (source, place in the
 source, length), compared word by word in the end; parsing goes on at the first window that is not whole in the factor.
 So windows that straddle the boundary of two factors, or of two blocks, are looked up like any other. A block that
@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._bitmap import COUNTED, counted, holds, repeated
 from tidemark.llm._shared import release, small, stage, with_fields
-from tidemark.llm._words import SPACE_WORDS, STEP, Chunk, as_bytes, chunks, mix
+from tidemark.llm._words import SPACE_WORDS, Chunk, as_bytes, chunks, grams
 
 ANCHOR = 6
 KEPT_DIGESTS = 200_000
@@ -55,10 +56,10 @@ def anchors(c: Chunk, window: int) -> tuple[np.ndarray, np.ndarray]:
     if n < window:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     gram = min(ANCHOR, window)
-    grams = c.grams(gram)
-    best = grams[: n - window + 1].copy()
+    own = c.grams(gram)
+    best = own[: n - window + 1].copy()
     for j in range(1, window - gram + 1):
-        np.minimum(best, grams[j : n - window + 1 + j], out=best)
+        np.minimum(best, own[j : n - window + 1 + j], out=best)
     owner = np.repeat(np.arange(len(c.bounds) - 1), np.diff(c.bounds))
     places = np.flatnonzero(owner[: n - window + 1] == owner[window - 1 :])
     return places, best[places]
@@ -133,6 +134,25 @@ def shared_windows(docs: DataFrame, window: int, bitmap: np.ndarray) -> DataFram
     return docs.select("tm_id", "tm_raw", "tm_key").mapInArrow(read, f"tm_id {docs.schema['tm_id'].dataType.simpleString()}, place long, print long")
 
 
+@dataclass
+class Words:
+    """Words of one or more texts: their bytes, places and hashes."""
+
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+
+    def same(self, at: int, other: Words, there: int, n: int) -> int:
+        """How many of n words from ``at`` on equal those of ``other`` from ``there`` on, byte by byte."""
+        if not n or self.data[self.starts[at] : self.ends[at + n - 1]] == other.data[other.starts[there] : other.ends[there + n - 1]]:
+            return n
+        for i in range(n):  # other white space, or a collision
+            if self.data[self.starts[at + i] : self.ends[at + i]] != other.data[other.starts[there + i] : other.ends[there + i]]:
+                return i
+        return n
+
+
 class Reference:
     """A block of reference texts, in doc_id order, and its index of windows."""
 
@@ -150,80 +170,58 @@ class Reference:
             self.first[c.first + 1 : c.first + len(n) + 1] = words + np.cumsum(n)
             words, size = words + len(c.hashes), size + len(c.data)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
-        self.data, self.hashes, self.starts, self.ends, self.owner = b"".join(parts), join(hashes, np.uint64), join(starts, np.int64), join(ends, np.int64), join(owner, np.int64)
-        self.sums = prefix_sums(self.hashes)
-        whole = np.flatnonzero(self.owner[: max(0, words - window + 1)] == self.owner[window - 1 :]) if words >= window else np.zeros(0, dtype=np.int64)
-        prints = ranges(self.sums, whole, window)
+        self.words, self.owner = Words(b"".join(parts), join(starts, np.int64), join(ends, np.int64), join(hashes, np.uint64)), join(owner, np.int64)
+        n = max(0, words - window + 1)
+        whole = np.flatnonzero(self.owner[:n] == self.owner[len(self.owner) - n :])
+        prints = grams(self.words.hashes, window)[whole]
         order = np.argsort(prints, kind="stable")  # ties in doc_id order, then by place
         self.prints, self.places = prints[order], whole[order]
 
-    def word_bytes(self, at: int, n: int) -> list[bytes]:
-        return [self.data[s:e] for s, e in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist(), strict=True)]
-
-    def factors(self, doc_id, text: str, seeds: list[int]) -> Iterator[tuple[int, int, int, int]]:
-        """(start, length, number of the source, place in the source): the greedy parse of a stretch from its seeds on."""
-        words = text.encode().split(b" ")
-        own = next(chunks(pa.array([text]), SPACE_WORDS)).hashes
-        sums, done = prefix_sums(own), 0
-        before = bisect_left(self.ids, doc_id)  # sources with a smaller doc_id
-        prints = ranges(sums, np.array(seeds, dtype=np.int64), self.window)
-        low, high = np.searchsorted(self.prints, prints, "left"), np.searchsorted(self.prints, prints, "right")
-        for at, a, b in zip(seeds, low.tolist(), high.tolist(), strict=True):
-            if at + self.window <= done:
-                continue  # this window is whole in the factor before
-            places = self.places[a:b]
+    def places_of(self, prints: np.ndarray) -> tuple[list[int], list[int]]:
+        """Where the places of each print begin and end in ``places``."""
+        return np.searchsorted(self.prints, prints, "left").tolist(), np.searchsorted(self.prints, prints, "right").tolist()
+
+    def factors(self, doc_id, own: Words, seeds: list[int], low: list[int], high: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """(start, length, number of the source, place in the source): the greedy parse of a stretch from its seeds on.
+
+        low, high: what places_of gives for the windows at the seeds.
+        """
+        before, i = bisect_left(self.ids, doc_id), 0  # sources with a smaller doc_id
+        while i < len(seeds):
+            at, done = seeds[i], 0
+            places = self.places[low[i] : high[i]]
             places = places[self.owner[places] < before]
-            longest = self.longest(sums, at, places)
-            for k in np.argsort(-longest, kind="stable").tolist():
+            longest = self.longest(own.hashes, at, places)
+            for k in np.argsort(-longest, kind="stable").tolist() if len(places) > 1 else range(len(places)):
                 n, place = int(longest[k]), int(places[k])
                 if n < self.window:
                     break
-                same = self.word_bytes(place, n)
-                n = next((i for i, (x, y) in enumerate(zip(same, words[at : at + n], strict=True)) if x != y), n)
+                n = self.words.same(place, own, at, n)
                 if n >= self.window:  # else two hashes collided
                     source = int(self.owner[place])
                     yield at, n, source, place - int(self.first[source])
                     done = at + n
                     break
-
-    def longest(self, sums: np.ndarray, at: int, places: np.ndarray) -> np.ndarray:
-        """Words that match from each place on, by bisection over prefix hashes."""
-        low = np.zeros(len(places), dtype=np.int64)
-        high = np.minimum(len(sums) - 1 - at, self.first[self.owner[places] + 1] - places)
-        while (low < high).any():
-            mid = (low + high + 1) // 2
-            same = ranges(self.sums, places, mid) == ranges(sums, np.full(len(places), at), mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
-
-
-_powers = [np.ones(1, dtype=np.uint64)]
-
-
-def _power(n: np.ndarray) -> np.ndarray:
-    most = int(n.max(initial=0))
-    if len(_powers[0]) <= most:
-        p = np.full(max(most + 1, 2 * len(_powers[0])), STEP, dtype=np.uint64)
-        p[0] = 1
-        _powers[0] = np.multiply.accumulate(p)
-    return _powers[0][n]
-
-
-def prefix_sums(hashes: np.ndarray) -> np.ndarray:
-    """sums[i]: the polynomial over the first i word hashes."""
-    out = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    # sums[i] = sums[i - 1] * STEP + hashes[i - 1], by way of powers of the inverse of STEP
-    inverse = np.full(len(hashes) + 1, pow(int(STEP), -1, 1 << 64), dtype=np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    np.cumsum(hashes * inverse[1:], out=out[1:])
-    return out * _power(np.arange(len(out)))
-
-
-def ranges(sums: np.ndarray, at: np.ndarray, n) -> np.ndarray:
-    """Hashes of the n words from each place on."""
-    n = np.broadcast_to(np.asarray(n, dtype=np.int64), np.shape(at))
-    return mix(sums[at + n] - sums[at] * _power(n) + n.astype(np.uint64))
+            # windows that are whole in this factor are done
+            i = max(i + 1, bisect_left(seeds, done - self.window + 1, i))
+
+    def longest(self, own: np.ndarray, at: int, places: np.ndarray) -> np.ndarray:
+        """Words that match from each place on, slab by slab for the places that match so far."""
+        room = np.minimum(len(own) - at, self.first[self.owner[places] + 1] - places)
+        out, alive, done, slab = np.zeros(len(places), dtype=np.int64), np.arange(len(places)), 0, 128
+        while len(alive):
+            width = min(slab, int(room[alive].max()) - done)
+            if width <= 0:
+                out[alive] = done
+                break
+            span = np.arange(done, done + width)
+            index = places[alive, None] + span
+            same = self.words.hashes[np.minimum(index, len(self.owner) - 1)] == own[at + done : at + done + width]
+            same &= span < room[alive, None]
+            n = np.where(same.all(axis=1), width, same.argmin(axis=1))
+            out[alive] = done + n
+            alive, done, slab = alive[n == width], done + width, 2 * slab
+        return out
 
 
 def _stretches(places: np.ndarray) -> list[np.ndarray]:
@@ -303,20 +301,27 @@ def parsed(references: DataFrame, targets: DataFrame, window: int) -> DataFrame:
 
         for batch in batches:
             kind = batch.column(3).type
-            for block, share, is_target, doc, key, start, raw, seeds in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (block, share) != now:
-                    now, ids, texts, index, last = (block, share), [], [], None, None
-                if last == (last := (is_target, doc, key, start)):
-                    continue  # a repeated row
-                if not is_target:
-                    ids.append(doc)
-                    texts.append(raw)
-                    continue
-                if index is None:
-                    index = Reference(ids, texts, window)
-                    texts = []
-                for at, n, source, place in index.factors(doc, raw, seeds):
-                    rows.append((doc, key, start + at, n, block, index.ids[source], place))
+            blocks, shares, kinds, docs, keys, starts = (batch.column(i).to_pylist() for i in range(6))
+            raw, seeds = batch.column(6), batch.column(7)
+            for c in chunks(raw, SPACE_WORDS):
+                data, prints = c.data.tobytes(), c.grams(window)
+                for i in range(len(c.bounds) - 1):
+                    r, a, b = c.first + i, int(c.bounds[i]), int(c.bounds[i + 1])
+                    if (blocks[r], shares[r]) != now:
+                        now, ids, texts, index, last = (blocks[r], shares[r]), [], [], None, None
+                    if last == (last := (kinds[r], docs[r], keys[r], starts[r])):
+                        continue  # a repeated row
+                    if not kinds[r]:
+                        ids.append(docs[r])
+                        texts.append(raw[r].as_py())
+                        continue
+                    if index is None:
+                        index = Reference(ids, texts, window)
+                        texts = []
+                    at = np.asarray(seeds[r].values, dtype=np.int64)
+                    own = Words(data, c.starts[a:b], c.ends[a:b], c.hashes[a:b])
+                    for start, n, source, place in index.factors(docs[r], own, at.tolist(), *index.places_of(prints[a + at])):
+                        rows.append((docs[r], keys[r], starts[r] + start, n, now[0], index.ids[source], place))
                 if len(rows) >= SENT_ROWS:
                     yield send()
         if kind is not None:
@@ -338,10 +343,12 @@ def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     first = stage(first, "factor-copies")  # an aggregate right below a join would keep a hot text in one task
     copies = digests.join(first, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).where(F.col("source") < F.col("tm_id")).select("tm_id", "tm_key", "source")
     copies = stage(copies.distinct(), "factor-copies")
+    release(spark, first)
 
     found = shared_windows(keyed, window, shared_anchors(keyed, window))
     index = found.groupBy("print").agg(F.min("tm_id").alias("first"), F.max("tm_id").alias("last")).where(F.col("first") < F.col("last")).select(F.col("print").alias("block_print"), "first")
     index = stage(index, "factor-index")  # as above, for hot windows
+    release(spark)
     sources = small(stage(index.select(F.col("first").alias("source_id")).distinct(), "factor-sources"), 16)
     references = stage(keyed.join(sources, keyed["tm_id"] == sources["source_id"], "left_semi"), "factor-references")
     size = references.agg(F.sum(F.octet_length("tm_raw"))).first()[0] or 0  # a single number
