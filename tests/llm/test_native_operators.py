@@ -8,8 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import sharding
-from tidemark.llm.line_runs import LineRuns, dedup_lines, index_lines
+from tidemark.llm import line_runs, sharding
+from tidemark.llm.line_runs import LineRuns, dedup_lines, hashed_lines, index_lines
 from tidemark.llm.queries import op3_byte_shards, op5_line_dedup
 from tidemark.llm.sharding import shard_by_bytes
 
@@ -26,27 +26,37 @@ def brute_lines(texts, min_docs):
     return ["\n".join(x for x in t.split("\n") if key(x) not in often) for t in texts]
 
 
-@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (4, 3), (7, 2)])
-def test_line_dedup(spark, batches, fanout):
-    rng = random.Random(batches)
+@pytest.mark.parametrize(("batch_lines", "fanout", "fit"), [(1 << 20, 2, True), (100, 3, True), (40, 2, False)])
+def test_line_dedup(spark, monkeypatch, batch_lines, fanout, fit):
+    if not fit:  # settled runs too large to broadcast
+        monkeypatch.setattr(line_runs, "fits", lambda *_: False)
+    rng = random.Random(batch_lines)
     pool = ["A b", " a B\t", "É", "é", "x\x0b", "", " ", "one\r", "zz", "ONE"]
     texts = ["\n".join(rng.choice(pool + [f"line {rng.randrange(200)}"] * 3) for _ in range(rng.randrange(8))) for _ in range(120)] + [None, "", "\n", "A b\n\n"]
-    docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, n_lines string")
-    out = {r["doc_id"]: r for r in dedup_lines(docs, min_docs=5, batches=batches, fanout=fanout).collect()}
+    docs = spark.createDataFrame([(i, t, "kept", "own") for i, t in enumerate(texts)], "doc_id long, text string, n_lines string, tm_hits string").withColumn("tm_text", F.lit("x"))
+    out = {r["doc_id"]: r for r in dedup_lines(docs, min_docs=5, batch_lines=batch_lines, fanout=fanout).collect()}
     expected = brute_lines(texts, 5)
     for i, t in enumerate(texts):
         assert (out[i]["text"] or "") == expected[i], (i, t)
-        assert out[i]["n_lines"] == (t or "").count("\n") + 1
+        assert out[i]["n_lines"] == (t or "").count("\n") + 1 and out[i]["tm_hits"] == "own" and out[i]["tm_text"] == "x"
         assert out[i]["n_lines"] - out[i]["n_dropped"] == (expected[i].count("\n") + 1 if expected[i] or out[i]["n_dropped"] < out[i]["n_lines"] else 0)
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
 def test_repeated_rows_and_null_ids(spark):
-    rows = [(1, "same\nown")] * 6 + [(None, "same\nx"), (None, None), (1, "other")]
+    rows = [(1, "same\nown")] * 6 + [(None, "same\nx"), (None, None), (1, "other")] + [(i, "same") for i in range(2, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = dedup_lines(docs, min_docs=6).collect()
-    assert len(out) == 9
-    assert Counter(r["text"] for r in out) == Counter({"": 6, "x": 1, None: 1, "other": 1})
+    out = dedup_lines(docs, min_docs=6).collect()  # "same" is in documents 1 to 5 and one without an id; "own" in one
+    assert len(out) == 13
+    assert Counter(r["text"] for r in out) == Counter({"own": 6, "x": 1, None: 1, "other": 1, "": 4})
+    assert Counter(r["text"] for r in dedup_lines(docs, min_docs=7).collect()) == Counter(t for _, t in rows)
+
+
+def test_very_long_text(spark):
+    long = "\n".join(f"line {i}" for i in range(120_000))
+    docs = spark.createDataFrame([(i, long if i < 2 else "line 7\nown") for i in range(4)], "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in dedup_lines(docs, min_docs=2, batch_lines=1000).collect()}
+    assert out == {0: (120_000, 120_000), 1: (120_000, 120_000), 2: (2, 2), 3: (2, 2)}
 
 
 def test_levels_settle_and_compact(spark):
@@ -55,8 +65,13 @@ def test_levels_settle_and_compact(spark):
         runs.add(spark.range(10).select(F.col("id").alias("h1"), F.lit(0).cast("long").alias("h2"), F.when(F.col("id") < 3, 2).otherwise(F.when(F.col("id") == b, 4).otherwise(0)).cast("long").alias("n")))
     assert runs.settled and len(runs.levels) > 1 and all(len(level) < 2 for level in runs.levels)
     assert sorted(r["h1"] for r in runs.frequent().collect()) == [0, 1, 2, 3, 4]
-    docs = spark.createDataFrame([(i, "q") for i in range(9)], "doc_id long, text string")
-    assert index_lines(docs, min_docs=9, batches=3).frequent().count() == 1
+    docs = spark.createDataFrame([(i, f"q\nown {i}\npair {i // 2}") for i in range(60)], "doc_id long, text string")
+    runs = index_lines(hashed_lines(docs), min_docs=9, batch_lines=20, fanout=2)
+    assert runs.settled and len(runs.levels) > 2 and runs.frequent().count() == 1
+    # once settled, a key enters no run any more
+    counted = runs._read([p for level in runs.levels for p in level])
+    assert counted.join(runs._read(runs.settled), ["h1", "h2"], "left_semi").count() == 0
+    assert counted.agg(F.sum("n")).first()[0] == 120
 
 
 def test_line_query_plan_has_no_python(spark, sf):

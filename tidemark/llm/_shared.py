@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: Rows of a staged table that may be broadcast; above it the same join runs as a shuffle join.
 BROADCAST_ROWS = 2_000_000
@@ -76,19 +76,21 @@ def release(spark: SparkSession, *staged: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
-def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
-    """A staged table, marked for broadcast if its rows prove it small; otherwise as it is (shuffle join).
-
-    Counted are rows of at least row_bytes, and the bytes of strings, binaries and arrays in them.
-    """
-    from pyspark.sql.types import ArrayType, BinaryType, StringType
-
-    wide = [F.octet_length(f.name) if isinstance(f.dataType, (StringType, BinaryType)) else 32 * F.size(f.name) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType, ArrayType))]
+def fits(df: DataFrame, row_bytes: int = 32) -> bool:
+    """Whether a staged table may be broadcast: by its rows, of row_bytes at least, and the bytes of strings, binaries and arrays in them."""
     each = F.lit(row_bytes)
-    for w in wide:
-        each = each + F.coalesce(w, F.lit(0))
+    for f in df.schema:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            each = each + F.coalesce(F.octet_length(df[f.name]), F.lit(0))
+        elif isinstance(f.dataType, ArrayType):
+            each = each + F.coalesce(32 * F.size(df[f.name]), F.lit(0))
     rows, size = df.agg(F.count("*"), F.sum(each.cast("long"))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """A staged table, marked for broadcast if it `fits`; otherwise as it is (shuffle join)."""
+    return F.broadcast(df) if fits(df, row_bytes) else df
 
 
 def cleanup(spark: SparkSession) -> None:
