@@ -127,6 +127,65 @@ def texts(htmls):
     return [W.extract_page(W.parse(h), wrapper) for h in htmls]
 
 
+def wrapped(pages, change=lambda h: h, induce=True):
+    """page_id to text by the wrappers of the pages' hosts (induce: else each page by itself), in plain Python."""
+    hosts, out = {}, {}
+    for r in pages:
+        hosts.setdefault((r["url"] or "").split("/")[2] if induce else r["page_id"], []).append(r)
+    for own in hosts.values():
+        htmls = {W.content_key(W.parse(h)): h for h in (change(r["html"] or "") for r in own)}
+        template = None
+        for h in htmls.values():
+            page = W.folded(W.parse(h))
+            template = page if template is None else W.merged(template, page)
+        wrapper = json.loads(W.wrapper_of(template))
+        out |= {r["page_id"]: (len(htmls), W.extract_page(W.parse(change(r["html"] or "")), wrapper)) for r in own}
+    return out
+
+
+@pytest.mark.parametrize("names", [{}, {"nav": "content", "article": "search notice", "footer": "entry", "ad": "story"}])
+def test_the_wrapper_decides_without_semantic_tags(spark, sf, names):
+    """Menus, adverts and footers as bare or misnamed divs: the host's statistics find the article, a page alone does not."""
+
+    def change(h):
+        h = re.sub(r"<(nav|article|footer)>", lambda m: f'<div class="{names[m[1]]}">' if names else "<div>", h)
+        return re.sub(r"</(nav|article|footer)>", "</div>", h).replace('class="ad"', f'class="{names.get("ad", "x")}"')
+
+    pages = [r.asDict() for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect()]
+    expected = {r["page_id"]: article(r["html"]) for r in pages}
+    found, alone = wrapped(pages, change), wrapped(pages, change, induce=False)
+    enough = [p for p, (n, _) in found.items() if n >= W.SUPPORT]
+    assert len(enough) > 100 and all(found[p][1] == expected[p] for p in enough)
+    assert sum(alone[p][1] == expected[p] for p in enough) < 0.1 * len(enough)
+
+
+def alone(html):
+    page = W.parse(html)
+    return W.extract_page(page, json.loads(W.wrapper_of(W.folded(page))))
+
+
+def test_words_in_names_do_not_drop_an_article():
+    assert alone('<div class="search-results"><p>real text</p></div>') == "real text"
+    assert alone('<article><h1>T</h1><p>a b c</p><p class="notice">important</p></article>') == "T\na b c\nimportant"
+    assert alone('<article><h1>T</h1><p>a b c</p><div class="related-work"><p>earlier work</p></div></article>') == "T\na b c\nearlier work"
+    assert alone('<body><div class="comments"><p>x</p></div><div class=a><h1>T</h1><p>a b c dd</p></div></body>') == "T\na b c dd"
+
+
+def test_regular_link_slots_of_the_region_are_template():
+    page = lambda i: f"<main><h1>t{i}</h1><p>a{i} <a href=/x>see</a></p><ul><li><a href=/1>next {i}</a><li><a href=/2>more {i}</a></ul></main>"
+    assert texts([page(i) for i in range(6)]) == [f"t{i}\na{i} see" for i in range(6)]
+    assert texts([page(i) for i in range(4)])[0].endswith("more 0")  # too few pages to tell
+
+
+def test_templates_are_bounded():
+    rng, template = random.Random(2), None
+    for i in range(150):
+        blocks = "".join(f"<div class=b{rng.randrange(10**6)}x><p>{i}</p></div>" for _ in range(20))
+        page = W.folded(W.parse(f"<body><main><h1>t{i}</h1><p>text {i}</p></main>{blocks}</body>"))
+        template = page if template is None else W.merged(template, page)
+    assert len(json.dumps(template)) < 20_000
+
+
 def test_runs_align_with_what_they_fold_to():
     long = [f"<main><h1>t{i}</h1><div><p>a{i}</p><ul><li>l{i}</ul></div><h2>More</h2><div><p>All rights reserved</p></div></main>" for i in range(6)]
     runs = [f"<main><h1>t{i}</h1><div><p>a{i}</p><ul><li>l{i}</ul></div><div><p>b{i}</p><ul><li>m{i}</ul></div></main>" for i in range(6, 10)]
