@@ -65,6 +65,30 @@ def test_learning_is_ordered_and_prunes():
     assert DecisionList(()).column() is not None
 
 
+def test_rules_of_either_class_in_order(spark):
+    rng = np.random.default_rng(5)
+    x = {"mean_word_chars": rng.random(3000), "digit_rate": rng.random(3000)}
+    bad = (x["mean_word_chars"] >= 0.5) & ~((x["digit_rate"] >= 0.4) & (x["digit_rate"] < 0.5))
+    found = learn(x, bad, np.arange(3000) % 3 > 0)
+    assert {k for _, k in found.rules} == {True, False} and (found.rejects(x) == bad).mean() > 0.98
+    turned = DecisionList(found.rules[::-1])
+    assert (turned.rejects(x) != found.rejects(x)).any()  # their order matters
+    rows = [(float(a), float(b)) for a, b in zip(*(v[:300] for v in x.values()), strict=True)]
+    # word_chars / n_words and n_digits / word_chars give the features back
+    table = spark.createDataFrame([(i, a * 1e6, a * b * 1e6) for i, (a, b) in enumerate(rows)], "i long, word_chars double, n_digits double").withColumn("n_words", F.lit(1e6))
+    table = table.withColumn("n_digits", F.col("n_digits"))
+    kept = {r["i"]: r["k"] for r in table.where("word_chars >= 1").select("i", found.column().alias("k")).collect()}
+    rejected = found.rejects({k: v[:300] for k, v in x.items()})
+    assert all(kept[i] != rejected[i] for i in kept)
+
+
+def test_a_labelled_id_that_is_repeated_counts_once(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 500 + [(1, "a a"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id long, quality int")
+    rows = labelled_statistics(docs, labels, "doc_id", "text", "quality", 100).collect()
+    assert sorted((r["tm_id"], r["bad"]) for r in rows) == [(1, True), (2, False)]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b", 7), (1, "a b", 7), (None, None, 8), (2, "w " * 60, 9)], "doc_id long, text string, n_words long").withColumn("odd name-of: it", F.lit(1))
     labels = spark.createDataFrame([(1, 0), (None, 1), (2, None), (99, 1), (1, 0)], "doc_id long, quality int")

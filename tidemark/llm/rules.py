@@ -3,10 +3,12 @@
 Statistics of every whole text come from one Arrow pass. A decision list is learned from the statistics of labelled
 documents by sequential covering: each rule is grown, threshold by threshold, on two thirds of the labelled rows (the
 condition with the highest information gain is added until the rule covers no document of the other class), then
-pruned from its end on the other third while that does not lower (p - n) / (p + n), n weighted as in the gain by
-``GOOD_COST``; rows it covers leave, and the next
-rule is learned from the rest, until a rule has a precision (after Laplace) below ``MIN_PRECISION`` on the pruning rows. The list
-becomes one ordered Spark conditional expression (``CASE WHEN``), which is then applied to all documents.
+pruned from its end on the other third to the beginning with the largest p - n, n weighted as in the gain by
+``GOOD_COST``. A beginning may come with an exception: a rule for the class it does not cover, grown and pruned in the
+same way on the rows it covers, which goes before it. So rules keep or reject, and their order matters. Rows that rules
+cover leave, and the next rule is learned from the rest, until none has a precision (after Laplace) of
+``MIN_PRECISION`` on the pruning rows. The list becomes one ordered Spark conditional expression (``CASE WHEN``), which
+is then applied to all documents.
 
 Learning uses at most ``max_labelled`` labelled documents, those with the smallest hash of their doc_id (a documented
 bound; scoring and statistics cover every document).
@@ -16,7 +18,8 @@ Statistics (long): n_words of ``[^\\x20\\x09-\\x0D]+``; word_chars, code points
 words found twice or more in the text; n_upper, n_marks (``[!?]``), n_digits.
 
 Defined results: a null text has no words and fails the base rules; labels that are null, or whose doc_id is null or
-in no document, are not used, and repeated labels count once each; with labels of one class only the list is empty
+in no document, are not used; repeated labels count once, and if a labelled doc_id is repeated, the first of its texts
+in order counts; with labels of one class only the list is empty
 and base rules decide alone; repeated rows and doc_ids each get their row; an empty table gives an empty result; other
 columns pass through untouched (statistics replace columns of the same name).
 """
@@ -169,33 +172,34 @@ class Rule:
 
 @dataclass(frozen=True)
 class DecisionList:
-    """Documents a rule covers are rejected; rules in order, the default keeps."""
+    """Rules in order, each keeping or rejecting the documents it is the first to cover; the default keeps."""
 
-    rules: tuple[Rule, ...]
+    rules: tuple[tuple[Rule, bool], ...]
 
     def column(self) -> Column:
         """True to keep."""
-        if not self.rules:
-            return F.lit(True)
-        out = F.when(self.rules[0].column(), F.lit(False))
-        for r in self.rules[1:]:
-            out = out.when(r.column(), F.lit(False))
-        return out.otherwise(F.lit(True))
+        out = None
+        for rule, keep in self.rules:
+            out = (F if out is None else out).when(rule.column(), F.lit(keep))
+        return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
     def rejects(self, x: dict[str, np.ndarray]) -> np.ndarray:
         out = np.zeros(len(next(iter(x.values()))), dtype=bool)
-        for r in self.rules:
-            out |= r.hits(x)
+        open_rows = ~out
+        for rule, keep in self.rules:
+            hit = open_rows & rule.hits(x)
+            out |= hit & (not keep)
+            open_rows &= ~hit
         return out
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    """Add the condition of highest gain until no good document is covered."""
-    rule, covered = (), np.ones(len(bad), dtype=bool)
-    while len(rule) < MAX_CONDITIONS and (covered & ~bad).any():
-        p0, n0 = (covered & bad).sum(), (covered & ~bad).sum()
+def _grow(x: dict[str, np.ndarray], target: np.ndarray, cost: float) -> Rule:
+    """Add the condition of highest gain until only the target class is covered; others weigh ``cost``."""
+    rule, covered = (), np.ones(len(target), dtype=bool)
+    while len(rule) < MAX_CONDITIONS and (covered & ~target).any():
+        p0, n0 = (covered & target).sum(), (covered & ~target).sum()
         best, best_gain = None, 1e-9
-        base = math.log2(p0 / (p0 + GOOD_COST * n0))
+        base = math.log2(p0 / (p0 + cost * n0))
         for f in sorted(x):
             values = np.unique(x[f][covered])
             # thresholds half-way between neighbouring values; quantiles of them where there are many
@@ -205,8 +209,8 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
             for cut in cuts:
                 up = covered & (x[f] >= cut)
                 for at_least, hit in ((True, up), (False, covered & ~up)):
-                    p, n = (hit & bad).sum(), (hit & ~bad).sum()
-                    if p and (gain := p * (math.log2(p / (p + GOOD_COST * n)) - base)) > best_gain:
+                    p, n = (hit & target).sum(), (hit & ~target).sum()
+                    if p and (gain := p * (math.log2(p / (p + cost * n)) - base)) > best_gain:
                         best, best_gain = Condition(f, at_least, float(cut)), gain
         if best is None:
             break
@@ -214,40 +218,61 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return Rule(rule)
 
 
-def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, float]:
-    """(p - n) / (p + n) with n weighted, and the precision after Laplace, so that a rule needs support as well."""
-    hit = rule.hits(x)
-    p, n = (hit & bad).sum(), (hit & ~bad).sum()
-    return ((p - GOOD_COST * n) / (p + GOOD_COST * n), (p + 1) / (p + n + 2)) if p + n else (-1.0, 0.0)
+def _gain(hit: np.ndarray, target: np.ndarray, cost: float) -> tuple[float, float]:
+    """p - n with n weighted, and the precision after Laplace, so that a rule needs support as well."""
+    p, n = (hit & target).sum(), (hit & ~target).sum()
+    return float(p - cost * n), (p + 1) / (p + n + 2)
+
+
+def _covering(x: dict[str, np.ndarray], target: np.ndarray, fold: np.ndarray, rows: np.ndarray, cost: float, exceptions: bool) -> list[Rule]:
+    """[rule] for the target class or [exception, rule], grown on one part of the rows and pruned on the other; [] if none is precise enough.
+
+    Each beginning of the grown rule is weighed as it is and, if exceptions, less what a rule for the other class takes
+    out of its rows.
+    """
+    grow, prune = rows & fold, rows & ~fold
+    if not (target & grow).any() or not (target & prune).any() or target[rows].all():
+        return []
+    grown = _grow({k: v[grow] for k, v in x.items()}, target[grow], cost).conditions
+    best: list[Rule] = []
+    most = (-math.inf, 0)
+    for k in range(1, len(grown) + 1):
+        rule = Rule(grown[:k])
+        covered = rows & rule.hits(x)
+        other = _covering(x, ~target, fold, covered, 1, False) if exceptions else []
+        other = [Rule((*rule.conditions, *r.conditions)) for r in other]  # it excepts nothing else
+        for found in [[rule], [*other, rule]] if other else [[rule]]:
+            hit = covered & ~found[0].hits(x) if len(found) > 1 else covered
+            gain, precision = _gain(hit[prune], target[prune], cost)
+            size = (gain, -sum(len(r.conditions) for r in found))
+            if precision >= MIN_PRECISION and size > most:
+                best, most = found, size
+    return best
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> DecisionList:
     """fold: True for rows to grow rules on, False for rows to prune them on."""
-    rules: list[Rule] = []
+    rules: list[tuple[Rule, bool]] = []
     left = np.ones(len(bad), dtype=bool)
     while len(rules) < MAX_RULES:
-        grow, prune = left & fold, left & ~fold
-        if not (bad & grow).any() or not (bad & prune).any() or bad[left].all():
+        found = _covering(x, bad, fold, left, GOOD_COST, True)
+        if not found:
             break
-        part = lambda rows: ({k: v[rows] for k, v in x.items()}, bad[rows])
-        rule = _grow(*part(grow))
-        if not rule.conditions:
-            break
-        best = max((Rule(rule.conditions[:k]) for k in range(1, len(rule.conditions) + 1)), key=lambda r: (_worth(r, *part(prune))[0], -len(r.conditions)))
-        if _worth(best, *part(prune))[1] < MIN_PRECISION:
-            break
-        rules.append(best)
-        left &= ~best.hits(x)
+        rules += [(r, r is not found[-1]) for r in found]
+        for r in found:
+            left &= ~r.hits(x)
     return DecisionList(tuple(rules))
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_labelled: int) -> DataFrame:
     """Features, bad (quality 0) and fold of the chosen labelled documents."""
     rows = labels.select(F.col(doc_id).alias("tm_id"), F.col(label).cast("int").alias("tm_label")).where(F.col("tm_id").isNotNull() & F.col("tm_label").isNotNull())
-    rows = rows.orderBy(F.xxhash64("tm_id"), "tm_id", "tm_label").limit(max_labelled)
-    own = docs.select(F.col(doc_id).alias("tm_doc"), F.col(text))
-    own = own.join(F.broadcast(rows), own["tm_doc"] == rows["tm_id"]).select("tm_id", "tm_label", text)  # max_labelled rows at most
-    return statistics(own, text).select(
+    rows = rows.distinct().orderBy(F.xxhash64("tm_id"), "tm_id", "tm_label").limit(max_labelled)
+    own = docs.select(F.col(doc_id).alias("tm_doc"), F.col(text).alias("tm_raw"))
+    own = own.join(F.broadcast(rows), own["tm_doc"] == rows["tm_id"])  # max_labelled rows at most
+    # one text for each label, however often its doc_id is repeated, so that what is collected is bounded as well
+    own = own.groupBy("tm_id", "tm_label").agg(F.min("tm_raw").alias("tm_raw"))
+    return statistics(own, "tm_raw").select(
         *STATISTICS, *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()], (F.col("tm_label") == 0).alias("bad"), (F.pmod(F.xxhash64(F.lit("fold"), "tm_id"), F.lit(3)) > 0).alias("fold"), F.col("tm_id")
     )
 
