@@ -1,12 +1,12 @@
 """Contiguous, byte-balanced shards by a global prefix sum. DataFrame functions only, no Python on the executors.
 
-The order of the rows is the order of the input's partitions and of the rows in them (the table's own order; for a
-table stored by doc_id that is doc_id order). The rows' sizes are staged once with that order written down as
-(partition, position), so a recomputed task cannot change it. Each partition's total comes from one small aggregate;
-an exclusive prefix sum over the totals in two levels (blocks of partitions, then partitions in a block) gives each
-partition its offset, and a running sum inside the partition does the rest. The row that starts at byte b of the
-corpus goes to shard ``b * shards div total``: shards are contiguous, and differ from equal size by one row at most
-at either end. Texts are read once and never shuffled.
+The order of the rows is that of doc_id (nulls first; ties by checksum, size, and place in the input), whatever files
+or partitions they come from. Only (doc_id, size, checksum) rows are put in order: they are range-partitioned by it, so
+that a hot doc_id is spread over partitions as well, sorted, and staged with their partition and position written down.
+Each partition's total comes from one small aggregate; an exclusive prefix sum over the totals in two levels (blocks of
+partitions, then partitions in a block) gives each partition its offset, and a running sum inside the partition does
+the rest. The row that starts at byte b of the corpus goes to shard ``b * shards div total``: shards are contiguous, and
+differ from equal size by one row at most at either end. Texts are read once and never shuffled.
 
 Defined results: a null text has no bytes and CRC 0; null and repeated doc_ids and repeated rows are rows like any
 other; a corpus with fewer rows than shards leaves shards empty; an empty table gives an empty result; other columns
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import stage
+from tidemark.llm._shared import release, stage
 
 BLOCK = 1024
 
@@ -37,10 +37,17 @@ def prefix_offsets(totals: DataFrame, key: str, *values: str) -> DataFrame:
 
 def shard_by_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 40, overhead: int = 16) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus overhead), text_crc32, shard (0 to shards - 1), slot (gapless from 0 in a shard)."""
+    spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit(""))
     at = F.monotonically_increasing_id()
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(raw) + overhead).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), at.alias("at"))
-    rows = stage(rows, "shard-sizes").withColumn("part", F.shiftright("at", 33))
+    rows = stage(rows, "shard-sizes")  # places are written down, so that sorting sees the same ones again
+    order = ["doc_id", "text_crc32", "size", "at"]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "size", "text_crc32", F.monotonically_increasing_id().alias("at"))
+    placed = stage(sorted_rows, "shard-order")
+    release(spark, rows)
+    rows = placed.withColumn("part", F.shiftright("at", 33))
     totals = rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     offsets = prefix_offsets(totals, "part", "bytes", "rows")
     inner = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
