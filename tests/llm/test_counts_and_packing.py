@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm.packing import best_fit, encoder, evolve, pack
 from tidemark.llm.queries import op6_ga_packing, op10_token_counts, tokenizer_path
@@ -30,10 +31,11 @@ def test_counts_equal_whole_encoding(spark, sf):
 
 def test_cache_encodes_only_misses(spark, tmp_path):
     path, cache = tokenizer_path("piece_bpe_32k.model"), str(tmp_path / "cache")
-    rows = [(1, "one two", "x"), (2, "one two", "y"), (None, "one two", "z"), (3, None, None), (4, "", None), (1, "one two", "x"), (5, "three", "n")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    rows = [(1, "one two", "x"), (2, "one two", "y"), (None, "one two", "z"), (3, None, None), (4, "", None), (1, "one two", "x"), (5, "three", "n"), (6, "six", "p"), (6, "six", "q"), (None, "none", "r"), (None, "none", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").withColumn("tm_digest", F.lit("own")).repartition(3)
     out = count_tokens(docs, path, cache=cache)
-    assert out.columns == ["doc_id", "text", "n_bytes", "n_tokens"] and out.count() == 7
+    assert out.columns == ["doc_id", "text", "tm_digest", "n_bytes", "n_tokens"] and out.count() == 11 and out.where("tm_digest = 'own'").count() == 11
+    assert spark.read.parquet(cache).count() == 5  # encoded once each: one two, (empty), three, six, none
     expected = {t: counter(path)([t or ""])[0] for t in {r[1] for r in rows}}
     assert all(r["n_tokens"] == expected[r["text"]] and r["n_bytes"] == len((r["text"] or "").encode()) for r in out.collect())
     stored = spark.read.parquet(cache).count()

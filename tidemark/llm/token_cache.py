@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from importlib.metadata import version
@@ -105,29 +106,35 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     raw, version_digest = F.coalesce(F.col(text), F.lit("")), tokenizer_digest(tokenizer)
     digest = F.unhex(F.sha2(raw.cast("binary"), 256))
     docs = docs.drop(*[c for c in ("n_bytes", "n_tokens") if c in docs.columns])
-    keyed = docs.withColumn("tm_digest", digest).withColumn("n_bytes", F.octet_length(raw).cast("long"))  # before the joins, which then need no text
+    key, n_bytes = f"tm-{uuid.uuid4().hex}", F.octet_length(raw).cast("long")
+    keyed = docs.withColumns({key: digest, "n_bytes": n_bytes})  # before the joins, which then need no text
     store = f"{cache or new_path(spark, 'token-cache')}/tokenizer={version_digest}"
     schema = "digest binary, n_tokens long"
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     stored = spark.read.schema(schema).parquet(store).dropDuplicates(["digest"]) if found else None
 
-    # of each digest that is not stored, the smallest doc_id; the others of the digest are left out when encoding
-    misses = keyed.select("tm_digest", F.col(doc_id).alias("tm_id"))
+    # of each digest that is not stored, the smallest doc_id and its rows; other doc_ids of the digest are left out when encoding
+    misses = docs.select(digest.alias("tm_digest"), F.col(doc_id).alias("tm_id"))
     if stored is not None:
         misses = misses.join(stored, misses["tm_digest"] == stored["digest"], "left_anti")
-    first = misses.groupBy("tm_digest").agg(F.min("tm_id").alias("tm_first"))
+    rows = misses.groupBy("tm_digest", "tm_id").agg(F.count("*").alias("rows")).groupBy("tm_digest")
+    first = rows.agg(F.min(F.struct("tm_id", "rows")).alias("d")).select("tm_digest", F.col("d.tm_id").alias("tm_first"), F.col("d.rows").alias("rows"))
+    first = stage(first, "token-first")  # an aggregate right below a join would keep a hot digest in one task
     if stored is None:
-        first = stage(first, "token-first")  # an aggregate right below a join would keep a hot digest in one task
         wanted = misses.join(first, "tm_digest").where(~F.col("tm_id").eqNullSafe(F.col("tm_first"))).select("tm_digest", "tm_id")
         how = "left_anti"
     else:
         wanted, how = first.select("tm_digest", F.col("tm_first").alias("tm_id")), "left_semi"
-    wanted = stage(wanted, "token-wanted")
-    left = keyed.select("tm_digest", F.col(doc_id).alias("tm_doc"), raw.alias("tm_raw"))
-    right = small(wanted, 64)
+    right = small(stage(wanted, "token-wanted"), 64)
+    left = docs.select(digest.alias("tm_digest"), F.col(doc_id).alias("tm_doc"), raw.alias("tm_raw"))
     chosen = left.join(right, (left["tm_digest"] == right["tm_digest"]) & left["tm_doc"].eqNullSafe(right["tm_id"]), how)
+    again = first.where("rows > 1").select(F.col("tm_digest").alias("again"))
+    if not again.isEmpty():  # rows that repeat doc_id and text: one of them
+        again = small(again, 64)
+        repeated = chosen["tm_digest"] == again["again"]
+        chosen = chosen.join(again, repeated, "left_anti").unionByName(chosen.join(again, repeated, "left_semi").dropDuplicates(["tm_digest"]))
     encode_counts(chosen.select(F.col("tm_digest").alias("digest"), "tm_raw"), tokenizer).write.mode("append").parquet(store)
 
     counts = stage(spark.read.schema(schema).parquet(store).dropDuplicates(["digest"]), "token-counts")  # so that the join can split hot digests
-    return keyed.join(counts, keyed["tm_digest"] == counts["digest"], "left").select(*[keyed[c] for c in docs.columns], "n_bytes", "n_tokens")
+    return keyed.join(counts, keyed[key] == counts["digest"], "left").select(*[keyed[c] for c in docs.columns], keyed["n_bytes"], counts["n_tokens"])
