@@ -103,6 +103,18 @@ def test_shards_of_documents(spark, sf):
     assert [r["doc_id"] for r in order] == sorted(docs)  # one file, stored by doc_id: shards are contiguous
 
 
+def test_shards_follow_doc_id_over_files_of_any_size(spark, tmp_path):
+    for i, ids in enumerate([range(0, 20), range(20, 200), range(200, 300)]):  # Spark reads the largest file first
+        spark.createDataFrame([(d, "w" * (d % 7)) for d in ids], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"t/{i}"))
+    docs = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "t")).withColumn("size", F.lit("own")).withColumn("at", F.lit("own"))
+    out = shard_by_bytes(docs, shards=9)
+    assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
+    rows = sorted(out.collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["doc_id"] for r in rows] == list(range(300))
+    hot = spark.createDataFrame([(7, "x")] * 400 + [(i, "y" * 100_000) for i in range(3)], "doc_id long, text string").repartition(5)
+    check_shards(shard_by_bytes(hot, shards=5).collect(), 5)
+
+
 def test_shards_of_many_partitions_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK", 3)
     rng = random.Random(2)

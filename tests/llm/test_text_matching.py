@@ -209,8 +209,8 @@ def brute_contamination(texts, items, window):
 COLUMNS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
-@pytest.mark.parametrize("block_words", [500_000, 20])
-def test_decontamination(spark, block_words):
+@pytest.mark.parametrize(("block_words", "segment"), [(500_000, 20_000), (120, 7)])
+def test_decontamination(spark, block_words, segment):
     rng = random.Random(4)
     word = lambda: rng.choice(["the", "of", "ab", "É", "x9", "q", "zz"])
     items = [(i, " ".join(word() for _ in range(rng.randrange(0, 25)))) for i in range(30)] + [(5, "the of the"), (None, "é É 7 7 7"), (77, None), (78, "..."), (79, "unique words here only")]
@@ -218,7 +218,7 @@ def test_decontamination(spark, block_words):
     for _, t in items:
         texts.append(f"{word()} {(t or '').upper()}-{word()}")
     docs = spark.createDataFrame([(i if i % 9 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_hit string").withColumn("odd name-of: it", F.struct(F.lit(1).alias("a b")))
-    out = decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
+    out = decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words, segment=segment)
     got = sorted((str(r["text"]), *(r[c] for c in COLUMNS)) for r in out.collect())
     assert got == sorted((str(t), *x) for t, x in zip(texts, brute_contamination(texts, items, 10), strict=True))
     none = spark.createDataFrame([], "item_id long, text string")

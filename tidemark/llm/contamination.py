@@ -5,12 +5,14 @@ window only if it contains all of its shingles, so one shingle is the necessary
 them the prefix is the single rarest, by the number of documents that hold it, counted over the whole corpus. A first
 pass counts the documents of each shingle of the benchmark; a second looks up every document shingle among the prefix
 shingles, which leaves few (window, place) candidates. Length bound: the window must fit into the document at that
-place; positional bound: the shingle stands at a known offset of the window. What is left is verified exactly by the
-hash of the document's words over the whole item-sized window.
+place; positional bound: the shingle stands at a known offset of the window. What is left is verified over the whole
+item-sized window, by its hash and then word by word.
 
-The benchmark is indexed in blocks of at most ``BLOCK_WORDS`` item words; documents are read once for each block and
-blocks are broadcast one at a time, so no broadcast grows with the benchmark. Documents are never shuffled when there
-is one block; with several, only their hits are.
+The benchmark is indexed in blocks of about ``BLOCK_WORDS`` item words. An item of more than ``SEGMENT`` words goes in
+segments, each with the first words of the next, so that every window is in one of them; blocks are collected and
+broadcast one at a time, so nothing on the driver grows with the benchmark. Each block reads the documents twice: to
+count its shingles, and to look them up. Documents are never shuffled when there is one block; with several, only their
+hits are.
 
 Defined results: words are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII characters; null or empty
 texts have none; items without words match nothing; items with equal item_id count once, a null item_id is left out
@@ -32,10 +34,15 @@ from tidemark.llm._shared import stage, text_key, with_fields
 from tidemark.llm._words import ALNUM_WORDS, chunks, runs
 
 #: Words of benchmark items in a broadcast index (about 60 bytes a word in the workers).
-BLOCK_WORDS = 500_000
+BLOCK_WORDS, SEGMENT = 500_000, 20_000
 SHINGLE = 4
 
 
+def words_of(data: bytes, c, at: int, n: int) -> bytes:
+    """n words of a chunk from one on, joined by a space."""
+    return b" ".join([data[s:e] for s, e in zip(c.starts[at : at + n].tolist(), c.ends[at : at + n].tolist(), strict=True)])
+
+
 class ItemIndex:
     """Windows of a block of items, found by their prefix shingles. items: (item_id, text) of the block."""
 
@@ -44,8 +51,10 @@ class ItemIndex:
         rows: dict[tuple[int, int], set[int]] = {}  # (length, hash of the window) to its items' places
         parts: dict[tuple[int, int], list[tuple[int, int]]] = {}  # the window's shingles as (size, hash) at each offset
         self.ids = [x[0] for x in items]
+        words: dict[tuple[int, int], bytes] = {}
         for c in chunks(pa.array([x[1] for x in items], pa.string()), ALNUM_WORDS, lower=True) if items else ():
             grams = {k: c.grams(k) for k in (*range(1, shingle + 1), window)}
+            data = c.data.tobytes()
             for i in range(len(c.bounds) - 1):
                 a, b = int(c.bounds[i]), int(c.bounds[i + 1])
                 if a == b:
@@ -55,10 +64,12 @@ class ItemIndex:
                 for at in range(a, b - length + 1):
                     h = int(grams[window][at]) if length == window else int(c.whole(i)[0])
                     rows.setdefault((length, h), set()).add(c.first + i)
+                    words.setdefault((length, h), words_of(data, c, at, length))
                     parts.setdefault((length, h), [(k, int(grams[k][at + j])) for j in range(length - k + 1)])
         self.windows = list(rows)
         self.items = [sorted(x) for x in rows.values()]
         self.parts = list(parts.values())
+        self.words = list(words.values())
         self.lengths = np.array([x[0] for x in self.windows], dtype=np.int64)
         self.hashes = np.array([x[1] for x in self.windows], dtype=np.uint64)
 
@@ -84,7 +95,7 @@ class ItemIndex:
 
     def hits(self, c) -> tuple[np.ndarray, np.ndarray]:
         """Places (word numbers in the chunk) and windows of all verified occurrences."""
-        places, found = [], []
+        places, found, data = [], [], None
         by_length: dict[int, np.ndarray] = {}
         doc_end = np.repeat(c.bounds[1:], np.diff(c.bounds))
         doc_start = np.repeat(c.bounds[:-1], np.diff(c.bounds))
@@ -105,9 +116,12 @@ class ItemIndex:
                 own = self.lengths[w] == n
                 if n not in by_length:
                     by_length[n] = c.grams(int(n))
-                same = by_length[n][start[own]] == self.hashes[w[own]]
-                places.append(start[own][same])
-                found.append(w[own][same])
+                same = np.flatnonzero(by_length[n][start[own]] == self.hashes[w[own]])
+                first, which = start[own][same], w[own][same]
+                data = c.data.tobytes() if len(same) and data is None else data
+                equal = np.array([words_of(data, c, x, int(n)) == self.words[y] for x, y in zip(first.tolist(), which.tolist(), strict=True)], dtype=bool)
+                places.append(first[equal])
+                found.append(which[equal])
         return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, int), np.zeros(0, int))
 
 
@@ -133,12 +147,13 @@ def shingle_documents(docs: DataFrame, text: str, index) -> dict[tuple[int, int]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), k, np.int32)), pa.array(known.value[k][has].view(np.int64)), pa.array(n[has])], ["size", "shingle", "documents"])
 
     counted = docs.select(text).mapInArrow(run, "size int, shingle long, documents long").groupBy("size", "shingle").agg(F.sum("documents").alias("documents"))
-    return {(r["size"], r["shingle"] & (1 << 64) - 1): r["documents"] for r in counted.toLocalIterator()}  # at most the shingles of a block
+    found = {(r["size"], r["shingle"] & (1 << 64) - 1): r["documents"] for r in counted.collect()}  # at most the shingles of a block
+    known.destroy()
+    return found
 
 
-def marked(docs: DataFrame, text: str, index: ItemIndex, spans: bool) -> DataFrame:
-    """docs with n_words and the hits of one block. spans: as (starts, ends, items), for merging, else finished."""
-    known = docs.sparkSession.sparkContext.broadcast(index)
+def marked(docs: DataFrame, text: str, known, spans: bool) -> DataFrame:
+    """docs with n_words and the hits of one block, a broadcast ItemIndex. spans: as (starts, ends, items), for merging, else finished."""
     at = docs.columns.index(text)
     extra = "tm_words long, tm_starts array<int>, tm_ends array<int>, tm_items array<string>" if spans else "n_words long, n_hit long, n_items long, items_sha256 string"
 
@@ -176,41 +191,54 @@ def marked(docs: DataFrame, text: str, index: ItemIndex, spans: bool) -> DataFra
     return docs.mapInArrow(run, with_fields(docs.schema, extra))
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> list[list[tuple]]:
-    """The items in blocks of at most block_words words, or of one item."""
-    blocks: list[list[tuple]] = []
-    room = 0
-    for r in benchmark.select(item_id, text).orderBy(item_id, text).toLocalIterator():
-        words = len(r[1] or "")
-        if not blocks or room < words:
-            blocks.append([])
-            room = block_words * 6
-        blocks[-1].append((r[0], r[1]))
-        room -= words
-    return blocks or [[]]
+def segments_of(benchmark: DataFrame, item_id: str, text: str, window: int, segment: int = SEGMENT) -> DataFrame:
+    """item_id, text, n (words) of items cut into segments of about ``segment`` words that share ``window`` - 1 words with the next."""
 
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, texts, sizes = [], [], []
+            for c in chunks(batch.column(1), ALNUM_WORDS):
+                data = c.data.tobytes()
+                for i in range(len(c.bounds) - 1):
+                    a, b = int(c.bounds[i]), int(c.bounds[i + 1])
+                    for s in range(a, max(a + 1, b - window + 1), segment):
+                        e = min(b, s + segment + window - 1)
+                        if s < e:
+                            at.append(c.first + i)
+                            texts.append(data[c.starts[s] : c.ends[e - 1]])
+                            sizes.append(e - s)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32())], ["item_id", "text", "n"])
+
+    return benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).mapInArrow(cut, f"item_id {benchmark.schema[item_id].dataType.simpleString()}, text string, n int")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = 10, block_words: int = BLOCK_WORDS, segment: int = SEGMENT) -> DataFrame:
     """docs with n_words, n_hit, n_items (long), items_sha256 and contaminated added."""
     own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     docs = docs.drop(*[c for c in own if c in docs.columns])
-    blocks, parts = item_blocks(benchmark, item_id, text, block_words), []
-    for items in blocks:
-        index = ItemIndex(items, window)
-        index.order_by_rarity(shingle_documents(docs, text, index) if items else {})
-        if len(blocks) == 1:
-            return marked(docs, text, index, spans=False).withColumn("contaminated", F.col("n_hit") > 0)
+    context = docs.sparkSession.sparkContext
+    items = stage(segments_of(benchmark, item_id, text, window, segment), "contamination-items")
+    blocks = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // block_words))
+    parts = []
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").collect()  # about block_words words
+        index = ItemIndex(sorted(map(tuple, rows), key=str), window)
+        index.order_by_rarity(shingle_documents(docs, text, index) if rows else {})
+        known = context.broadcast(index)
+        if blocks == 1:
+            return marked(docs, text, known, spans=False).withColumn("contaminated", F.col("n_hit") > 0)
         keys = docs.select(F.col(doc_id).alias("tm_id"), F.col(text)).withColumn("tm_text", text_key(F.col(text)))
-        parts.append(stage(marked(keys, text, index, spans=True).drop(text), "contamination-hits"))
+        parts.append(stage(marked(keys, text, known, spans=True).drop(text), "contamination-hits"))
+        known.destroy()
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    hits = hits.groupBy("tm_id", "tm_text").agg(
-        F.max("tm_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.flatten(F.collect_set(F.transform(F.arrays_zip("tm_starts", "tm_ends"), lambda s: F.sequence(s["tm_starts"], s["tm_ends"] - 1)))))).alias("words_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tm_items")))).alias("items"),
-    )
-    keyed = docs.withColumn("tm_own", text_key(F.col(text)))
-    out = keyed.join(hits, keyed[doc_id].eqNullSafe(hits["tm_id"]) & (keyed["tm_own"] == hits["tm_text"]), "left")
-    n = F.size("words_hit").cast("long")
-    return out.select(*[keyed[c] for c in docs.columns], "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
+    spans = F.array_sort(F.flatten(F.collect_set(F.arrays_zip(F.col("tm_starts").alias("s"), F.col("tm_ends").alias("e")))))
+    hits = hits.groupBy("tm_id", "tm_text").agg(F.max("tm_words").alias("tm_words"), spans.alias("tm_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tm_items")))).alias("tm_items"))
+    # words in the union of intervals sorted by start
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, x: F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["end"], x["s"]))).alias("n"))
+    hits = hits.select("tm_id", "tm_text", F.col("tm_words").alias("n_words"), F.aggregate("tm_spans", none, step, lambda acc: acc["n"]).alias("n_hit"), "tm_items")
+    out = docs.join(hits, docs[doc_id].eqNullSafe(hits["tm_id"]) & (text_key(docs[text]) == hits["tm_text"]), "left")
+    listed = hits["tm_items"]
+    return out.select(*[docs[c] for c in docs.columns], hits["n_words"], hits["n_hit"], F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (hits["n_hit"] > 0).alias("contaminated"))
