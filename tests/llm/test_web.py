@@ -6,9 +6,12 @@ import html as entities
 import json
 import random
 import re
+import tracemalloc
+from pathlib import Path
 
 import pytest
 
+from tidemark.llm import warc
 from tidemark.llm import wrapper as W
 from tidemark.llm.queries import op1_warc_transactions, op4_wrapper_text
 from tidemark.llm.warc import assemble, captures, parse_archive, read_records, write_captures
@@ -41,6 +44,39 @@ def test_transactions_of_odd_pages(spark):
     assert captures(assemble(read_records(spark, write_captures(pages.limit(0))))).count() == 0
 
 
+def test_revisits_name_their_response_record(spark):
+    big = "<p>x</p>" * 300
+    pages = spark.createDataFrame([(i, f"http://a/{i % 3}", big if i < 6 else "y" * 1500) for i in range(8)] + [(7, "http://a/1", "y" * 1500)], PAGES).repartition(3)
+    nested = assemble(read_records(spark, write_captures(pages)))
+    records = {r["capture_id"]: r["response"] for r in nested.select("capture_id", "response").collect()}
+    assert len(records) == 9
+    for r in records.values():
+        if r["type"] == "revisit" and r["payload_bytes"] == len(big):
+            assert records[r["refers_to"]]["type"] == "response" and records[r["refers_to"]]["payload"] == big.encode()
+    out = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in captures(nested).collect())
+    assert out == [(i, "revisit", 5) for i in range(5)] + [(5, "response", None), (6, "revisit", 7), (7, "response", None), (7, "response", None)]
+
+
+def test_long_pages_and_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    rows = [(f"p{i}", "http://a/", "é" * n) for i, n in enumerate([10, 3_000_000, 20_000, 700_000, 700_000, 0])]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    root = write_captures(pages)
+    assert all(sum(len(b) for _, b in parse_archive(f.read_bytes())) <= max(2**20, 6_002_000) for f in Path(root.removeprefix("file:")).glob("part-*"))
+    out = {r["page_id"]: (r["payload_bytes"], r["refers_to"]) for r in captures(assemble(read_records(spark, root)), "string").collect()}
+    assert out == {p: (len(h.encode()), "p4" if p == "p3" else None) for p, _, h in rows}
+
+
+def test_archives_are_read_bit_by_bit():
+    """A record of a large archive is there before the rest is decompressed."""
+    record = lambda i: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: 200000\r\n\r\n".encode() + bytes([i % 251]) * 200_000 + b"\r\n\r\n"
+    raw = b"".join(gzip.compress(record(i)) for i in range(300))
+    tracemalloc.start()
+    assert sum(len(block) for _, block in parse_archive(raw)) == 300 * 200_000
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
+
+
 def test_reader_takes_members_and_either_direction(spark, tmp_path):
     def record(kind, number, extra, block=b""):
         head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{number}>\r\n{extra}Content-Length: {len(block)}\r\n\r\n"
