@@ -130,6 +130,38 @@ def test_genetic_search_is_no_worse_than_best_fit(seed):
     assert len(best.bins) <= len(bins)
 
 
+@pytest.mark.parametrize(("kind", "capacity"), [("uniform", 150), ("triplets", 1000)])
+def test_genetic_search_beats_best_fit_on_hard_instances(kind, capacity):
+    """Sizes of a fifth to two thirds of a bin, and bins of exactly three pieces: best fit leaves bins that crossover wins back."""
+    saved = 0
+    for seed in range(4):
+        rng, sizes = random.Random(seed), []
+        if kind == "uniform":
+            sizes = [rng.randrange(20, 101) for _ in range(250)]
+        else:
+            for _ in range(40):
+                a = rng.randrange(380, 491)
+                b = rng.randrange(250, (1000 - a) // 2 + 1)
+                sizes += [a, b, 1000 - a - b]
+        bins = []
+        best_fit(bins, [], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity)
+        best = evolve(sizes, capacity, seed, [], patience=100)
+        assert sorted(i for b in best.bins for i in b) == list(range(len(sizes))) and max(best.loads) <= capacity
+        assert len(best.bins) <= len(bins)
+        saved += len(bins) - len(best.bins)
+    assert saved >= 4
+
+
+def test_encoder_is_exact_on_long_runs_and_code_points():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for t in [" ".join(points[i : i + 40_000]) for i in range(0, len(points), 40_000)] + [c * 50_000 for c in (" ", "a", "\n", "é")]:
+        assert np.frombuffer(encoder(path).ids(t), "<u4").tolist() == model.encode(t, add_special_tokens=False).ids
+
+
 def test_encoder_is_exact_on_odd_spaces():
     from tokenizers import Tokenizer
 

@@ -4,9 +4,11 @@ Pieces: a document is its token ids and the separator id; only a longer one is c
 of which the first may be shorter. A piece of ``capacity`` tokens fills a sequence by itself, so at most one piece of
 a document is left to place. Those are dealt by hash into *cells* of about ``CELL`` pieces, each a packing problem of
 its own with the same mix of lengths. Every cell is solved by ``ISLANDS`` islands in different tasks, each a
-population of solutions seeded differently. In each epoch an island breeds: crossover injects the well-filled bins of
-one parent into another, bins that hold an injected piece are broken up (no piece may be twice), and the displaced
-pieces are best-fitted, largest first. Between epochs each island's elite moves to the next island of the ring. After
+population of solutions, of which one is best fit of the pieces by falling length and the others in random order. In
+each epoch an island breeds: crossover injects well-filled bins of one parent into another, bins that hold an injected
+piece are broken up (no piece may be twice), displaced pieces are swapped into bins that they fill better, and what is
+left is best-fitted, largest first. An epoch ends at the lower bound, or when ``PATIENCE`` children in a row improve
+nothing. Between epochs each island's elite moves to the next island of the ring. After
 the last epoch each cell keeps its best solution, and the pieces of badly filled sequences of all cells are dealt anew
 into fewer cells for a last round, as long as that lowers the number of sequences.
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 import json
 import random
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +36,10 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import stage
 
 CELL, ISLANDS, EPOCHS = 1500, 3, 2
-POPULATION, BROOD = 5, 6
+#: Solutions of an island, and children in a row that improve nothing before an epoch ends.
+POPULATION, PATIENCE = 8, 25
+#: Pieces of a bin that are tried for a swap.
+TRIED = 6
 #: Sequences filled less than this go to the last round.
 WELL_FILLED = 0.995
 
@@ -150,51 +155,96 @@ def best_fit(bins: list[list[int]], loads: list[int], items: list[int], sizes: l
             insort(room, (left, k))
 
 
+def replace(bins: list[list[int]], loads: list[int], displaced: list[int], sizes: list[int], capacity: int, rng: random.Random) -> list[int]:
+    """Swap one or two pieces of a bin for one or two displaced ones that fill it better; returns what is displaced then.
+
+    Falkenauer's local search. Of a bin of many pieces, a few drawn at random are tried.
+    """
+    out = sorted((sizes[i], i) for i in displaced)
+    for k in rng.sample(range(len(bins)), len(bins)):
+        room = capacity - loads[k]
+        if not room or not out:
+            continue
+        own = bins[k] if len(bins[k]) <= TRIED else rng.sample(bins[k], TRIED)
+        best, found = 0, None
+        for leave in [(i,) for i in own] + [(i, j) for x, i in enumerate(own) for j in own[:x]]:
+            freed = sum(sizes[i] for i in leave)
+            most = freed + room
+            one = bisect_right(out, (most, len(sizes))) - 1
+            if one >= 0 and out[one][0] - freed > best:
+                best, found = out[one][0] - freed, (leave, (one,))
+            if best < room and len(leave) == 2:
+                for a in range(bisect_right(out, (most - out[0][0], len(sizes))) - 1, max(-1, one - TRIED), -1):
+                    b = bisect_right(out, (most - out[a][0], len(sizes)), 0, a) - 1
+                    if b >= 0 and out[a][0] + out[b][0] - freed > best:
+                        best, found = out[a][0] + out[b][0] - freed, (leave, (a, b))
+            if best == room:
+                break
+        if found:
+            leave, enter = found
+            new = [out[e][1] for e in enter]
+            for e in sorted(enter, reverse=True):
+                out.pop(e)
+            bins[k] = [i for i in bins[k] if i not in leave] + new
+            loads[k] += best
+            for i in leave:
+                insort(out, (sizes[i], i))
+    return [i for _, i in out]
+
+
 def offspring(one: Solution, other: Solution, sizes: list[int], capacity: int, rng: random.Random) -> Solution:
-    """The well-filled bins of ``other`` enter ``one`` whole; bins of ``one`` they collide with are broken up and best-fitted."""
-    full = [k for k, x in enumerate(other.loads) if x >= WELL_FILLED * capacity]
-    if not full:
-        full = sorted(range(len(other.bins)), key=other.loads.__getitem__)[-max(1, len(other.bins) // 4) :]
-    inject = rng.sample(full, max(1, round(len(full) * rng.uniform(0.3, 0.9))))
+    """Well-filled bins of ``other`` enter ``one`` whole; bins of ``one`` they collide with are broken up, and the displaced pieces swapped in or best-fitted."""
+    order = sorted(range(len(other.bins)), key=other.loads.__getitem__, reverse=True)
+    full = [k for k in order if other.loads[k] >= WELL_FILLED * capacity] or order[: max(1, len(order) // 4)]
+    inject = rng.sample(full, max(1, round(len(full) * rng.uniform(0.1, 0.7))))
     taken = {i for k in inject for i in other.bins[k]}
-    bins, displaced = [list(other.bins[k]) for k in inject], []
-    kept = []
-    for b, load in zip(one.bins, one.loads, strict=True):
+    displaced: list[int] = []
+    kept: list[list[int]] = []
+    for b in one.bins:
         if taken.isdisjoint(b):
-            kept.append((b, load))
+            kept.append(list(b))
         else:
             displaced += [i for i in b if i not in taken]
     # mutation: a few of the emptiest bins are broken up as well
-    kept.sort(key=lambda x: x[1])
-    broken = min(len(kept), rng.randint(1, 3) + len(kept) // 50)
-    for b, _ in kept[:broken]:
-        displaced += b
-    bins += [list(b) for b, _ in kept[broken:]]
+    loads = [sum(sizes[i] for i in b) for b in kept]
+    broken = set(sorted(range(len(kept)), key=loads.__getitem__)[: rng.randint(1, 3) + len(kept) // 50])
+    for k in broken:
+        displaced += kept[k]
+    bins = [list(other.bins[k]) for k in inject] + [b for k, b in enumerate(kept) if k not in broken]
     loads = [sum(sizes[i] for i in b) for b in bins]
+    displaced = replace(bins, loads, displaced, sizes, capacity, rng)
     displaced.sort(key=lambda i: (-sizes[i], rng.random()))
     best_fit(bins, loads, displaced, sizes, capacity)
     return Solution(bins, sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, immigrants: list[list[list[int]]]) -> Solution:
-    """One epoch of one island; immigrants are solutions (its own elite and that of its neighbour)."""
+def evolve(sizes: list[int], capacity: int, seed: int, immigrants: list[list[list[int]]], patience: int = PATIENCE) -> Solution:
+    """One epoch of one island; immigrants are solutions (its own elite and that of its neighbour).
+
+    It breeds until the best solution is at the lower bound, or ``patience`` children in a row have not improved it.
+    """
     rng = random.Random(seed)
     population = [Solution(b, sizes, capacity) for b in immigrants]
     bound = -(-sum(sizes) // capacity)
     while len(population) < POPULATION:
-        order = sorted(range(len(sizes)), key=lambda i: (-sizes[i] * (1 + (len(population) > 0) * rng.uniform(0, 0.2)), i))
+        order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+        if population:
+            rng.shuffle(order)
         bins: list[list[int]] = []
         best_fit(bins, [], order, sizes, capacity)
         population.append(Solution(bins, sizes, capacity))
-    for _ in range(BROOD):
-        population.sort(key=lambda s: s.fitness, reverse=True)
-        if len(population[0].bins) == bound:
-            break
-        one, other = population[0], population[rng.randrange(1, len(population))]
-        child = offspring(*((one, other) if rng.random() < 0.5 else (other, one)), sizes, capacity, rng)
-        if child.fitness > population[-1].fitness:
+        if len(bins) == bound:
+            return population[-1]
+    population.sort(key=lambda s: s.fitness, reverse=True)
+    waiting = 0
+    while len(population[0].bins) > bound and waiting < patience:
+        one, other = rng.sample(range(len(population)), 2)
+        child = offspring(population[one], population[other], sizes, capacity, rng)
+        waiting = 0 if child.fitness > population[0].fitness else waiting + 1
+        if child.fitness > population[-1].fitness and all(child.fitness != s.fitness for s in population):
             population[-1] = child
-    return max(population, key=lambda s: s.fitness)
+            population.sort(key=lambda s: s.fitness, reverse=True)
+    return population[0]
 
 
 def _cells(parts: DataFrame, cells: int, seed: int) -> DataFrame:
