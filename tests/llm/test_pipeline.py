@@ -86,5 +86,18 @@ def brute_components(sets, percent):
     return {d: root(d) for d in ids}
 
 
+def test_stages_on_odd_rows(spark, sf):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    text = " ".join(f"v{i}" for i in range(80))
+    rows = [(1, text), (1, text), (2, text + " end"), (None, text.replace("v7 ", "u7 ")), (3, None), (4, ""), (5, long), (6, "short")]
+    docs = spark.createDataFrame([(d, t, None, None, 7, 1, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, node long, tm_id string")
+    for name, step in P.STAGES:
+        out, none = step(spark, docs, sf), step(spark, docs.limit(0), sf)
+        assert none.count() == 0, name
+        assert out.count() > 0 and (name == "best-fit packing" or out.columns == P.COLUMNS), name
+    kept = Counter(r["doc_id"] for r in P.near_duplicates(spark, docs, sf).collect())
+    assert kept == {1: 2, 3: 1, 4: 1, 5: 1, 6: 1}
+
+
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0
