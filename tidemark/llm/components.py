@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import stage
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) of all nodes of edges (a, b), component being its smallest node; nodes are long."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of edges (a, b), component being its smallest node; nodes are long.
+
+    A step only replaces neighbours by smaller ones, so it settles, in a number of steps that is logarithmic in the
+    longest path.
+    """
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "component-edges")
-    for _ in range(rounds):
+    while True:
         # large star: neighbours above u move to the smallest of u's neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -24,4 +28,3 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now = new
         if not changed:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    raise RuntimeError("components did not settle")

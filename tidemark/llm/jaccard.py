@@ -9,15 +9,17 @@ difference a link can have, so two linked nodes agree in many whole parts (a few
 node with more empty parts than that also posts those). A node posts the hash of each part in its band, and in the
 lower bands where smaller partners can be. Nodes that share a posting form a tile. Common shingles make no large
 tiles: all shingles of a part must agree. Parts that occur once are filtered by a bitmap of bounded size before the
-shuffle, as most do, and with them all nodes that share too few parts with others to link with any. Tiles with the same members are one tile; a large one is split into blocks, which meet pairwise.
+shuffle, as most do, and with them all nodes that share too few parts with others to link with any. Tiles with the
+same members are one tile; a large one is divided into blocks.
 
 *Bounds.* A node's signature is a hashed parity bitmap of a size that follows the node's. The bits in which two differ
-are at most their symmetric difference, so bit counts bound the overlap from above. In a tile only a spanning forest
-of the pairs within the bound is passed on, smallest nodes first.
+are at most their symmetric difference, so bit counts bound the overlap from above. In a tile, or a block of one and a
+few pivots from its other blocks, only a spanning forest of the pairs within the bound is passed on.
 
-*Verification.* Those pairs are verified by intersecting sorted shingle arrays. If one is refuted, tiles whose members
-are not connected yet are gone through again, and every pair within the bound between different components is
-verified, so no link between components is lost. Components come from star contraction over the verified links.
+*Verification.* Those pairs are verified by intersecting sorted shingle arrays, and components come from star
+contraction over the links. If a pair is refuted, or a tile was divided, tiles whose members are not all connected yet
+are gone through again: members of a tile's largest component meet only the others, the others meet each other, and
+every pair within the bound between different components is verified, so no link between components is lost.
 
 Shingles and parts are 64-bit hashes; sets are told apart by a 64-bit hash as well.
 
@@ -43,10 +45,12 @@ from tidemark.llm.components import components
 
 #: Nodes of a block; tiles above it are split.
 BLOCK = 1024
+#: Nodes of other blocks that each block of a divided tile meets in the first round.
+PIVOTS = 8
 KEPT_NODES = 200_000
 #: Postings, and bytes of signatures and sets, that a worker holds before it sends them on.
 HELD, HELD_BYTES = 500_000, 8 << 20
-MIN_BITS = 1024
+MIN_BITS = 512
 ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -129,8 +133,12 @@ def postings(shingles: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray,
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """Parity bitmap of at least four bits for each shingle; its length is a power of two, so that halves can be folded."""
-    bits = max(MIN_BITS, 1 << (4 * len(shingles) - 1).bit_length())
+    """Parity bitmap of two to four bits for each shingle; its length is a power of two, so that halves can be folded.
+
+    Of d differing shingles, half of ``bits * (1 - exp(-2 * d / bits))`` bits differ on average, so all but pairs near
+    the threshold are told apart.
+    """
+    bits = max(MIN_BITS, 1 << (2 * len(shingles) - 1).bit_length())
     odd = np.bincount((mix(shingles) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -198,7 +206,7 @@ def tiles_of(docs: DataFrame, text: str, k: int, bands: Bands) -> DataFrame:
     tiles = posted.groupBy("post").agg(F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("node"), 16)).alias("s"), F.sum(F.shiftright(F.xxhash64(F.lit(7), "node"), 16)).alias("s2")).where("c >= 2")
     tiles = tiles.groupBy("c", "s", "s2").agg(F.min("post").alias("tile"))
     tiles = stage(tiles.select("tile", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "jaccard-tiles")
-    members = stage(posted.join(tiles, F.col("post") == F.col("tile")).select("post", "node", "blocks"), "jaccard-members")
+    members = stage(posted.join(small(tiles), F.col("post") == F.col("tile")).select("post", "node", "blocks"), "jaccard-members")
     release(docs.sparkSession, posted, tiles)
     return members
 
@@ -260,28 +268,44 @@ def within_bound(sizes: np.ndarray, bits: list[bytes], percent: int, left: np.nd
             yield i, later[differ * (100 + percent) <= (n + sizes[later]) * (100 - percent)]
 
 
-def candidates(tiles: DataFrame, marks: DataFrame, percent: int, connected: DataFrame | None = None) -> DataFrame:
-    """(a, b) within the bound: a spanning forest of each tile, or all pairs between different parts of ``connected``."""
-    forest = connected is None
-    rows = tiles.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) if forest else tiles
-    if not forest:
-        named = rows.join(connected, "node", "left").select("post", "node", "blocks", F.coalesce("component", "node").alias("part"))
-        named = stage(named, "jaccard-named")
-        split = named.groupBy("post").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select(F.col("post").alias("open"))
-        split = stage(split, "jaccard-open")  # an aggregate right below a join would keep a large tile in one task
-        rows = named.join(split, F.col("post") == F.col("open"), "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    else:
-        rows = rows.withColumn("part", F.col("node"))
-    # every two blocks of a tile meet; a tile of one block meets itself
-    meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("post", "node", "part", "block", meet)
-    rows = rows.select("post", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "part", "node")
-    rows = rows.join(marks.select("node", "n", "bits"), "node").select("post", "i", "j", "block", "part", "node", "n", "bits")
+def forest_meetings(tiles: DataFrame) -> DataFrame:
+    """(post, i, j, left, part, node): each block of a tile meets itself and a few nodes of other blocks, its pivots."""
+    rows = tiles.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pivots = rows.where((F.col("blocks") > 1) & (F.col("i") < PIVOTS)).groupBy("post", "i").agg(F.min("node").alias("node"), F.min("blocks").alias("blocks"))
+    pivots = pivots.select("post", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "node")
+    rows = rows.select("post", "i", "node").unionByName(pivots)
+    return rows.select("post", "i", F.col("i").alias("j"), F.lit(None).cast("boolean").alias("left"), F.col("node").alias("part"), "node")
+
+
+def open_meetings(tiles: DataFrame, connected: DataFrame) -> DataFrame:
+    """(post, i, j, left, part, node) of tiles whose nodes are in several components (parts) still.
+
+    The nodes of a tile's largest part are its majority; they need not meet each other. Each of their blocks (i = -1)
+    meets all other nodes of the tile, and the blocks of those others meet pairwise.
+    """
+    named = stage(tiles.join(connected, "node", "left").select("post", "node", F.coalesce("component", "node").alias("part")), "jaccard-named")
+    parts = named.groupBy("post", "part").agg(F.count("*").alias("n")).groupBy("post")
+    parts = parts.agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    parts = parts.select(F.col("post").alias("open"), F.col("most.part").alias("major"), blocks(F.col("most.n")).alias("many"), blocks(F.col("n") - F.col("most.n")).alias("few"))
+    parts = stage(parts, "jaccard-open")  # an aggregate right below a join would keep a large tile in one task
+    major = F.col("part") == F.col("major")
+    rows = named.join(parts, F.col("post") == F.col("open")).withColumn("block", F.pmod(F.xxhash64("node"), F.when(major, F.col("many")).otherwise(F.col("few"))).cast("int"))
+    across = F.when(major, F.array("block")).otherwise(F.sequence(F.lit(0), F.col("many") - 1))
+    across = rows.select("post", F.lit(-1).alias("i"), F.explode(across).alias("j"), (~major).alias("left"), "part", "node")
+    others = rows.where(~major).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    return across.unionByName(others.select("post", i.alias("i"), j.alias("j"), F.when(i != j, F.col("block") == i).alias("left"), "part", "node"))
+
+
+def candidates(meetings: DataFrame, marks: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b) within the bound: a spanning forest of each meeting, or all its pairs of different parts."""
+    rows = meetings.join(marks.select("node", "n", "bits"), "node").select("post", "i", "j", "left", "part", "node", "n", "bits")
     rows = rows.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j", "node")
 
-    def tile(keys: tuple, group: list[tuple]) -> Iterator[tuple[int, int]]:
-        block, part, node, n, bits = zip(*group, strict=True)
-        left = np.array(block) == keys[1] if keys[1] != keys[2] else None
+    def tile(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        left, part, node, n, bits = zip(*group, strict=True)
+        sides = np.array(left, dtype=bool) if left[0] is not None else None
         roots = list(range(len(node)))
 
         def root(x: int) -> int:
@@ -289,14 +313,15 @@ def candidates(tiles: DataFrame, marks: DataFrame, percent: int, connected: Data
                 roots[x] = x = roots[roots[x]]
             return x
 
-        for i, later in within_bound(np.array(n), list(bits), percent, left, None if forest else np.array(part)):
+        for i, later in within_bound(np.array(n), list(bits), percent, sides, None if forest else np.array(part)):
             for j in later.tolist():
                 a, b = root(i), root(j)
                 if not forest:
                     yield node[i], node[j]
                 elif a != b:
                     roots[max(a, b)] = min(a, b)
-                    yield node[i], node[j]
+                    if node[i] != node[j]:  # a pivot is in its own block twice
+                        yield node[i], node[j]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, out = None, [], []
@@ -310,30 +335,30 @@ def candidates(tiles: DataFrame, marks: DataFrame, percent: int, connected: Data
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if row[:3] != now:
                     if len(group) > 1:
-                        out.extend(tile(now, group))
+                        out.extend(tile(group))
                     if len(out) > 100_000:
                         yield send()
                     now, group = row[:3], []
                 group.append(row[3:])
         if len(group) > 1:
-            out.extend(tile(now, group))
+            out.extend(tile(group))
         yield send()
 
     return rows.mapInArrow(read, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
-    """pairs with linked."""
-    x = marks.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = marks.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    """(a, b) with linked. Sets move once for each pair they are in; what is in no pair stays where it is."""
+    pairs = stage(pairs, "jaccard-pairs")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
+    sets = marks.join(small(ends), F.col("node") == F.col("end")).groupBy("a", "b").agg(F.collect_list("shingles").alias("sets"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [[np.frombuffer(v.as_py(), dtype=np.uint64) for v in batch.column(i)] for i in (2, 3)]
-            linked = [bands.linked(p, q) for p, q in zip(*sets, strict=True)]
+            linked = [bands.linked(*[np.frombuffer(v, dtype=np.uint64) for v in both.as_py()]) for both in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(read, "a long, b long, linked boolean")
+    return sets.mapInArrow(read, "a long, b long, linked boolean")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -342,14 +367,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = stage(members_of(docs, doc_id, text, k), "jaccard-members-of")
     tiles = tiles_of(docs, text, k, bands)
     marks = marks_of(docs, members, tiles.select("node").distinct(), doc_id, text, k)
-    first = stage(verified(candidates(tiles, marks, percent), marks, bands), "jaccard-verified")
+    first = stage(verified(candidates(forest_meetings(tiles), marks, percent, True), marks, bands), "jaccard-verified")
     links = first.where("linked").select("a", "b")
     named = components(links)
-    if not first.where("not linked").isEmpty():
-        # a node that was in no pair within the bound then is in none now
-        nodes = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    split = tiles.where("blocks > 1")
+    if not first.where("not linked").isEmpty() or not split.isEmpty():
+        # a node of undivided tiles that was in no pair within the bound then is in none now
+        nodes = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(split.select("node")).distinct()
         open_tiles = tiles.join(small(stage(nodes, "jaccard-open-nodes")), "node", "left_semi").select(*tiles.columns)
-        again = candidates(open_tiles, marks, percent, named).join(first, ["a", "b"], "left_anti")
+        again = candidates(open_meetings(open_tiles, named), marks, percent, False).join(first, ["a", "b"], "left_anti")
         more = stage(verified(again, marks, bands).where("linked").select("a", "b"), "jaccard-verified")
         if not more.isEmpty():
             named = components(links.unionByName(more))
