@@ -2,11 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
 columns of ``documents``, with n_chars brought up to date where a stage changes the text.
+
+Defined results: null texts have no words and are rejected by the first stage (a later stage on its own keeps them as
+texts without words); rows that repeat a doc_id are judged one by one, and are one document where documents are counted;
+near duplicates that tie in doc_id all stay; other columns than those of documents are not carried; an empty table goes
+through all stages and gives an empty result.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from tidemark.llm.contamination import decontaminate
 from tidemark.llm.jaccard import drop_near_duplicates
 from tidemark.llm.line_runs import dedup_lines
 from tidemark.llm.packing import pack
+from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.rules import base_failed, learn_quality, statistics
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, separator=0, with_ids=False)
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=2048, separator=0, with_ids=False)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("best-fit packing", packing)]
