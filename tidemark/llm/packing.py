@@ -37,7 +37,7 @@ from tidemark.llm._shared import stage
 
 CELL, ISLANDS, EPOCHS = 1500, 3, 2
 #: Solutions of an island, and children in a row that improve nothing before an epoch ends.
-POPULATION, PATIENCE = 8, 25
+POPULATION, PATIENCE = 6, 5
 #: Pieces of a bin that are tried for a swap.
 TRIED = 6
 #: Sequences filled less than this go to the last round.
