@@ -224,7 +224,7 @@ def pad_to_five(spark: SparkSession, sf: str) -> DataFrame:
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, doc_id, start, end): documents that hold a passage's text, and its lines there. Blocked by the passage's first token run."""
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), F.element_at(tokens(F.col("text")), 1).alias("term"))
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), F.try_element_at(tokens(F.col("text")), F.lit(1)).alias("term"))
     candidates = tokenized(spark, sf).select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(checked_broadcast(b), "term")
     found = candidates.select("doc_id", "item_id", "passage").join(docs(spark, sf), "doc_id").where(F.contains("text", "passage"))
     start = F.size(F.split(F.expr("substr(text, 1, instr(text, passage) - 1)"), "\n", -1))
