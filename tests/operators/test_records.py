@@ -130,3 +130,40 @@ def test_sources(spark, tmp_path):
     r = tables.chart_series(rows, ["x", "y", "z"]).first()
     assert (r["x"], r["y"], r["z"], r["truth"]) == (1.0, 0.0, 0.0, 1.0)
     assert tables.settings('{"a": 5, "b": 1}', {"a": 1, "c": 2}) == {"a": 5, "c": 2}
+
+
+def test_block_list_and_faulty_window(spark):
+    rows = [(1, 1, 0, "x"), (2, 1, 10, "bad"), (3, 1, 20, "x"), (4, 1, 60, "bad"), (5, 1, 119, "x"), (6, 1, 120, "x"), (7, 2, 15, "x"), (8, 2, 16, None)]
+    got = {r["user_id"]: (r["passed"], r["refused"]) for r in events.block_list(at(spark, rows), "user_id", F.col("ts"), F.col("kind") == "bad", block_s=60).collect()}
+    assert got == {1: (2, 2), 2: (2, 0)}
+    burst = at(spark, [(i, 1, s, "x") for i, s in enumerate([0, 1, 2, 61, 62, 63])])
+    assert events.fixed_window(burst, "user_id", F.col("ts"), window_s=60, most=2).first()[1:] == (4, 2)
+    assert events.fixed_window(burst, "user_id", F.col("ts"), window_s=60, most=2, restart=False).first()[1:] == (5, 1)
+
+
+def test_services_and_keys(spark):
+    checks = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("b", 3, True), ("b", 4, None), ("c", 5, True)], "grp string, id int, critical boolean")
+    results = spark.createDataFrame([(1, False), (2, True), (3, True), (4, None)], "id int, healthy boolean")
+    got = {r["grp"]: tuple(r)[1:] for r in events.health_of(checks, results, "grp", "id").collect()}
+    assert got == {"a": (2, 1, "degraded"), "b": (2, 1, "degraded"), "c": (1, 1, "critical")}
+    instances = spark.createDataFrame([("s", 2, True), ("s", 1, False), ("s", 3, True), ("t", 4, None)], "name string, id int, up boolean")
+    assert [tuple(r) for r in events.discovered(instances, "name", "id", F.col("up")).collect()] == [("s", 2, 2)]
+    asked = spark.createDataFrame([(1, None), (2, "gone"), (3, "old"), (4, "edge"), (5, "free")], "n int, key string")
+    keys = spark.createDataFrame([("old", 9), ("edge", 10), ("free", None)], "key string, expires int")
+    got = {r["n"]: (r["valid"], r["reason"]) for r in events.key_checked(asked, keys, "key", F.lit(10)).collect()}
+    assert got == {1: (False, "missing"), 2: (False, "invalid"), 3: (False, "expired"), 4: (True, None), 5: (True, None)}
+
+
+def test_validators_and_folders(spark):
+    from tidemark.functions import text
+
+    rows = spark.createDataFrame([("a@b.c",), ("a@@b.c",), ("a@b.c\n",), ("ab_1",), ("Abcdefg1",), ("Abcdef\n1",), ("<'\">&",), (None,)], "w string")
+    got = {r[0]: tuple(r)[1:] for r in rows.select("w", text.valid_email(F.col("w")), text.valid_user_name(F.col("w")), text.valid_password(F.col("w")), text.html_escaped(F.col("w"))).collect()}
+    assert [k for k, v in got.items() if v[0]] == ["a@b.c"]
+    assert sorted(k for k, v in got.items() if v[1]) == ["Abcdefg1", "ab_1"]
+    assert [k for k, v in got.items() if v[2]] == ["Abcdefg1"]
+    assert got["<'\">&"][3] == "&lt;&#x27;&quot;&gt;&" and got[None] == (None, None, None, None)
+    calls = spark.createDataFrame([(503, None), (404, "ETIMEDOUT"), (404, None), (None, None)], "status int, code string")
+    assert [r[0] for r in calls.select(text.retryable(F.col("status"), F.col("code"))).collect()] == [True, True, False, False]
+    files = spark.createDataFrame([("a/b/x", 1), ("a/y", 2), ("z", 4), (None, 8), ("a/n", None)], "path string, size long")
+    assert {tuple(r) for r in pages.folder_sizes(files, "path", "size").collect()} == {(".", 4, 7), ("a", 3, 3), ("a/b", 1, 1)}

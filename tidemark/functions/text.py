@@ -107,3 +107,39 @@ def score_rounded(score: Column, digits: int = 2) -> Column:
 
 def size_kb(n_bytes: Column) -> Column:
     return F.round(n_bytes / 1024, 1)
+
+
+# The patterns that validators accept. \p{Z} and U+FEFF complete the white space.
+EMAIL = r"^[^\s\x0B\p{Z}\x{FEFF}@]+@[^\s\x0B\p{Z}\x{FEFF}@]+\.[^\s\x0B\p{Z}\x{FEFF}@]+\z"
+USER_NAME = r"^[a-zA-Z0-9_]{3,20}\z"
+PASSWORD = [r"^[^\n\r\x{2028}\x{2029}]{8,}\z", "[a-z]", "[A-Z]", "[0-9]"]
+HTML_ESCAPES = [("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
+RETRY_STATUS, RETRY_CODES = [408, 429, 500, 502, 503, 504], ["ECONNRESET", "ETIMEDOUT"]
+
+
+def valid_email(text: Column) -> Column:
+    return F.rlike(text, F.lit(EMAIL))
+
+
+def valid_user_name(text: Column) -> Column:
+    return F.rlike(text, F.lit(USER_NAME))
+
+
+def valid_password(text: Column) -> Column:
+    """Eight code points or more on one line, with a lower-case letter, an upper-case one and a digit."""
+    out = F.lit(True)
+    for pattern in PASSWORD:
+        out = out & F.rlike(text, F.lit(pattern))
+    return out
+
+
+def html_escaped(text: Column) -> Column:
+    """Angle brackets and quotes as references; an ampersand stays."""
+    for plain, reference in HTML_ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(reference))
+    return text
+
+
+def retryable(status: Column, code: Column) -> Column:
+    """A status or an error code after which a call is worth another try; nulls are not."""
+    return F.coalesce(status.isin(RETRY_STATUS), F.lit(False)) | F.coalesce(code.isin(RETRY_CODES), F.lit(False))

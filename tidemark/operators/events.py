@@ -37,8 +37,11 @@ def token_bucket(events: DataFrame, key: str, ts: Column, event_id: str = "event
     return _folded(events, key, fields, state, step, lambda s: s).select(key, "r.allowed", "r.denied")
 
 
-def fixed_window(events: DataFrame, key: str, ts: Column, event_id: str = "event_id", window_s: int = 86_400, most: int = 3) -> DataFrame:
-    """(key, allowed, denied): a window begins with a key's first event, and anew with the first event later than window_s after that."""
+def fixed_window(events: DataFrame, key: str, ts: Column, event_id: str = "event_id", window_s: int = 86_400, most: int = 3, restart: bool = True) -> DataFrame:
+    """(key, allowed, denied): a window begins with a key's first event, and anew with the first event later than window_s after that.
+
+    restart=False is a known faulty variant, for comparison: the count begins anew but the window does not, so every later event counts as the first.
+    """
     fields = [seconds(ts).alias("t"), F.col(event_id).alias("id")]
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     state = F.struct(F.lit(None).cast("double").alias("begin"), zero.alias("n"), zero.alias("allowed"), zero.alias("denied"))
@@ -47,7 +50,7 @@ def fixed_window(events: DataFrame, key: str, ts: Column, event_id: str = "event
         new = s["begin"].isNull() | (e["t"] - s["begin"] > window_s)
         n = F.when(new, one).otherwise(s["n"] + one)
         ok = n <= most
-        return F.struct(F.when(new, e["t"]).otherwise(s["begin"]).alias("begin"), n.alias("n"), F.when(ok, s["allowed"] + one).otherwise(s["allowed"]).alias("allowed"), F.when(ok, s["denied"]).otherwise(s["denied"] + one).alias("denied"))
+        return F.struct(F.when(new if restart else s["begin"].isNull(), e["t"]).otherwise(s["begin"]).alias("begin"), n.alias("n"), F.when(ok, s["allowed"] + one).otherwise(s["allowed"]).alias("allowed"), F.when(ok, s["denied"]).otherwise(s["denied"] + one).alias("denied"))
 
     return _folded(events, key, fields, state, step, lambda s: s).select(key, "r.allowed", "r.denied")
 
@@ -201,3 +204,37 @@ def rollup_health(checks: DataFrame, healthy: str = "healthy", critical: str = "
     bad = ~F.coalesce(F.col(healthy), F.lit(False))
     status = F.when(F.bool_or(bad & F.col(critical)), "critical").when(F.bool_or(bad), "degraded").otherwise("healthy")
     return checks.agg(status.alias("status"))
+
+
+def block_list(events: DataFrame, key: str, ts: Column, block: Column, event_id: str = "event_id", block_s: int = 60) -> DataFrame:
+    """(key, passed, refused): events where block holds shut their key out for block_s seconds, each anew; the others pass unless shut out. Null block: no block."""
+    rows = events.select(F.col(key), seconds(ts).alias("t"), F.col(event_id).alias("id"), F.coalesce(block, F.lit(False)).alias("block"))
+    before = Window.partitionBy(key).orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
+    until = F.last(F.when(F.col("block"), F.col("t") + block_s), ignorenulls=True).over(before)
+    marked = rows.withColumn("shut", F.coalesce(F.col("t") < until, F.lit(False)) & ~F.col("block"))
+    return marked.groupBy(key).agg(F.count_if(~F.col("shut") & ~F.col("block")).alias("passed"), F.count_if("shut").alias("refused"))
+
+
+def discovered(instances: DataFrame, service: str, instance: str, healthy: Column) -> DataFrame:
+    """(service, instances, first): healthy instances of each service that has any, and the smallest id among them."""
+    return instances.where(healthy).groupBy(service).agg(F.count("*").alias("instances"), F.min(instance).alias("first"))
+
+
+def health_of(checks: DataFrame, results: DataFrame, by: str, check: str) -> DataFrame:
+    """(by, checks, failed, status): a check without a healthy result fails; a failed critical check makes its group critical, any other degraded.
+
+    checks has by, check and critical, results has check and healthy, one row a check.
+    """
+    ok = F.coalesce("healthy", F.lit(False))
+    bad = F.count_if(~ok)
+    worst = F.count_if(~ok & F.coalesce("critical", F.lit(False)))
+    joined = checks.join(results.select(check, "healthy"), check, "left").groupBy(by)
+    return joined.agg(F.count("*").alias("checks"), bad.alias("failed"), F.when(worst > 0, "critical").when(bad > 0, "degraded").otherwise("healthy").alias("status"))
+
+
+def key_checked(requests: DataFrame, keys: DataFrame, key: str, ts: Column, expires: str = "expires") -> DataFrame:
+    """requests with valid and reason. keys has key (once each) and expires (null: never); a key is still good at the moment it expires."""
+    table = keys.select(key, expires, F.lit(True).alias("tm_known"))
+    late = F.coalesce(F.col(expires) < ts, F.lit(False))
+    reason = F.when(F.col(key).isNull(), "missing").when(F.col("tm_known").isNull(), "invalid").when(late, "expired")
+    return requests.join(table, key, "left").withColumn("reason", reason).withColumn("valid", F.col("reason").isNull()).drop("tm_known", expires)

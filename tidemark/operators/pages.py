@@ -89,3 +89,11 @@ def export(records: DataFrame, folder: str, name: str = "pages") -> str:
 def clear(store: DataFrame, path: str) -> None:
     """Overwrite a stored table with no rows."""
     store.limit(0).write.mode("overwrite").parquet(path)
+
+
+def folder_sizes(files: DataFrame, path: str, size: str) -> DataFrame:
+    """(folder, files, bytes): everything below a folder, at any depth; the root is ".". Sums combine before the shuffle, so the root is no hot key."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, ".").otherwise(F.array_join(F.slice(parts, 1, i), "/")))
+    rows = files.where(F.col(path).isNotNull()).select(F.explode(above).alias("folder"), F.col(size).alias("tm_size"))
+    return rows.groupBy("folder").agg(F.count("*").alias("files"), F.coalesce(F.sum("tm_size"), F.lit(0)).alias("bytes"))

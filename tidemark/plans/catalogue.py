@@ -16,7 +16,8 @@ marks_by_engine marks_by_category engine_rank engine_leads category_pivot hit_at
 RECORDS = """page_fields page_url_route page_clean_truncate page_upsert_latest page_store_stats page_anti_captured feed_batches feed_flagged_semi marker_split mask_values
 content_type_dim token_bucket fixed_window_limit circuit_breaker ttl_cache sessions error_rate log_filter last_n event_history heartbeat_stale moving_tier
 round_robin backoff_delay key_version message_routing buffer_until_ready presence_last stability_islands dashboard_stats order_page order_total stock_check
-product_search priority_queue task_attempts stream_dedup stream_sessions stream_bucket""".split()
+product_search priority_queue task_attempts stream_dedup stream_sessions stream_bucket
+fixed_window_broken block_list retryable_errors service_instances service_health api_key_check validators folder_sizes""".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(text_queries, name) for name in TEXT} | {name: getattr(record_queries, name) for name in RECORDS}
 ORACLE_SQL: dict[str, str] = {**text_oracle.SQL, **record_queries.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import clean_text, context_in_markers, extension_of, has_secret_value, masked, query_before_marker, truncated
+from tidemark.functions.text import clean_text, context_in_markers, extension_of, has_secret_value, html_escaped, masked, query_before_marker, retryable, truncated, valid_email, valid_password, valid_user_name
 from tidemark.operators import commerce, events, feed, pages, segment
 from tidemark.sources.tables import table
 from tidemark.streaming import queries as streams
@@ -84,6 +84,59 @@ def fixed_window_limit(spark: SparkSession, sf: str) -> DataFrame:
     return events.fixed_window(ev(spark, sf), "user_id", F.col("ts"), window_s=86_400, most=2)
 
 
+def fixed_window_broken(spark: SparkSession, sf: str) -> DataFrame:
+    return events.fixed_window(ev(spark, sf), "user_id", F.col("ts"), window_s=86_400, most=2, restart=False)
+
+
+def block_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors shut a user out for five days."""
+    return events.block_list(ev(spark, sf), "user_id", F.col("ts"), F.col("event_type") == "error", block_s=432_000)
+
+
+def retryable_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors with a status from 400 on; one in nine has a code instead."""
+    status = F.when(F.col("event_id") % 9 != 0, (400 + F.col("event_id") % 110).cast("int"))
+    code = F.when(F.col("event_id") % 9 == 0, F.when(F.col("user_id") % 2 == 0, "ETIMEDOUT").otherwise("ENOTFOUND"))
+    return ev(spark, sf).where("event_type = 'error'").select("event_id", status.alias("status"), code.alias("code"), retryable(status, code).alias("retryable"))
+
+
+def service_instances(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as services, suppliers in credit as healthy instances."""
+    named = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return events.discovered(named, "n_name", "s_suppkey", F.col("s_acctbal") > 0)
+
+
+def service_health(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as the checks of their regions, healthy if most of their suppliers hold more than 4500; each fifth is critical."""
+    checks = table(spark, sf, "nation").select("n_regionkey", "n_nationkey", (F.col("n_nationkey") % 5 == 0).alias("critical"))
+    results = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg((F.count_if(F.col("s_acctbal") > 4500) * 2 > F.count("*")).alias("healthy"))
+    return events.health_of(checks, results, "n_regionkey", "n_nationkey")
+
+
+def api_key_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as keys of customers: each third customer has none, those in debt have one that ran out."""
+    asked = ev(spark, sf).select("event_id", "ts", F.when(F.col("event_id") % 10 != 0, F.col("user_id")).cast("long").alias("key"))
+    expires = F.when(F.col("c_acctbal") < 0, F.lit("1970-01-02").cast("timestamp"))
+    keys = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("long").alias("key"), expires.alias("expires"))
+    return events.key_checked(asked, keys, "key", F.col("ts").cast("timestamp")).select("event_id", "valid", "reason")
+
+
+def validators(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of a document that are e-mail addresses, user names or passwords by form, and a digest of its escaped text. Null text: no words, no digest."""
+    words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
+
+    def holding(test) -> F.Column:
+        return F.size(F.filter(words, test))
+
+    return table(spark, sf, "documents").select("doc_id", holding(valid_email).alias("emails"), holding(valid_user_name).alias("user_names"), holding(valid_password).alias("passwords"), F.md5(html_escaped(F.col("text"))).alias("escaped_md5"))
+
+
+def folder_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of pages below each part of their addresses."""
+    files = table(spark, sf, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
+    return pages.folder_sizes(files, "path", "size")
+
+
 def circuit_breaker(spark: SparkSession, sf: str) -> DataFrame:
     return events.circuit_breaker(ev(spark, sf), "user_id", F.col("ts"), F.col("event_type") == "error", failures=2, open_s=86_400)
 
@@ -272,6 +325,26 @@ SELECT user_id, CAST(island AS BIGINT) AS island, min(event_type) AS value, coun
     "task_attempts": "SELECT o_orderkey, CAST(CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE least(o_orderkey % 5, 2) + 1 END AS INTEGER) AS tries, CASE WHEN o_custkey % 7 = 0 THEN 'skipped' WHEN o_orderkey % 5 <= 2 THEN 'done' ELSE 'dead' END AS outcome FROM orders",
     "stream_dedup": "SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY 1, 2",
 }
+SQL["fixed_window_broken"] = SQL["fixed_window_limit"].replace(f"CASE WHEN {NEW} THEN o.t ELSE f.b END", "coalesce(f.b, o.t)")
+WORDS = r"string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')"
+SPACE = r"\s\x0B\p{Z}\x{FEFF}"
+SQL |= {
+    "block_list": f"""SELECT user_id, count(*) FILTER (NOT block AND NOT shut) AS passed, count(*) FILTER (NOT block AND shut) AS refused
+FROM (SELECT user_id, block, coalesce(t < last_value(CASE WHEN block THEN t + 432000 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS shut
+ FROM (SELECT user_id, event_id, {T} AS t, coalesce(event_type = 'error', false) AS block FROM events)) GROUP BY user_id""",
+    "retryable_errors": """SELECT *, coalesce(status IN (408, 429, 500, 502, 503, 504), false) OR coalesce(code IN ('ECONNRESET', 'ETIMEDOUT'), false) AS retryable
+FROM (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN CAST(400 + event_id % 110 AS INTEGER) END AS status, CASE WHEN event_id % 9 = 0 THEN CASE WHEN user_id % 2 = 0 THEN 'ETIMEDOUT' ELSE 'ENOTFOUND' END END AS code FROM events WHERE event_type = 'error')""",
+    "service_instances": "SELECT n_name, count(*) AS instances, min(s_suppkey) AS first FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0 GROUP BY n_name",
+    "service_health": """SELECT n_regionkey, count(*) AS checks, count(*) FILTER (NOT ok) AS failed, CASE WHEN count(*) FILTER (NOT ok AND n_nationkey % 5 = 0) > 0 THEN 'critical' WHEN count(*) FILTER (NOT ok) > 0 THEN 'degraded' ELSE 'healthy' END AS status
+FROM (SELECT n_regionkey, n_nationkey, coalesce(healthy, false) AS ok FROM nation LEFT JOIN (SELECT s_nationkey, count(*) FILTER (s_acctbal > 4500) * 2 > count(*) AS healthy FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey) GROUP BY 1""",
+    "api_key_check": """SELECT event_id, reason IS NULL AS valid, reason FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 OR user_id IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'invalid' WHEN c_acctbal < 0 AND TIMESTAMP '1970-01-02' < ts THEN 'expired' END AS reason
+FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON c_custkey = user_id AND event_id % 10 <> 0)""",
+    "validators": rf"""SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '^[^{SPACE}@]+@[^{SPACE}@]+\.[^{SPACE}@]+\z'))) AS emails, len(list_filter(w, lambda x: regexp_matches(x, '^[a-zA-Z0-9_]{{3,20}}\z'))) AS user_names,
+ len(list_filter(w, lambda x: length(x) >= 8 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]'))) AS passwords,
+ md5(replace(replace(replace(replace(text, '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')) AS escaped_md5 FROM (SELECT doc_id, text, {WORDS} AS w FROM documents)""",
+    "folder_sizes": """SELECT folder, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT CASE WHEN i = 0 THEN '.' ELSE array_to_string(parts[1:i], '/') END AS folder, size
+ FROM (SELECT parts, size, unnest(range(0, len(parts))) AS i FROM (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts, octet_length(encode(coalesce(html, ''))) AS size FROM pages))) GROUP BY folder""",
+}
 # the streaming twins: the same rows as the batch rules, but that a gap of exactly the limit begins a session
 SQL["stream_bucket"] = SQL["token_bucket"]
 SQL["stream_sessions"] = SQL["sessions"].replace("> 3600", ">= 3600")
