@@ -49,7 +49,7 @@ fold AS (
   SELECT f.item_id, f.seq + 1,
     CASE WHEN len(f.chosen) < 5 AND len(list_filter(f.chosen, lambda z: z.d = c.doc_id AND {free})) = 0
          THEN list_append(f.chosen, {{'d': c.doc_id, 's': c.cs, 'e': c.ce, 'k': c.seq}}) ELSE f.chosen END
-  FROM fold f JOIN cand c ON c.item_id = f.item_id AND c.seq = f.seq + 1 WHERE f.seq < 100),
+  FROM fold f JOIN cand c ON c.item_id = f.item_id AND c.seq = f.seq + 1 WHERE len(f.chosen) < 5),
 final AS (SELECT item_id, unnest(chosen).k AS seq, unnest(range(1, len(chosen) + 1)) AS rank FROM (SELECT item_id, arg_max(chosen, seq) AS chosen FROM fold GROUP BY item_id))
 SELECT item_id, doc_id, s AS "start", e AS "end", round(score, 6) AS score, rank FROM final JOIN cand USING (item_id, seq)"""
 
