@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
@@ -106,3 +109,26 @@ def with_fields(schema: StructType, ddl: str) -> StructType:
 def text_key(text) -> F.Column:
     """64 bits of the text (null as empty); beside doc_id it tells rows that repeat a doc_id apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """read, giving freed memory back to the system after each batch and at its end: a worker, which later tasks use again, else keeps its peak."""
+
+    def spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            _trim()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from read(spaced(batches))
+        finally:
+            _trim()
+
+    return run

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._bitmap import COUNTED, counted, holds, repeated
-from tidemark.llm._shared import release, small, stage, with_fields
+from tidemark.llm._shared import release, small, stage, trimmed, with_fields
 from tidemark.llm._words import SPACE_WORDS, Chunk, as_bytes, chunks, grams
 
 ANCHOR = 6
@@ -102,7 +102,7 @@ def shared_anchors(docs: DataFrame, window: int) -> np.ndarray:
                 new[1:] = (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])
                 yield counted(best[new][_first_in_text(best[new], owner[new])])
 
-    return repeated(docs.select("tm_id", "tm_raw").mapInArrow(read, COUNTED))
+    return repeated(docs.select("tm_id", "tm_raw").mapInArrow(trimmed(read), COUNTED))
 
 
 def _first_in_text(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def shared_windows(docs: DataFrame, window: int, bitmap: np.ndarray) -> DataFram
                 at = (keys[c.first + owner].astype(np.int64) << 32) | (places - c.bounds[owner])
                 yield pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array(c.grams(window)[places].view(np.int64))], ["tm_id", "place", "print"])
 
-    return docs.select("tm_id", "tm_raw", "tm_key").mapInArrow(read, f"tm_id {docs.schema['tm_id'].dataType.simpleString()}, place long, print long")
+    return docs.select("tm_id", "tm_raw", "tm_key").mapInArrow(trimmed(read), f"tm_id {docs.schema['tm_id'].dataType.simpleString()}, place long, print long")
 
 
 @dataclass
@@ -159,20 +159,21 @@ class Reference:
     def __init__(self, ids: list, texts: list[str], window: int):
         self.window, self.ids = window, ids
         words, size, parts, hashes, starts, ends, owner = 0, 0, [], [], [], [], []
+        narrow = np.int32 if sum(len(t) for t in texts) < 1 << 29 else np.int64  # a character has four bytes at most
         self.first = np.zeros(len(ids) + 1, dtype=np.int64)
         for c in chunks(pa.array(texts, pa.string()), SPACE_WORDS):
             parts.append(c.data.tobytes())
             hashes.append(c.hashes)
-            starts.append(c.starts + size)
-            ends.append(c.ends + size)
+            starts.append((c.starts + size).astype(narrow))
+            ends.append((c.ends + size).astype(narrow))
             n = np.diff(c.bounds)
-            owner.append(c.first + np.repeat(np.arange(len(n)), n))
+            owner.append(np.repeat(np.arange(c.first, c.first + len(n), dtype=narrow), n))
             self.first[c.first + 1 : c.first + len(n) + 1] = words + np.cumsum(n)
             words, size = words + len(c.hashes), size + len(c.data)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
-        self.words, self.owner = Words(b"".join(parts), join(starts, np.int64), join(ends, np.int64), join(hashes, np.uint64)), join(owner, np.int64)
+        self.words, self.owner = Words(b"".join(parts), join(starts, narrow), join(ends, narrow), join(hashes, np.uint64)), join(owner, narrow)
         n = max(0, words - window + 1)
-        whole = np.flatnonzero(self.owner[:n] == self.owner[len(self.owner) - n :])
+        whole = np.flatnonzero(self.owner[:n] == self.owner[len(self.owner) - n :]).astype(narrow)
         prints = grams(self.words.hashes, window)[whole]
         order = np.argsort(prints, kind="stable")  # ties in doc_id order, then by place
         self.prints, self.places = prints[order], whole[order]
@@ -273,7 +274,7 @@ def stretches(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
             yield send(batch)
             held = 0
 
-    return joined.select("tm_id", "tm_raw", "tm_key", "places").mapInArrow(read, f"block int, tm_id {id_type}, tm_key int, start int, raw string, seeds array<int>")
+    return joined.select("tm_id", "tm_raw", "tm_key", "places").mapInArrow(trimmed(read), f"block int, tm_id {id_type}, tm_key int, start int, raw string, seeds array<int>")
 
 
 def parsed(references: DataFrame, targets: DataFrame, window: int) -> DataFrame:
@@ -327,7 +328,7 @@ def parsed(references: DataFrame, targets: DataFrame, window: int) -> DataFrame:
         if kind is not None:
             yield send()
 
-    return rows.mapInArrow(read, schema)
+    return rows.mapInArrow(trimmed(read), schema)
 
 
 def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
@@ -440,4 +441,4 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             extra = [pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span_kind), pa.array(factors, factor_kind)]
             yield pa.RecordBatch.from_arrays([*columns, *extra], [*batch.schema.names[:n], *added])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(trimmed(cut), schema)
