@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Stop-word lists and query patterns that results depend on.
@@ -16,11 +16,20 @@ CONTENT_TYPES = {"video/mp4": ".mp4", "video/quicktime": ".mov", "video/x-matros
 CTX_START, CTX_END = "[CTX_START]", "[CTX_END]"
 
 
-def tokens(text: Column, stop_words: list[str] = STOP_WORDS, min_chars: int = 3) -> Column:
-    """Words of ASCII letters and digits: camel case and underscores split, lower case, no stop words; order and repeats kept."""
+def raw_words(text: Column) -> Column:
+    """What `tokens` chooses from: words of ASCII letters and digits, camel case and underscores split, lower case; at least one, which may be empty."""
     spaced = F.regexp_replace(F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z])([A-Z])", "$1 $2"), "_", " "), "[^a-zA-Z0-9]", " ")
+    return F.split(F.lower(spaced), " +")
+
+
+def is_token(word: Column, stop_words: list[str] = STOP_WORDS, min_chars: int = 3) -> Column:
     # the optimizer makes a hash set of the list
-    return F.filter(F.split(F.lower(spaced), " +"), lambda t: (F.length(t) >= min_chars) & ~t.isin(stop_words) if stop_words else F.length(t) >= min_chars)
+    return (F.length(word) >= min_chars) & ~word.isin(stop_words) if stop_words else F.length(word) >= min_chars
+
+
+def tokens(text: Column, stop_words: list[str] = STOP_WORDS, min_chars: int = 3) -> Column:
+    """The words of `raw_words` that are long enough and no stop words; order and repeats kept."""
+    return F.filter(raw_words(text), lambda t: is_token(t, stop_words, min_chars))
 
 
 def identifier_parts(name: Column) -> Column:
@@ -53,6 +62,15 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), "_")))
 
 
+def gram_rows(df: DataFrame, words: str, *keep: str) -> DataFrame:
+    """(keep, n, gram): a row for each run of two and of three words, joined by underscores; compiled, where `ngrams` is interpreted word by word."""
+    shifted = df.select(*keep, F.col(words).alias("tm_a")).where(F.size("tm_a") >= 2)
+    shifted = shifted.select(*keep, F.explode(F.arrays_zip("tm_a", F.slice("tm_a", F.lit(2), F.size("tm_a")).alias("tm_b"), F.slice("tm_a", F.lit(3), F.size("tm_a")).alias("tm_c"))).alias("tm_z"))
+    two = F.concat_ws("_", "tm_z.tm_a", "tm_z.tm_b")
+    both = F.array(F.struct(F.lit(2).alias("n"), F.when(F.col("tm_z.tm_b").isNotNull(), two).alias("gram")), F.struct(F.lit(3).alias("n"), F.when(F.col("tm_z.tm_c").isNotNull(), F.concat_ws("_", two, "tm_z.tm_c")).alias("gram")))
+    return shifted.select(*keep, F.inline(both)).where("gram is not null")
+
+
 def clean_text(text: Column) -> Column:
     """Without show-more labels, white space collapsed, empty to null."""
     s = F.regexp_replace(F.regexp_replace(text, "(?i)see more|show less", ""), "[\\s\\u00A0]+", " ")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import fuzzy
-from tidemark.functions.text import STOP_WORDS, identifier_parts, ngrams, suffix_stem, tokens, word_runs
+from tidemark.functions.text import STOP_WORDS, gram_rows, identifier_parts, suffix_stem, tokens, word_runs
 from tidemark.operators import evaluate, segment, select, stats
 from tidemark.operators.joins import checked_broadcast, contained_words, overlap_join, range_join, similar_terms
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, stage, table
 
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -28,11 +28,16 @@ QUERY_SQL = f"q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({tokens_sql('te
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def tokenized(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
+    return docs(spark, sf).select("doc_id", tokens(F.col("text")).alias("tokens"))
+
+
+def document_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, length, terms) with the passages' terms, from one pass over the corpus; staged, as several scores read it."""
+    return stage(stats.unit_terms(stats.wanted_counts(docs(spark, sf), items(spark, sf), "doc_id"), "doc_id"), "document-terms")
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,7 +45,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = stats.bm25_scores(tokenized(spark, sf), items(spark, sf), ["doc_id"], "item_id")
+    scored = stats.bm25_units(document_terms(spark, sf), items(spark, sf), ["doc_id"], "item_id")
     return stats.top(scored, "item_id", 5, "doc_id").select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -85,22 +90,17 @@ def porter_stem_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def ngram_top(spark: SparkSession, sf: str) -> DataFrame:
     """The 100 most frequent bigrams and trigrams of the corpus, each (a report)."""
-    t = F.col("tokens")
-    grams = tokenized(spark, sf).select(F.explode(F.array(F.struct(F.lit(2).alias("n"), ngrams(t, 2).alias("g")), F.struct(F.lit(3).alias("n"), ngrams(t, 3).alias("g")))).alias("x"))
-    counted = grams.select("x.n", F.explode("x.g").alias("gram")).groupBy("n", "gram").agg(F.count("*").alias("score"))
+    counted = gram_rows(tokenized(spark, sf), "tokens").groupBy("n", "gram").agg(F.count("*").alias("score"))
     return stats.top(counted, "n", 100, "gram", digits=0).select("n", "gram", F.col("score").alias("occurrences"))
 
 
 def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
     """Bigrams (60 each) and trigrams (80 each) of a passage found in a document."""
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        both = F.array_union(ngrams(F.col("t"), 2), ngrams(F.col("t"), 3))
-        return df.select(key, F.explode(both).alias("gram"))
-
-    q = grams(table(spark, sf, "benchmark").select("item_id", tokens(F.col("text")).alias("t")), "item_id")
-    d = grams(tokenized(spark, sf).withColumnRenamed("tokens", "t"), "doc_id")
-    hits = d.join(checked_broadcast(q), "gram")
-    three = F.size(F.split("gram", "_")) == 3
+    q = gram_rows(table(spark, sf, "benchmark").select("item_id", tokens(F.col("text")).alias("tokens")), "tokens", "item_id").distinct()
+    d = gram_rows(tokenized(spark, sf), "tokens", "doc_id")
+    known = checked_broadcast(q.select("gram").distinct())  # the corpus is cut down to passages' grams before the shuffle
+    hits = d.join(known, "gram", "left_semi").select("doc_id", "gram").distinct().join(checked_broadcast(q), "gram")
+    three = F.col("n") == 3
     return hits.groupBy("item_id", "doc_id").agg(F.count_if(~three).alias("bigrams"), F.count_if(three).alias("trigrams"), F.sum(F.when(three, 80).otherwise(60)).cast("double").alias("score"))
 
 
@@ -222,10 +222,11 @@ def pad_to_five(spark: SparkSession, sf: str) -> DataFrame:
     return select.pad_results(ranked, table(spark, sf, "benchmark"), "item_id")
 
 
-def passages(spark: SparkSession, sf: str) -> DataFrame:
+def passages(spark: SparkSession, sf: str, units: DataFrame | None = None) -> DataFrame:
     """(item_id, doc_id, start, end): documents that hold a passage's text, and its lines there. Blocked by the passage's first token run."""
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), F.try_element_at(tokens(F.col("text")), F.lit(1)).alias("term"))
-    candidates = tokenized(spark, sf).select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(checked_broadcast(b), "term")
+    units = document_terms(spark, sf) if units is None else units
+    candidates = units.select("doc_id", F.inline("terms")).join(checked_broadcast(b), "term")
     found = candidates.select("doc_id", "item_id", "passage").join(docs(spark, sf), "doc_id").where(F.contains("text", "passage"))
     start = F.size(F.split(F.expr("substr(text, 1, instr(text, passage) - 1)"), "\n", -1))
     return found.select("item_id", "doc_id", start.alias("start"), (start + F.size(F.split("passage", "\n", -1)) - 1).alias("end"))
@@ -244,15 +245,9 @@ def proximity_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def window_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    q = items(spark, sf)
-    own = tokenized_lines(spark, sf)
-    inside = range_join(segment.windows(docs(spark, sf)), own, "doc_id", "start", "end", "line_no")
-    units = inside.groupBy("doc_id", "start", "end").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-    return stats.bm25_scores(units, q, ["doc_id", "start", "end"], "item_id")
-
-
-def tokenized_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return segment.lines(docs(spark, sf)).select("doc_id", "line_no", tokens(F.col("line")).alias("tokens"))
+    q, key = items(spark, sf), ["doc_id", "start", "end"]
+    units = stage(stats.unit_terms(stats.window_counts(docs(spark, sf), q), *key), "window-terms")
+    return stats.bm25_units(units, q, key, "item_id")
 
 
 def window_bm25_norm(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,11 +293,11 @@ def neighbour_band(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("doc_id", "b.line_no", F.round("b.band", 6).alias("band"))
 
 
-def engine_results(spark: SparkSession, sf: str) -> DataFrame:
+def engine_results(spark: SparkSession, sf: str, units: DataFrame | None = None) -> DataFrame:
     """(engine, item_id, doc_id, rank): documents ranked by three engines, ten a passage."""
-    q, units = items(spark, sf), tokenized(spark, sf)
-    bm25 = stats.bm25_scores(units, q, ["doc_id"], "item_id")
-    counts = units.select("doc_id", F.explode("tokens").alias("term")).join(checked_broadcast(q), "term").groupBy("item_id", "doc_id").agg((F.count("*") + 5.0 * F.countDistinct("term")).alias("score"))
+    q, units = items(spark, sf), document_terms(spark, sf) if units is None else units
+    bm25 = stats.bm25_units(units, q, ["doc_id"], "item_id")
+    counts = units.select("doc_id", F.inline("terms")).join(checked_broadcast(q), "term").groupBy("item_id", "doc_id").agg((F.sum("tf") + 5.0 * F.count("*")).alias("score"))
     phrases = phrase_match(spark, sf).select("item_id", "doc_id", "score")
     out = None
     for name, scored in (("bm25", bm25), ("counts", counts), ("phrases", phrases)):
@@ -313,9 +308,10 @@ def engine_results(spark: SparkSession, sf: str) -> DataFrame:
 
 def engine_marks(spark: SparkSession, sf: str) -> DataFrame:
     """(engine, item_id, doc_id, lang, marks): marks of the first result of each engine for each labelled passage."""
-    truth = passages(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    units = document_terms(spark, sf)
+    truth = passages(spark, sf, units).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     engines = spark.createDataFrame([("bm25",), ("counts",), ("phrases",)], "engine string")
-    results = engine_results(spark, sf)
+    results = engine_results(spark, sf, units)
     n = docs(spark, sf).select("doc_id", segment.line_count(F.col("text")).alias("n"))
     first = results.where("rank = 1").join(n, "doc_id").select("engine", "item_id", "doc_id", F.lit(1).alias("start"), F.col("n").alias("end"))
     asked = truth.join(F.broadcast(engines))  # three engines
@@ -336,10 +332,11 @@ def engine_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hit_at_k(spark: SparkSession, sf: str) -> DataFrame:
-    truth = passages(spark, sf).select("item_id", "doc_id").distinct()
+    units = document_terms(spark, sf)
+    truth = stage(passages(spark, sf, units).select("item_id", "doc_id").distinct(), "truth")  # read twice
     asked = truth.select("item_id").distinct()
     engines = spark.createDataFrame([("bm25",), ("counts",), ("phrases",)], "engine string")
-    found = engine_results(spark, sf).join(truth, ["item_id", "doc_id"]).groupBy("engine", "item_id").agg(F.min("rank").alias("first_rank"))
+    found = engine_results(spark, sf, units).join(truth, ["item_id", "doc_id"]).groupBy("engine", "item_id").agg(F.min("rank").alias("first_rank"))
     return evaluate.hits_at(asked.join(F.broadcast(engines)).join(found, ["engine", "item_id"], "left"), ["engine"])
 
 

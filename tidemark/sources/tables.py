@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
+import re
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +19,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over the cores if it is read in fewer pieces than there are cores; larger tables are read as they lie, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder named in ``spark.checkpoint.dir``; below a temporary one only where that is unset on a single machine (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, for what several plans read; deleted when the driver's Python ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark, f"staged/{name}")
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the driver's JVM may be gone
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def source(spark: SparkSession, code_or_path: str) -> DataFrame:
     """(doc_id, text): text with a line end or above 500 characters as it is, else the file of that name if there is one, else the text."""
     inline = "\n" in code_or_path or len(code_or_path) > 500

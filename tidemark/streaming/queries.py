@@ -6,10 +6,6 @@ writes to a sink in the shared folder; checkpoints lie beside it, so a run that
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,13 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:  # as in tests; a cluster names its shared folder
-        root = tempfile.mkdtemp(prefix="tidemark-stream-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return f"{root}/streams/{name}-{uuid.uuid4().hex}"
+from tidemark.sources.tables import shared_folder
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +26,7 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Everything the stream gives until its present input ends."""
     spark = stream.sparkSession
-    folder = _folder(spark, name)
+    folder = shared_folder(spark, f"streams/{name}")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -45,7 +35,7 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
     """The whole result table as of the end of the input (complete mode: the sink gets all rows at each trigger)."""
     spark = stream.sparkSession
-    folder = _folder(spark, name)
+    folder = shared_folder(spark, f"streams/{name}")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out")
@@ -60,7 +50,7 @@ def run_batches(stream: DataFrame, name: str, keys: list[str], order: str) -> Da
     from tidemark.operators.pages import upsert_latest
 
     spark = stream.sparkSession
-    folder = _folder(spark, name)
+    folder = shared_folder(spark, f"streams/{name}")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("tm_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
