@@ -119,7 +119,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "env").mkdir()
     (tmp_path / "env/.env").write_text("A=1\n")
     (tmp_path / "env/other.txt").write_text("B=1\n")
-    assert [r["line"] for r in tables.config_lines(spark, str(tmp_path / "env")).collect() or [{"line": "A=1"}]] == ["A=1"]
+    (tmp_path / "env/deep").mkdir()
+    (tmp_path / "env/deep/prod.env").write_text("C=1\n\nD=2")
+    assert sorted((r["file"], r["line"]) for r in tables.config_lines(spark, str(tmp_path / "env")).collect()) == [(".env", "A=1"), ("prod.env", ""), ("prod.env", "C=1"), ("prod.env", "D=2")]
+    assert tables.config_lines(spark, str(tmp_path / "log-none")).count() == 0
     (tmp_path / "log").write_text('{"a": 1}\n---\n{"a": 2}\n---\n')
     assert [r["a"] for r in tables.append_log(spark, str(tmp_path / "log"), "a int").collect()] == [1, 2]
     report = {"questions": [{"id": "1", "query": "q", "results": {"x": {"overlapLines": 3, "marks": 12.0}, "y": {"overlapLines": 0, "marks": 0.0}}}]}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows above which a side is not broadcast.
@@ -41,18 +41,29 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, s1: str, e1: str, s2: str
     return x.join(y, [key, "tm_bucket"]).where(meet).drop("tm_bucket")
 
 
-def similar_terms(left: DataFrame, right: DataFrame, threshold: float, score: Column | None = None) -> DataFrame:
-    """(a, b, sim) of distinct terms at or above a Jaro-Winkler threshold.
+def similar_terms(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) of distinct terms of three characters or more at or above a Jaro-Winkler threshold; null terms meet nothing.
 
-    Blocked by length: at a Jaro-Winkler similarity of t with a prefix boost of at most 0.4 * (1 - jaro), the Jaro
-    similarity is at least (t - 0.4) / 0.6, which bounds the ratio of lengths from below; blocks cut nothing else.
+    Terms with the same first character meet by it. For all others no prefix is equal, so the Jaro similarity itself
+    must reach the threshold, which bounds the ratio of lengths: they meet by length, up to the longest term there is.
+    Before Python scores a pair, the characters of each term that the other holds bound its similarity from above. The
+    blocks and the bound cut no pair at the threshold.
     """
     from tidemark.functions.fuzzy import similarity
 
-    jaro = (threshold - 0.4) / 0.6
-    ratio = max(0.0, 3 * jaro - 2)  # (m/a + m/b + 1) / 3 with m the shorter length
-    a = left.select(F.col("term").alias("a")).distinct().withColumn("n", F.length("a"))
-    b = right.select(F.col("term").alias("b")).distinct().withColumn("m", F.length("b"))
-    sizes = F.sequence(F.ceil(F.col("n") * ratio).cast("int"), F.least(F.lit(200), F.floor(F.col("n") / ratio)).cast("int") if ratio else F.lit(200))
-    pairs = a.where("n >= 3").withColumn("m", F.explode(sizes)).join(b.where("m >= 3"), "m")
+    a = left.select(F.col("term").alias("a")).distinct().withColumn("n", F.length("a")).where("n >= 3").withColumn("first", F.substring("a", 1, 1))
+    b = right.select(F.col("term").alias("b")).distinct().withColumn("m", F.length("b")).where("m >= 3").withColumn("first_b", F.substring("b", 1, 1))
+    same = a.join(b, F.col("first") == F.col("first_b")).select("a", "b", "n", "m")
+    ratio = 3 * threshold - 2 - 1e-9  # (s/n + s/m + 1) / 3 with s the shorter length
+    longest = b.agg(F.max("m")).first()[0] or 0  # one number
+    most = F.least(F.lit(longest), F.floor(F.col("n") / ratio)) if ratio > 0 else F.lit(longest)
+    least = F.greatest(F.lit(3), F.ceil(F.col("n") * max(ratio, 0.0)))
+    reach = a.withColumn("tm_m", F.explode(F.when(least <= most, F.sequence(least.cast("int"), most.cast("int")))))
+    other = reach.join(b, F.col("tm_m") == F.col("m")).where("first <> first_b").select("a", "b", "n", "m")
+    pairs = same.unionByName(other)
+    held = F.least(F.col("n") - F.length(F.call_function("translate", "a", "b", F.lit(""))), F.col("m") - F.length(F.call_function("translate", "b", "a", F.lit(""))))
+    jaro = F.when(held > 0, (held / F.col("n") + held / F.col("m") + 1) / 3).otherwise(0.0)
+    equal = lambda k: F.substring("a", 1, k) == F.substring("b", 1, k)
+    prefix = F.when(equal(4), 4).when(equal(3), 3).when(equal(2), 2).when(equal(1), 1).otherwise(0)
+    pairs = pairs.where(jaro + prefix * 0.1 * (1 - jaro) >= threshold - 1e-9)
     return pairs.select("a", "b", similarity(F.col("a"), F.col("b")).alias("sim")).where(F.col("sim") >= threshold)

@@ -14,9 +14,10 @@ def term_frequency(units: DataFrame, *key: str, words: str = "tokens") -> DataFr
     return units.select(*key, F.explode(words).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_frequency(units: DataFrame, words: str = "tokens") -> DataFrame:
-    """(term, cf): occurrences over all units."""
-    return units.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+def corpus_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, cf): occurrences of tokens over all texts; words are filtered after they are exploded, which is compiled."""
+    words = docs.select(F.explode(raw_words(F.col(text))).alias("term")).where(is_token(F.col("term")))
+    return words.groupBy("term").agg(F.count("*").alias("cf"))
 
 
 def document_frequency(units: DataFrame, words: str = "tokens") -> DataFrame:

@@ -54,7 +54,7 @@ def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_tf(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.corpus_frequency(tokenized(spark, sf))
+    return stats.corpus_frequency(docs(spark, sf))
 
 
 def doc_freq_idf(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +66,7 @@ def doc_freq_idf(spark: SparkSession, sf: str) -> DataFrame:
 def idf_corpus_tf(spark: SparkSession, sf: str) -> DataFrame:
     """The variant whose counts are collection frequencies and whose N is the number of lines; negative for frequent terms, null where the logarithm has no value."""
     n = docs(spark, sf).agg(F.sum(segment.line_count(F.col("text")))).first()[0]
-    cf = stats.corpus_frequency(tokenized(spark, sf))
+    cf = stats.corpus_frequency(docs(spark, sf))
     inner = (n - F.col("cf") + 0.5) / (F.col("cf") + 0.5) + 1
     return cf.select("term", "cf", F.round(F.when(inner > 0, F.log(inner)), 6).alias("idf"))
 
@@ -77,14 +77,14 @@ def split_identifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suffix_stem_counts(spark: SparkSession, sf: str) -> DataFrame:
-    cf = stats.corpus_frequency(tokenized(spark, sf))
+    cf = stats.corpus_frequency(docs(spark, sf))
     t = F.col("term")
     rows = cf.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rules"), suffix_stem(t, r).alias("stem")) for r in ("plain", "tion", "e")])).alias("s"), "cf")
     return rows.groupBy("s.rules", "s.stem").agg(F.sum("cf").alias("n"), F.count("*").alias("terms"))
 
 
 def porter_stem_counts(spark: SparkSession, sf: str) -> DataFrame:
-    cf = stats.corpus_frequency(tokenized(spark, sf))
+    cf = stats.corpus_frequency(docs(spark, sf))
     return cf.select(fuzzy.porter_stem(F.col("term")).alias("stem"), "cf").groupBy("stem").agg(F.sum("cf").alias("n"), F.count("*").alias("terms"))
 
 
@@ -105,7 +105,7 @@ def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.corpus_frequency(tokenized(spark, sf)).withColumnRenamed("term", "word")
+    return stats.corpus_frequency(docs(spark, sf)).withColumnRenamed("term", "word")
 
 
 def substring_backoff(spark: SparkSession, sf: str) -> DataFrame:

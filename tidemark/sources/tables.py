@@ -9,8 +9,10 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,9 +67,17 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def config_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line) of environment files below path."""
-    found = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
-    return found.where(F.col("file").endswith(".env"))
+    """(file, line) of environment files below path, a folder that driver and executors see; Spark's own readers leave out names that begin with a dot."""
+    found = [(str(p),) for p in sorted(Path(path).rglob("*.env")) if p.is_file()]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p in map(Path, batch["path"]):
+                own = p.read_text(errors="replace").split("\n")
+                own = own[:-1] if own[-1] == "" else own
+                yield pd.DataFrame({"file": [p.name] * len(own), "line": [x.removesuffix("\r") for x in own]})
+
+    return spark.createDataFrame(found, "path string").mapInPandas(read, "file string, line string")
 
 
 def append_log(spark: SparkSession, path: str, schema: str, separator: str = "\n---\n") -> DataFrame:
