@@ -33,7 +33,7 @@ def sha256(text) -> F.Column:
 
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = write_captures(table(spark, sf_dir, "pages", "page_id", "url", "html"), min_revisit=1000)
-    return captures(assemble(read_records(spark, root, with_payload=False))).drop("url")
+    return captures(assemble(read_records(spark, root))).drop("url")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), capacity=2048, separator=0, with_ids=False)
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), capacity=2048, separator=0)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
