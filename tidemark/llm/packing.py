@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import stage
+from tidemark.llm._shared import stage, trimmed
 
 CELL, ISLANDS, EPOCHS = 1500, 3, 2
 #: Solutions of an island, and children in a row that improve nothing before an epoch ends.
 POPULATION, PATIENCE = 6, 5
 #: Pieces of a bin that are tried for a swap.
 TRIED = 6
+#: Bytes of ids in a batch that a worker hands over.
+BATCH_BYTES = 4 << 20
 #: Sequences filled less than this go to the last round.
 WELL_FILLED = 0.995
 
@@ -101,30 +103,46 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, separator: int = 0, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if with_ids, ids (array<long>)."""
+    """doc_id, piece, start, length, ids_crc32 and, if with_ids, ids (array<int>). Batches are cut by their ids' bytes, whatever the texts' lengths are."""
     id_type = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer).ids, np.array([separator], dtype="<u4").tobytes()
         for batch in batches:
             at: list[int] = []
-            cols: list[list] = [[], [], [], [], []]
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                raw = encode(t or "") + end
+            cols: list[list] = [[], [], [], []]
+            held: list[bytes] = []
+            size = 0
+
+            def made(keys=batch.column(0)) -> pa.RecordBatch:
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                arrays = [keys.take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]]
+                if with_ids:
+                    offsets = np.cumsum([0, *[len(x) // 4 for x in held]], dtype=np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(held), "<i4"))))
+                return pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+
+            for i, t in enumerate(batch.column(1)):
+                raw = encode(t.as_py() or "") + end
                 n = len(raw) // 4
                 first = n % capacity or capacity
                 cuts = [0, *range(first, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     at.append(i)
                     own = raw[4 * a : 4 * b]
-                    for col, x in zip(cols, (k, a, b - a, zlib.crc32(own), np.frombuffer(own, "<u4").astype(np.int64) if with_ids else None), strict=True):
+                    for col, x in zip(cols, (k, a, b - a, zlib.crc32(own)), strict=True):
                         col.append(x)
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())][: 5 if with_ids else 4]
-            arrays = [batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
-
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, schema)
+                    if with_ids:
+                        held.append(own)
+                        size += len(own)
+                    if size >= BATCH_BYTES:
+                        yield made()
+                        at, cols, held, size = [], [[], [], [], []], [], 0
+            if at:
+                yield made()
+
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(trimmed(run), schema)
 
 
 class Solution:
