@@ -113,6 +113,17 @@ def test_packing_many_cells_and_odd_texts(spark):
     assert pack(same, path).count() == 3
 
 
+def test_packed_ids_are_the_arrays_bytes(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, None, "a long text " * 3000])], "doc_id long, text string")
+    arrays = {(r["doc_id"], r["piece"]): r for r in pack(docs, path).collect()}
+    packed = pack(docs, path, packed_ids=True).collect()
+    assert len(packed) == len(arrays)
+    for r in packed:
+        other = arrays[r["doc_id"], r["piece"]]
+        assert bytes(r["ids"]) == np.array(other["ids"], "<u4").tobytes() and r["ids_crc32"] == other["ids_crc32"] == zlib.crc32(r["ids"])
+
+
 def test_repeated_rows_each_keep_their_place(spark):
     same = spark.createDataFrame([(1, "a b c")] * 50, "doc_id long, text string")
     out = pack(same, tokenizer_path("byte_bpe_50k.json"), capacity=16).collect()

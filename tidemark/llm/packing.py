@@ -102,10 +102,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, separator: int = 0, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if with_ids, ids (array<int>). Batches are cut by their ids' bytes, whatever the texts' lengths are."""
+def pieces_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, separator: int = 0, with_ids: bool = True, packed_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if with_ids, ids: array<int>, or with packed_ids their little-endian 32-bit bytes. Batches are cut by their ids' bytes, whatever the texts' lengths are."""
     id_type = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + f", ids {'binary' if packed_ids else 'array<int>'}" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer).ids, np.array([separator], dtype="<u4").tobytes()
@@ -118,7 +118,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
             def made(keys=batch.column(0)) -> pa.RecordBatch:
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 arrays = [keys.take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]]
-                if with_ids:
+                if with_ids and packed_ids:
+                    arrays.append(pa.array(held, pa.binary()))
+                elif with_ids:
                     offsets = np.cumsum([0, *[len(x) // 4 for x in held]], dtype=np.int32)
                     arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(held), "<i4"))))
                 return pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
@@ -335,9 +337,9 @@ def place(parts: DataFrame, capacity: int, seed: int = 1, cell: int = CELL) -> D
     return kept.select("key", "length", "bin").unionByName(again.select("key", "length", (-1 - F.col("bin")).alias("bin")))
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, separator: int = 0, with_ids: bool = True, seed: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset. Offsets in a sequence follow the pieces' keys."""
-    pieces = pieces_of(docs, tokenizer, doc_id, text, capacity, separator, with_ids)
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, separator: int = 0, with_ids: bool = True, seed: int = 1, packed_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset; ids as in `pieces_of`. Offsets in a sequence follow the pieces' keys."""
+    pieces = pieces_of(docs, tokenizer, doc_id, text, capacity, separator, with_ids, packed_ids)
     pieces = stage(pieces.withColumn("key", F.monotonically_increasing_id()), "pack-pieces")
     whole, parts = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     placed = stage(place(parts.select("key", "length"), capacity, seed), "pack-placed")
