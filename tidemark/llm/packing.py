@@ -246,6 +246,9 @@ def evolve(sizes: list[int], capacity: int, seed: int, immigrants: list[list[lis
     rng = random.Random(seed)
     population = [Solution(b, sizes, capacity) for b in immigrants]
     bound = -(-sum(sizes) // capacity)
+    solved = max((s for s in population if len(s.bins) == bound), key=lambda s: s.fitness, default=None)
+    if solved:  # no solution has fewer bins
+        return solved
     while len(population) < POPULATION:
         order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
         if population:
