@@ -94,6 +94,16 @@ def test_postings_and_signatures_keep_every_link():
                 assert list(jaccard.within_bound(np.array([len(x), len(y)]), bits, percent, None, None))
 
 
+def test_unrelated_sets_share_no_tile():
+    rng = np.random.default_rng(6)
+    for percent, size in ((80, 250), (80, 310)):
+        bands = Bands(percent)
+        sets = [np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)) for _ in range(100)]
+        assert any(missing > bands.parts(band)[1] for s in sets for band, _, missing in postings(s, bands))
+        posted = np.concatenate([own for s in sets for _, own, _ in postings(s, bands)])
+        assert len(np.unique(posted)) == len(posted)
+
+
 def test_jaccard_query(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     sets = {d: shingles(t, 3) for d, t in docs.items()}

@@ -5,9 +5,9 @@ Documents with equal shingle sets are one *node* from the start. Two nodes x and
 ``(|x| + |y|) * (100 - percent) / (100 + percent)`` shingles.
 
 *Tiles.* Sizes are cut into bands. In a band, shingles fall by hash into a quarter more parts than the largest
-difference a link can have, so two linked nodes agree in many whole parts (a few parts more make up for empty ones; a
-node with more empty parts than that also posts those). A node posts the hash of each part in its band, and in the
-lower bands where smaller partners can be. Nodes that share a posting form a tile. Common shingles make no large
+difference a link can have, so two linked nodes agree in many whole parts (a few parts more make up for empty ones). A
+node posts the hash of each part in its band, and in the lower bands where smaller partners can be; its empty parts only
+if a linked node could agree with it in those alone, as unrelated nodes agree in them too. Nodes that share a posting form a tile. Common shingles make no large
 tiles: all shingles of a part must agree. Parts that occur once are filtered by a bitmap of bounded size before the
 shuffle, as most do, and with them all nodes that share too few parts with others to link with any. Tiles with the
 same members are one tile; a large one is divided into blocks.
@@ -112,10 +112,14 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def postings(shingles: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray, int]]:
-    """(band, hashes of the parts, empty parts) of a set in all its bands."""
+    """(band, hashes of the parts, empty parts) of a set in all its bands.
+
+    Where ``agree`` leaves a linked partner no part that is not empty, both may lack one, so empty parts are posted too.
+    If only one of two linked nodes is of that kind, they still share a part that is not empty, and both post that.
+    """
     out = []
     for band in bands.of(len(shingles)):
-        n, spare = bands.parts(band)
+        n, _ = bands.parts(band)
         if not n:
             continue
         part = (shingles % np.uint64(n)).astype(np.int64)
@@ -125,7 +129,7 @@ def postings(shingles: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray,
         sums = np.add.reduceat(mix(shingles[order]), starts)
         own = part[starts]
         missing = n - len(own)
-        if missing > spare:
+        if bands.agree(band, len(shingles), missing) < 1:
             empty = np.setdiff1d(np.arange(n), own, assume_unique=True)
             own, sums = np.concatenate((own, empty)), np.concatenate((sums, np.zeros(len(empty), dtype=np.uint64)))
         out.append((band, mix(sums + own.astype(np.uint64) * STEP + np.uint64(band)), missing))
