@@ -196,6 +196,24 @@ def test_substrings(spark, sf, monkeypatch, block_bytes):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op8_lz_substrings(spark, sf).collect()} == expected
 
 
+def test_windows_meet_in_buckets(spark):
+    rng = random.Random(11)
+    passage = " ".join(f"p{j}" for j in range(400))
+    rows = [(f"d{i:03}", " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + (f" {passage}" if i % 10 == 3 else "")) for i in range(100)]
+    docs = spark.createDataFrame(rows, "tm_id string, tm_raw string").selectExpr("*", "7 AS tm_key", "cast(substr(tm_id, 2) AS int) % 4 AS tm_block").coalesce(2)
+    found = factors.shared_windows(docs, 13, factors.shared_anchors(docs, 13), 5)
+    assert found.count() <= 10 and found.selectExpr("sum(size(prints))").first()[0] >= 3880  # arrays are shuffled, not windows
+    met = factors.meetings(found).collect()
+    assert {r["tm_id"] for r in met if r["marks"] is None} == {"d003"}
+    marks = {}
+    for r in met:
+        marks.setdefault(r["tm_id"], set()).update(r["marks"] or ())
+    assert marks == {d: {3 << 32 | p for p in range(60, 448)} if d > "d003" else set() for d, _ in rows if d.endswith("3")}
+    hits = docs.where("tm_id LIKE '%3'").selectExpr("tm_id AS hit_id", "tm_key AS hit_key")
+    left = {r["tm_id"] for r in factors.with_hits(docs, hits).collect()}
+    assert left >= {d for d, _ in rows if d.endswith("3")} and len(left) < 20
+
+
 def brute_contamination(texts, items, window):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII_LOWER))
     index = {}

@@ -26,13 +26,19 @@ def counted(hashes: np.ndarray) -> pa.RecordBatch:
 def repeated(counts: DataFrame) -> np.ndarray:
     """The bitmap as uint64 words: the bit of each hash whose n adds up to two or more."""
     often = stage(counts.groupBy("hash").agg(F.sum("n").alias("n")).where("n >= 2").select("hash"), "repeated-hashes")
+    out = bitmap_of(often)
+    release(counts.sparkSession, often)
+    return out
+
+
+def bitmap_of(often: DataFrame) -> np.ndarray:
+    """The bitmap of a staged table's hash column: the leading COUNTED_BITS of each hash."""
     bits = min(MOST, max(LEAST, (BITS_EACH * often.count()).bit_length()))
     bucket = often.select(F.shiftright("hash", COUNTED_BITS - bits).cast("int").alias("bucket"))
     words = bucket.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bucket & 63)")).alias("bits"))
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     found = words.toArrow()  # at most 2**(MOST - 6) rows
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    release(counts.sparkSession, often)
     return out
 
 

@@ -4,9 +4,10 @@
 thin them out: a window is represented by the smallest hash among its ``ANCHOR``-word grams, so equal windows have
 equal anchors. A first pass counts the texts of each anchor and sets the bits of those found in two or more in a bitmap
 of bounded size. A second pass gives the fingerprints of windows whose anchor has its bit set; for each, the smallest
-doc_id that holds it is its *source*. A full bitmap would let every window through: slower, never wrong.
+doc_id that holds it is its *source*. A full bitmap would let every window through: slower, never wrong. Fingerprints
+are dealt into buckets, whose number follows the input, as arrays; they meet once, in NumPy.
 
-*Reference blocks.* The texts of all sources are dealt by doc_id into blocks of about ``BLOCK_BYTES``. A stretch of a
+*Reference blocks.* The texts of all sources are dealt by doc_id into blocks of ``BLOCK_BYTES`` at most on average. A stretch of a
 document whose windows have sources goes to each block that holds one of them. There the block is indexed (sorted
 window hashes with their places), and the stretch is factored greedily: at a word whose
 window is in the block, the longest match with any smaller document of the block becomes a factor (source, place in the
@@ -35,10 +36,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._bitmap import COUNTED, counted, holds, repeated
+from tidemark.llm._bitmap import COUNTED, COUNTED_BITS, bitmap_of, counted, holds, repeated
 from tidemark.llm._shared import release, small, stage, trimmed, with_fields
 from tidemark.llm._words import SPACE_WORDS, Chunk, as_bytes, chunks, grams
 
@@ -46,6 +48,8 @@ ANCHOR = 6
 KEPT_DIGESTS = 200_000
 #: Bytes of reference texts in a block, and of stretches that one task factors against it.
 BLOCK_BYTES, SHARE_BYTES = 4 << 20, 8 << 20
+#: Bytes of texts for each bucket of fingerprints, and fingerprints that a worker holds.
+BUCKET_BYTES, HELD_WINDOWS = 1 << 20, 500_000
 #: Rows and bytes a worker holds before it sends them on.
 SENT_ROWS, SENT_BYTES = 50_000, 4 << 20
 
@@ -113,25 +117,124 @@ def _first_in_text(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def shared_windows(docs: DataFrame, window: int, bitmap: np.ndarray) -> DataFrame:
-    """tm_id, place (the text's key above the first word's number), print (of the window) where the anchor's bit is set."""
+def _lists(bounds: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+
+def shared_windows(docs: DataFrame, window: int, bitmap: np.ndarray, buckets: int) -> DataFrame:
+    """bucket, and arrays of the windows in it whose anchor has its bit set: ids, keys, blocks (of their texts), places (first words), prints."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = FirstCopies()
+        rows: list[pa.RecordBatch] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def send() -> pa.RecordBatch:
+            texts = pa.concat_batches(rows)
+            text, place, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows.clear()
+            held.clear()
+            bucket = prints % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            starts = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)))
+            bounds = np.append(starts, len(order))
+            own = texts.take(pa.array(text[order]))
+            values = [*own.columns, pa.array(place[order].astype(np.int32)), pa.array(prints[order].view(np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[order][starts].astype(np.int32)), *(_lists(bounds, v) for v in values)], ["bucket", "ids", "keys", "blocks", "places", "prints"])
+
+        texts = 0
         for batch in batches:
             wanted = first.wanted(batch.column(0).to_pylist(), batch.column(1))
-            keys = batch.column(2).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(1), SPACE_WORDS):
                 places, best = anchors(c, window)
                 owner = np.searchsorted(c.bounds, places, "right") - 1
                 take = np.flatnonzero(holds(bits.value, best) & wanted[c.first + owner])
                 places, owner = places[take], owner[take]
-                ids = batch.column(0).take(pa.array(c.first + owner))
-                at = (keys[c.first + owner].astype(np.int64) << 32) | (places - c.bounds[owner])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array(c.grams(window)[places].view(np.int64))], ["tm_id", "place", "print"])
+                if not len(take):
+                    continue
+                rows.append(batch.select(["tm_id", "tm_key", "tm_block"]).slice(c.first, len(c.bounds) - 1))
+                held.append((texts + owner, places - c.bounds[owner], c.grams(window)[places]))
+                texts += len(c.bounds) - 1
+                n += len(take)
+                if n > HELD_WINDOWS:
+                    yield send()
+                    texts = n = 0
+        if n:
+            yield send()
+
+    id_type = docs.schema["tm_id"].dataType.simpleString()
+    schema = f"bucket int, ids array<{id_type}>, keys array<int>, blocks array<int>, places array<int>, prints array<long>"
+    return docs.select("tm_id", "tm_raw", "tm_key", "tm_block").mapInArrow(trimmed(read), schema)
+
+
+def met(ids: pa.Array, keys: np.ndarray, blocks: np.ndarray, places: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    """tm_id, tm_key, marks (block of the source above the first word) of texts with windows that have a smaller source; then the sources, with null marks."""
+    names = ids.unique()
+    names = names.take(pc.sort_indices(names))
+    rank = pc.index_in(ids, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+    block_of = np.zeros(len(names), dtype=np.int64)
+    block_of[rank] = blocks
+    order = np.argsort(prints, kind="stable")
+    starts = np.flatnonzero(np.append(True, prints[order][1:] != prints[order][:-1]))
+    least = np.repeat(np.minimum.reduceat(rank[order], starts), np.diff(np.append(starts, len(order))))
+    later = rank[order] > least
+    least, order = least[later], order[later]
+    marks, texts, sources = block_of[least] << 32 | places[order], (rank[order], keys[order].astype(np.int64)), np.unique(least)
+    order = np.lexsort((marks, texts[1], texts[0]))
+    rank, key = texts[0][order], texts[1][order]
+    starts = np.flatnonzero(np.append(True, (rank[1:] != rank[:-1]) | (key[1:] != key[:-1]))[: len(order)])
+    found = pa.concat_arrays([_lists(np.append(starts, len(order)), pa.array(marks[order])), pa.nulls(len(sources), pa.list_(pa.int64()))])
+    key = pa.concat_arrays([pa.array(key[starts].astype(np.int32)), pa.nulls(len(sources), pa.int32())])
+    return pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate((rank[starts], sources)))), key, found], ["tm_id", "tm_key", "marks"])
+
+
+def meetings(found: DataFrame) -> DataFrame:
+    """What met gives for the windows of each bucket."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def send() -> pa.RecordBatch:
+            ids, *rest = (pa.concat_arrays([b.column(i).flatten() for b in held]) for i in range(1, 6))
+            held.clear()
+            return met(ids, *(x.to_numpy() for x in rest))
+
+        last = None
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if n > HELD_WINDOWS and bucket[a] != last:
+                    yield send()
+                    n = 0
+                part = batch.slice(a, b - a)
+                held.append(part)
+                n, last = n + len(part.column(5).flatten()), bucket[a]
+        if n:
+            yield send()
+
+    kind = found.schema["ids"].dataType.elementType.simpleString()
+    rows = found.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(trimmed(read), f"tm_id {kind}, tm_key int, marks array<long>")
+
+
+def with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """docs less most rows that have no hits: those whose bit a bitmap of the hits' keys lacks, so their texts are not shuffled."""
+    bitmap = bitmap_of(hits.select(F.shiftrightunsigned(F.xxhash64("hit_id", "hit_key"), 64 - COUNTED_BITS).alias("hash")))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap)
+    own = docs.select("tm_id", "tm_raw", "tm_key")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(3).to_numpy().view(np.uint64)
+            yield batch.select(["tm_id", "tm_raw", "tm_key"]).filter(pa.array(holds(bits.value, hashes)))
 
-    return docs.select("tm_id", "tm_raw", "tm_key").mapInArrow(trimmed(read), f"tm_id {docs.schema['tm_id'].dataType.simpleString()}, place long, print long")
+    return own.withColumn("tm_hash", F.xxhash64("tm_id", "tm_key")).mapInArrow(read, own.schema)
 
 
 @dataclass
@@ -346,25 +449,21 @@ def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     copies = stage(copies.distinct(), "factor-copies")
     release(spark, first)
 
-    found = shared_windows(keyed, window, shared_anchors(keyed, window))
-    index = found.groupBy("print").agg(F.min("tm_id").alias("first"), F.max("tm_id").alias("last")).where(F.col("first") < F.col("last")).select(F.col("print").alias("block_print"), "first")
-    index = stage(index, "factor-index")  # as above, for hot windows
+    size = keyed.agg(F.sum(F.octet_length("tm_raw"))).first()[0] or 0  # a single number
+    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
+    keyed = keyed.withColumn("tm_block", F.pmod(F.xxhash64("tm_id"), F.lit(blocks)).cast("int"))
+    found = stage(meetings(shared_windows(keyed, window, shared_anchors(keyed, window), buckets)), "factor-found")
     release(spark)
-    sources = small(stage(index.select(F.col("first").alias("source_id")).distinct(), "factor-sources"), 16)
+    sources = small(stage(found.where("marks IS NULL").select(F.col("tm_id").alias("source_id")).distinct(), "factor-sources"), 16)
     references = stage(keyed.join(sources, keyed["tm_id"] == sources["source_id"], "left_semi"), "factor-references")
-    size = references.agg(F.sum(F.octet_length("tm_raw"))).first()[0] or 0  # a single number
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    hits = found.join(index, F.col("print") == F.col("block_print")).where(F.col("first") < F.col("tm_id"))
-    mark = F.shiftleft(block("first"), 32).bitwiseOR(F.col("place").bitwiseAND((1 << 32) - 1)).alias("mark")
-    hits = hits.groupBy(F.col("tm_id").alias("hit_id"), F.shiftright("place", 32).cast("int").alias("hit_key")).agg(F.collect_set(mark).alias("places"))
+    hits = found.where("marks IS NOT NULL").groupBy(F.col("tm_id").alias("hit_id"), F.col("tm_key").alias("hit_key")).agg(F.flatten(F.collect_list("marks")).alias("places"))
     gone = small(copies.select(F.col("tm_id").alias("copy_id"), F.col("tm_key").alias("copy_key")), 16)
     hits = hits.join(gone, (F.col("hit_id") == F.col("copy_id")) & (F.col("hit_key") == F.col("copy_key")), "left_anti")
     hits = stage(hits, "factor-hits")
-    release(spark, index)
+    release(spark, found)
 
-    own = stage(stretches(keyed, hits, window), "factor-stretches")
-    factors = parsed(references.withColumn("block", block("tm_id").cast("int")), own, window)
+    own = stage(stretches(with_hits(keyed, hits), hits, window), "factor-stretches")
+    factors = parsed(references.withColumnRenamed("tm_block", "block"), own, window)
     factors = factors.groupBy("tm_id", "tm_key").agg(F.array_sort(F.collect_list(F.struct("start", "length", "block", "source", "source_start"))).alias("factors"))
     kind = factors.schema["factors"].dataType
     return copies.select("tm_id", "tm_key", F.col("source").alias("whole"), F.lit(None).cast(kind).alias("factors")).unionByName(factors.select("tm_id", "tm_key", F.lit(None).cast(factors.schema["tm_id"].dataType).alias("whole"), "factors"))
