@@ -458,7 +458,8 @@ def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     references = stage(keyed.join(sources, keyed["tm_id"] == sources["source_id"], "left_semi"), "factor-references")
     hits = found.where("marks IS NOT NULL").groupBy(F.col("tm_id").alias("hit_id"), F.col("tm_key").alias("hit_key")).agg(F.flatten(F.collect_list("marks")).alias("places"))
     gone = small(copies.select(F.col("tm_id").alias("copy_id"), F.col("tm_key").alias("copy_key")), 16)
-    hits = hits.join(gone, (F.col("hit_id") == F.col("copy_id")) & (F.col("hit_key") == F.col("copy_key")), "left_anti")
+    # an anti join would be pushed below the aggregate, where a text has as many rows as there are partitions
+    hits = hits.join(gone, (F.col("hit_id") == F.col("copy_id")) & (F.col("hit_key") == F.col("copy_key")), "left").where("copy_id IS NULL").select("hit_id", "hit_key", "places")
     hits = stage(hits, "factor-hits")
     release(spark, found)
 
