@@ -214,6 +214,26 @@ def test_windows_meet_in_buckets(spark):
     assert left >= {d for d, _ in rows if d.endswith("3")} and len(left) < 20
 
 
+def test_marks_of_a_text_come_together(spark):
+    """One row for each text and each source, however many buckets a text's windows are in."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{j}" for j in range(300))
+    rows = [(f"d{i:03}", " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + (f" {passage}" if i % 2 else "")) for i in range(80)]
+    docs = spark.createDataFrame([*rows, rows[9]], "tm_id string, tm_raw string").selectExpr("*", "7 AS tm_key", "cast(substr(tm_id, 2) AS int) % 6 AS tm_block").repartition(3)
+    bitmap = factors.shared_anchors(docs, 13)
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        few, many = (factors.shared_windows(docs, 13, bitmap, n) for n in (2, 40))
+        expected = {(f"d{i:03}", 7, tuple(1 << 32 | p for p in range(30, 318))) for i in range(3, 80, 2)} | {("d001", None, None)}
+        for found in (many, few):
+            for homes in (1, 3):
+                # windows that straddle the words before the passage have no source
+                met = [(r["tm_id"], r["tm_key"], r["marks"] and tuple(r["marks"])) for r in factors.meetings(found, homes).collect()]
+                assert len(met) == 40 and set(met) == expected
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def brute_contamination(texts, items, window):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII_LOWER))
     index = {}

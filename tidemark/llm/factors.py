@@ -5,7 +5,8 @@ thin them out: a window is represented by the smallest hash among its ``ANCHOR``
 equal anchors. A first pass counts the texts of each anchor and sets the bits of those found in two or more in a bitmap
 of bounded size. A second pass gives the fingerprints of windows whose anchor has its bit set; for each, the smallest
 doc_id that holds it is its *source*. A full bitmap would let every window through: slower, never wrong. Fingerprints
-are dealt into buckets, whose number follows the input, as arrays; they meet once, in NumPy.
+are dealt into buckets, whose number follows the input, as arrays; they meet once, in NumPy. What they find goes on as
+arrays as well, to where all marks of a text come together.
 
 *Reference blocks.* The texts of all sources are dealt by doc_id into blocks of ``BLOCK_BYTES`` at most on average. A stretch of a
 document whose windows have sources goes to each block that holds one of them. There the block is indexed (sorted
@@ -50,6 +51,8 @@ KEPT_DIGESTS = 200_000
 BLOCK_BYTES, SHARE_BYTES = 4 << 20, 8 << 20
 #: Bytes of texts for each bucket of fingerprints, and fingerprints that a worker holds.
 BUCKET_BYTES, HELD_WINDOWS = 1 << 20, 500_000
+#: Bytes of texts whose marks are gathered together, and what stands for a mark where a text is a source.
+HOME_BYTES, SOURCE = 8 << 20, -1
 #: Rows and bytes a worker holds before it sends them on.
 SENT_ROWS, SENT_BYTES = 50_000, 4 << 20
 
@@ -169,8 +172,8 @@ def shared_windows(docs: DataFrame, window: int, bitmap: np.ndarray, buckets: in
     return docs.select("tm_id", "tm_raw", "tm_key", "tm_block").mapInArrow(trimmed(read), schema)
 
 
-def met(ids: pa.Array, keys: np.ndarray, blocks: np.ndarray, places: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-    """tm_id, tm_key, marks (block of the source above the first word) of texts with windows that have a smaller source; then the sources, with null marks."""
+def met(ids: pa.Array, keys: np.ndarray, blocks: np.ndarray, places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """blocks, ids, keys (of texts) and marks (block of the source above the first word) of the windows that have a smaller source; then the sources, with SOURCE for a mark."""
     names = ids.unique()
     names = names.take(pc.sort_indices(names))
     rank = pc.index_in(ids, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -181,45 +184,99 @@ def met(ids: pa.Array, keys: np.ndarray, blocks: np.ndarray, places: np.ndarray,
     least = np.repeat(np.minimum.reduceat(rank[order], starts), np.diff(np.append(starts, len(order))))
     later = rank[order] > least
     least, order = least[later], order[later]
-    marks, texts, sources = block_of[least] << 32 | places[order], (rank[order], keys[order].astype(np.int64)), np.unique(least)
-    order = np.lexsort((marks, texts[1], texts[0]))
-    rank, key = texts[0][order], texts[1][order]
-    starts = np.flatnonzero(np.append(True, (rank[1:] != rank[:-1]) | (key[1:] != key[:-1]))[: len(order)])
-    found = pa.concat_arrays([_lists(np.append(starts, len(order)), pa.array(marks[order])), pa.nulls(len(sources), pa.list_(pa.int64()))])
-    key = pa.concat_arrays([pa.array(key[starts].astype(np.int32)), pa.nulls(len(sources), pa.int32())])
-    return pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate((rank[starts], sources)))), key, found], ["tm_id", "tm_key", "marks"])
+    sources = np.unique(least)
+    marks = np.append(block_of[least] << 32 | places[order], np.full(len(sources), SOURCE))
+    rank = np.append(rank[order], sources)
+    return block_of[rank], names.take(pa.array(rank)), np.append(keys[order], np.zeros(len(sources), dtype=np.int32)), marks
 
 
-def meetings(found: DataFrame) -> DataFrame:
-    """What met gives for the windows of each bucket."""
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The flattened arrays of rows sorted by the number in their first column, whole numbers at a time: a little over HELD_WINDOWS values."""
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
+
+    def joined() -> list[pa.Array]:
+        out = [pa.concat_arrays([b.column(i).flatten() for b in held]) for i in range(1, held[0].num_columns)]
+        held.clear()
+        return out
+
+    for batch in batches:
+        number = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if n > HELD_WINDOWS and number[a] != last:
+                yield joined()
+                n = 0
+            part = batch.slice(a, b - a)
+            held.append(part)
+            n, last = n + len(part.column(1).flatten()), number[a]
+    if n:
+        yield joined()
+
+
+def marked(found: DataFrame, homes: int) -> DataFrame:
+    """home (of a text, by its block), and arrays of what met gives for it: ids, keys, marks."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[tuple] = []
         n = 0
 
         def send() -> pa.RecordBatch:
-            ids, *rest = (pa.concat_arrays([b.column(i).flatten() for b in held]) for i in range(1, 6))
+            blocks, ids, keys, marks = zip(*held, strict=True)
             held.clear()
-            return met(ids, *(x.to_numpy() for x in rest))
-
-        last = None
-        for batch in batches:
-            bucket = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if n > HELD_WINDOWS and bucket[a] != last:
-                    yield send()
-                    n = 0
-                part = batch.slice(a, b - a)
-                held.append(part)
-                n, last = n + len(part.column(5).flatten()), bucket[a]
+            home = np.concatenate(blocks) % homes
+            order = np.argsort(home, kind="stable")
+            starts = np.flatnonzero(np.diff(home[order], prepend=-1))
+            bounds = np.append(starts, len(order))
+            values = [pa.concat_arrays(ids).take(pa.array(order)), pa.array(np.concatenate(keys)[order]), pa.array(np.concatenate(marks)[order])]
+            return pa.RecordBatch.from_arrays([pa.array(home[order][starts].astype(np.int32)), *(_lists(bounds, v) for v in values)], ["home", "ids", "keys", "marks"])
+
+        for ids, *rest in _whole(batches):
+            held.append(met(ids, *(x.to_numpy() for x in rest)))
+            n += len(held[-1][0])
+            if n > HELD_WINDOWS:
+                yield send()
+                n = 0
         if n:
             yield send()
 
-    kind = found.schema["ids"].dataType.elementType.simpleString()
+    kind = found.schema["ids"].dataType.simpleString()
     rows = found.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(trimmed(read), f"home int, ids {kind}, keys array<int>, marks array<long>")
+
+
+def by_text(ids: pa.Array, keys: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+    """tm_id, tm_key, marks: a row for each text with marks; then one for each source, with null marks."""
+    coded = ids.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    sources = np.unique(code[marks == SOURCE])
+    order = np.lexsort((marks, keys, code))
+    order = order[marks[order] != SOURCE]
+    code, keys, marks = code[order], keys[order], marks[order]
+    text = np.append(True, (code[1:] != code[:-1]) | (keys[1:] != keys[:-1]))[: len(order)]
+    new = text | np.append(True, marks[1:] != marks[:-1])[: len(order)]  # rows of equal doc_id and text give equal marks
+    starts, marks = np.flatnonzero(text), marks[new]
+    found = _lists(np.append(np.cumsum(new)[starts] - 1, len(marks)), pa.array(marks))
+    found = pa.concat_arrays([found, pa.nulls(len(sources), pa.list_(pa.int64()))])
+    key = pa.concat_arrays([pa.array(keys[starts]), pa.nulls(len(sources), pa.int32())])
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(np.append(code[starts], sources))), key, found], ["tm_id", "tm_key", "marks"])
+
+
+def meetings(found: DataFrame, homes: int = 1) -> DataFrame:
+    """tm_id, tm_key, marks of each text with windows that have a smaller source, and each source, with null marks.
+
+    A text's windows are in as many buckets as it has windows, so its marks come from all tasks: they are sent on as
+    arrays of many texts, and a text becomes a row only where all of its marks are.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, keys, marks in _whole(batches):
+            yield by_text(ids, keys.to_numpy(), marks.to_numpy())
+
+    kind = found.schema["ids"].dataType.elementType.simpleString()
+    rows = marked(found, homes).repartition("home").sortWithinPartitions("home")
     return rows.mapInArrow(trimmed(read), f"tm_id {kind}, tm_key int, marks array<long>")
 
 
@@ -450,16 +507,15 @@ def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     release(spark, first)
 
     size = keyed.agg(F.sum(F.octet_length("tm_raw"))).first()[0] or 0  # a single number
-    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
+    blocks, buckets, homes = (max(1, -(-size // n)) for n in (BLOCK_BYTES, BUCKET_BYTES, HOME_BYTES))
     keyed = keyed.withColumn("tm_block", F.pmod(F.xxhash64("tm_id"), F.lit(blocks)).cast("int"))
-    found = stage(meetings(shared_windows(keyed, window, shared_anchors(keyed, window), buckets)), "factor-found")
+    found = stage(meetings(shared_windows(keyed, window, shared_anchors(keyed, window), buckets), homes), "factor-found")
     release(spark)
-    sources = small(stage(found.where("marks IS NULL").select(F.col("tm_id").alias("source_id")).distinct(), "factor-sources"), 16)
+    sources = small(stage(found.where("marks IS NULL").select(F.col("tm_id").alias("source_id")), "factor-sources"), 16)
     references = stage(keyed.join(sources, keyed["tm_id"] == sources["source_id"], "left_semi"), "factor-references")
-    hits = found.where("marks IS NOT NULL").groupBy(F.col("tm_id").alias("hit_id"), F.col("tm_key").alias("hit_key")).agg(F.flatten(F.collect_list("marks")).alias("places"))
+    hits = found.where("marks IS NOT NULL").select(F.col("tm_id").alias("hit_id"), F.col("tm_key").alias("hit_key"), F.col("marks").alias("places"))
     gone = small(copies.select(F.col("tm_id").alias("copy_id"), F.col("tm_key").alias("copy_key")), 16)
-    # an anti join would be pushed below the aggregate, where a text has as many rows as there are partitions
-    hits = hits.join(gone, (F.col("hit_id") == F.col("copy_id")) & (F.col("hit_key") == F.col("copy_key")), "left").where("copy_id IS NULL").select("hit_id", "hit_key", "places")
+    hits = hits.join(gone, (F.col("hit_id") == F.col("copy_id")) & (F.col("hit_key") == F.col("copy_key")), "left_anti")
     hits = stage(hits, "factor-hits")
     release(spark, found)
 
